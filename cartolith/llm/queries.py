@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosted_rules import judge
+from .line_crf import classify
 from .mixing import mix
 from .sharding import shard_documents
 from .token_counts import count_tokens
+from .trie_bpe import encode_documents
 from .url_rules import JUNK, filter_urls
+from .vector_topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,14 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("pattern")
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -35,12 +47,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op5_lpt_shards, op6_token_counts, op9_source_mix)}
+    return {f.__name__: f for f in (op1_url_rules, op3_line_crf, op4_segment_topk, op5_lpt_shards, op6_token_counts, op8_trie_bpe, op9_source_mix, op10_boosted_rules)}
 
 
 _junk = "|".join(JUNK)
@@ -66,5 +87,18 @@ FROM split s LEFT JOIN best b USING (page_id)
 """
 
 
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": OP1_SQL}
+    return {"op1_url_rules": OP1_SQL, "op4_segment_topk": OP4_SQL}
