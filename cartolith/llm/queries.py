@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .boosted_rules import judge
 from .line_crf import classify
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .sharding import shard_documents
 from .token_counts import count_tokens
 from .trie_bpe import encode_documents
@@ -31,6 +32,10 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("pattern")
 
 
+def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +66,7 @@ def op10_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op3_line_crf, op4_segment_topk, op5_lpt_shards, op6_token_counts, op8_trie_bpe, op9_source_mix, op10_boosted_rules)}
+    return {f.__name__: f for f in (op1_url_rules, op2_minhash_join, op3_line_crf, op4_segment_topk, op5_lpt_shards, op6_token_counts, op8_trie_bpe, op9_source_mix, op10_boosted_rules)}
 
 
 _junk = "|".join(JUNK)
