@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosted_rules import judge
+from .hmm import score_documents
 from .line_crf import classify
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -52,6 +53,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -66,7 +71,7 @@ def op10_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_minhash_join, op3_line_crf, op4_segment_topk, op5_lpt_shards, op6_token_counts, op8_trie_bpe, op9_source_mix, op10_boosted_rules)}
+    return {f.__name__: f for f in (op1_url_rules, op2_minhash_join, op3_line_crf, op4_segment_topk, op5_lpt_shards, op6_token_counts, op7_hidden_markov, op8_trie_bpe, op9_source_mix, op10_boosted_rules)}
 
 
 _junk = "|".join(JUNK)
