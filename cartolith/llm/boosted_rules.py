@@ -7,7 +7,7 @@ whole batches of documents at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -197,6 +197,20 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Trees:
     return fit(x, y, list(FEATURES.values()))
 
 
+def judger(trees: Trees, least_words: int, most_repeated: int, threshold: float) -> Callable:
+    """A column function from texts to their statistics and verdict."""
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean")
+    def judged(text: pa.Array) -> pa.Array:
+        base, x = statistics(text)
+        score = trees.score(x)
+        failed = (base[:, 0] < least_words) | (100 * base[:, 4] > most_repeated * base[:, 0])
+        columns = [*(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
+        return pa.StructArray.from_arrays(columns, [*BASE, "base_failed", "score", "kept"])
+
+    return judged
+
+
 def judge(docs: DataFrame, labels: DataFrame, least_words: int = 20, most_repeated: int = 30, threshold: float = 0.3, per_class: int = 2000) -> DataFrame:
     """doc_id, the statistics of ``BASE``, base_failed, score and kept of each row of ``docs`` (doc_id, text).
 
@@ -207,17 +221,10 @@ def judge(docs: DataFrame, labels: DataFrame, least_words: int = 20, most_repeat
     both classes the base rules alone decide. Extra columns are ignored; an empty
     table gives an empty result.
     """
-    trees = learn(docs, labels, per_class)
+    judged = judger(learn(docs, labels, per_class), least_words, most_repeated, threshold)
+    return docs.select("doc_id", judged(F.col("text")).alias("judged")).select("doc_id", "judged.*")
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base, x = statistics(batch.column("text"))
-            score = trees.score(x)
-            failed = (base[:, 0] < least_words) | (100 * base[:, 4] > most_repeated * base[:, 0])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))],
-                ["doc_id", *BASE, "base_failed", "score", "kept"],
-            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(judged, f"doc_id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, score double, kept boolean")
+def reject_rule_breakers(docs: DataFrame, labels: DataFrame, least_words: int = 20, most_repeated: int = 30, threshold: float = 0.3, per_class: int = 2000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps."""
+    return docs.where(judger(learn(docs, labels, per_class), least_words, most_repeated, threshold)(F.col("text"))["kept"])

@@ -160,6 +160,16 @@ def score_texts(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
+def scorer(weights: np.ndarray) -> Callable:
+    """A column function from texts to scores."""
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(score_texts(text, weights))
+
+    return score
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_lines: int = 400) -> np.ndarray:
     """Weights fitted on at most ``per_class`` labelled ids of each class, of texts of at most ``most_lines`` lines."""
 
@@ -190,15 +200,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_cla
     0.5. Repeated rows and null ids are scored like others. Extra columns are
     ignored; an empty table gives an empty result.
     """
-    weights = learn(docs, labels, per_class, most_lines)
+    score = scorer(learn(docs, labels, per_class, most_lines))(F.col("text"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = score_texts(batch.column("text"), weights)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                ["doc_id", "held_out", "score", "predicted"],
-            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, predicted int")
+def reject_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1500, most_lines: int = 400) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``classify`` predicts as 1."""
+    return docs.where(scorer(learn(docs, labels, per_class, most_lines))(F.col("text")) >= threshold)

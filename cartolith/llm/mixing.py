@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,17 +104,33 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: tuple[float, ..
     after the other. Extra columns are ignored; an empty table gives an empty
     result. More than 100,000 patterns raise an error.
     """
-    spark = docs.sparkSession
+    measured = _measured(docs, sources, seed)
+    rows = written(measured("doc_id"), "mix_rows")
+    taken = _taken(rows, rows, weights, limit)
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def take(docs: DataFrame, sources: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), limit: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as ``mix`` takes them."""
+    measured = _measured(docs, sources, seed)
+    whole_rows = measured("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = _taken(written(measured("doc_id"), "mix_rows"), whole_rows, weights, limit)
+    return taken.where("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _measured(docs: DataFrame, sources: Column | None, seed: int) -> Callable[..., DataFrame]:
     members = sources if sources is not None else F.array(F.col("source"))
-    rows = written(
-        docs.select(
-            "doc_id",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.to_json(F.array_sort(F.array_distinct(members))).alias("pattern"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
-        ),
-        "mix_rows",
+    return lambda *columns: docs.select(
+        *columns,
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.to_json(F.array_sort(F.array_distinct(members))).alias("pattern"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
     )
+
+
+def _taken(rows: DataFrame, whole_rows: DataFrame, weights: tuple[float, ...], limit: int) -> DataFrame:
+    """``whole_rows`` with source_size, target and copies, as planned from ``rows``."""
+    spark = rows.sparkSession
     found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -143,9 +160,8 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: tuple[float, ..
         .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
         .select("pattern", F.col("bucket").alias("end"), "before")
     )
-    known = drawn.join(F.broadcast(planned), "pattern").join(F.broadcast(ends), "pattern", "left")  # a row for each pattern
+    known = whole_rows.withColumn("bucket", F.shiftrightunsigned("draw", 52).cast("int")).join(F.broadcast(planned), "pattern").join(F.broadcast(ends), "pattern", "left")  # a row for each pattern
     whole = known.where(~F.col("bucket").eqNullSafe(F.col("end"))).withColumn("extra", (F.col("bucket") < F.col("end")).cast("long"))
     running = Window.partitionBy("pattern").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = known.where(F.col("bucket") == F.col("end")).withColumn("extra", (F.col("before") + F.sum("size").over(running) - F.col("size") / 2 <= F.col("rest")).cast("long"))
-    copies = (F.col("passes") + F.coalesce("extra", F.lit(0))).alias("copies")
-    return whole.unionByName(last).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies)
+    return whole.unionByName(last).withColumn("copies", F.col("passes") + F.coalesce("extra", F.lit(0)))

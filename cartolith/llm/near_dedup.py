@@ -338,3 +338,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     linked = linkable.join(classed, ["one", "two"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps; of rows with equal id and text, one."""
+    kept = near_duplicates(docs, width, percent).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    one = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.unionByName(docs.where(F.col("doc_id").isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))
