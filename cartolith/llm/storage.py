@@ -1,29 +1,5 @@
-"""Tables written to the folder that driver and executors share, to cut lineage."""
+"""Tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from cartolith.storage import shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where it is unset and Spark runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="cartolith-"))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder, and read from there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "written"]
