@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, samp
                 shaped = classes < 0
                 classes[shaped] = 1 + TOP_WORDS + shapes[shaped]
                 c = np.where(known, lex.counts[at] if len(lex.counts) else 0, 0)
-                sums = lambda where, what: np.bincount(doc[where], weights=what, minlength=j - i)
+                sums = lambda where, what: np.bincount(doc[where], weights=what, minlength=j - i).astype(float)  # noqa: E731  whole numbers if empty
                 rare = np.flatnonzero(~known & (hashes != END))
                 ends_unknown = ~known & (hashes == END)
                 base = sums(known, lex.base(c[known])) + sums(ends_unknown, lex.base(np.zeros(int(ends_unknown.sum()))))
