@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import config, scalars
 
-PIECE = "([A-Za-z_]+|[^A-Za-z_]+)"
+WORD = re.compile("[A-Za-z_]+")
+LEAF = "line int, ordinal int, col int, end_col int, text string, before string, after string"
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -17,16 +20,42 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split(scalars.normalise_newlines(F.col("content")), "\n")).alias("line", "text"))
 
 
-def extract_leaves(files: DataFrame) -> DataFrame:
-    """Path, line, ordinal, col, end_col and text of every word, in code points, end exclusive.
+def extract_leaves(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Path, line, ordinal, col, end_col and text of every word, in code points, end exclusive, with the words before and after it in its line.
 
-    The pattern cuts a line into words and what lies between, so a piece's column
-    is the length of all pieces before it.
+    A word's column depends on all that precedes it in its line. Finding the words
+    of a line where it lies takes one pass and no exchange; with array or window
+    functions every token would be shuffled by its line first. ``keep`` names string
+    columns of the files to repeat on every word, which spares a join later.
     """
-    pieces = lines(files).select("path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), 1)).alias("ordinal", "text"))
-    before = Window.partitionBy("path", "line").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("col", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("int"))
-    return placed.where(F.col("text").rlike("^[A-Za-z_]")).select("path", "line", "ordinal", "col", (F.col("col") + F.length("text")).alias("end_col"), "text")
+    names = ["path", *keep]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            heads = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            for head, content in zip(heads, batch.column("content"), strict=True):
+                for line, text in enumerate((content.as_py() or "").split("\n")):
+                    found = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+                    for k, (start, end, word) in enumerate(found):
+                        out.append((*head, line, k, start, end, word, found[k - 1][2] if k else None, found[k + 1][2] if k + 1 < len(found) else None))
+                    if len(out) > _ROWS:
+                        yield _batch(out, names)
+                        out = []
+            if out:
+                yield _batch(out, names)
+
+    texts = files.select(*names, scalars.normalise_newlines(F.col("content")).alias("content"))
+    return texts.mapInArrow(find, ", ".join(f"{c} string" for c in names) + f", {LEAF}")
+
+
+_ROWS = 50_000
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [*[pa.string()] * len(names), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, [*names, "line", "ordinal", "col", "end_col", "text", "before", "after"])
 
 
 def extract_symbols(leaves: DataFrame, pattern: str = config.SYMBOL) -> DataFrame:
@@ -47,23 +76,18 @@ def pattern_rows(spark: SparkSession, hooks: Mapping[str, Mapping[str, Sequence[
 DEFAULT_HOOKS = {language: {"define": words, "stop": tuple(words) + ("self", "cls", "this", "return", "if", "else", "for", "while", "import", "from", "new", "in", "let", "use")} for language, words in config.DEFINING_WORDS.items()}
 
 
-def with_neighbours(leaves: DataFrame) -> DataFrame:
-    order = Window.partitionBy("path", "line").orderBy("ordinal")
-    return leaves.withColumn("before", F.lag("text").over(order)).withColumn("after", F.lead("text").over(order))
-
-
-def extract_definitions(leaves: DataFrame, languages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Words right after a defining word of their file's language (path, language)."""
+def extract_definitions(leaves: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Words right after a defining word of their file's ``language``, a column of the leaves."""
     defining = patterns.where("role = 'define'").select("language", F.col("word").alias("before"))
-    return with_neighbours(leaves).join(languages, "path").join(F.broadcast(defining), ["language", "before"], "left_semi").select(*leaves.columns, F.col("before").alias("keyword"), F.col("text").alias("symbol"))  # a few words a language
+    return leaves.join(F.broadcast(defining), ["language", "before"], "left_semi").withColumns({"keyword": F.col("before"), "symbol": F.col("text")})  # a few words a language
 
 
-def extract_references(leaves: DataFrame, languages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """R2: words that neither define a name nor are stop-words of their file's language."""
+def extract_references(leaves: DataFrame, patterns: DataFrame) -> DataFrame:
+    """R2: words that neither define a name nor are stop-words of their file's ``language``, a column of the leaves."""
     stops = patterns.where("role = 'stop'").select("language", F.col("word").alias("text"))
     defining = patterns.where("role = 'define'").select("language", F.col("word").alias("before"))
-    named = with_neighbours(leaves).join(languages, "path")
-    return named.join(F.broadcast(stops), ["language", "text"], "left_anti").join(F.broadcast(defining), ["language", "before"], "left_anti").select(*leaves.columns, F.col("text").alias("symbol"))  # a few words a language
+    spoken = leaves.where("language IS NOT NULL")
+    return spoken.join(F.broadcast(stops), ["language", "text"], "left_anti").join(F.broadcast(defining), ["language", "before"], "left_anti").withColumn("symbol", F.col("text"))  # a few words a language
 
 
 def first_definitions(symbols: DataFrame, order: Sequence[str] = ("path", "line", "col"), by: Sequence[str] = ()) -> DataFrame:

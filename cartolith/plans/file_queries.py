@@ -352,18 +352,19 @@ HOOKS = {"en": {"define": ("the", "of"), "stop": ("the", "of", "and", "a", "in")
 _near = "near AS (SELECT *, lag(text) OVER (PARTITION BY path, line ORDER BY ordinal) AS before, split_part(path, '.', 2) AS language FROM leaves)"
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
-    return b.files(spark, d).select("path", scalars.language(F.col("path"), b.LANGUAGES).alias("language")).where("language IS NOT NULL")
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves with their file's language."""
+    return references.extract_leaves(b.files(spark, d).withColumn("language", scalars.language(F.col("path"), b.LANGUAGES)), ["language"])
 
 
 @query("r2_extract_references", f"WITH {b.LEAVES}, {_near} SELECT path, line, col, text AS symbol FROM near WHERE (language = 'en' AND text NOT IN ('the', 'of', 'and', 'a', 'in') AND (before IS NULL OR before NOT IN ('the', 'of'))) OR (language = 'fr' AND text NOT IN ('la', 'le', 'de', 'et') AND (before IS NULL OR before NOT IN ('la', 'le')))")
 def r2b(spark: SparkSession, d: str) -> DataFrame:
-    return references.extract_references(b.leaves(spark, d), _languages(spark, d), references.pattern_rows(spark, HOOKS)).select("path", "line", "col", "symbol")
+    return references.extract_references(_spoken(spark, d), references.pattern_rows(spark, HOOKS)).select("path", "line", "col", "symbol")
 
 
 @query("r3_extract_definitions", f"WITH {b.LEAVES}, {_near} SELECT path, line, col, text AS symbol, before AS keyword FROM near WHERE (language = 'en' AND before IN ('the', 'of')) OR (language = 'fr' AND before IN ('la', 'le'))")
 def r3(spark: SparkSession, d: str) -> DataFrame:
-    return references.extract_definitions(b.leaves(spark, d), _languages(spark, d), references.pattern_rows(spark, HOOKS)).select("path", "line", "col", "symbol", "keyword")
+    return references.extract_definitions(_spoken(spark, d), references.pattern_rows(spark, HOOKS)).select("path", "line", "col", "symbol", "keyword")
 
 
 @query("r3_first_definitions", f"WITH {b.MAPPINGS} SELECT symbol, def_path AS path, def_line AS line, def_col AS col FROM defs")

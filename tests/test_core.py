@@ -172,10 +172,9 @@ def test_leaves_have_code_point_columns(spark):
 def test_definitions_by_keyword(spark):
     df = spark.createDataFrame([("f.py", "def go(self):\n    return go")], "path string, content string")
     patterns = references.pattern_rows(spark, references.DEFAULT_HOOKS)
-    langs = df.select("path", scalars.language(F.col("path")).alias("language"))
-    leaves = references.extract_leaves(df)
-    assert [(r.line, r.text, r.keyword) for r in references.extract_definitions(leaves, langs, patterns).collect()] == [(0, "go", "def")]
-    assert [(r.line, r.text) for r in references.extract_references(leaves, langs, patterns).collect()] == [(1, "go")]
+    leaves = references.extract_leaves(df.withColumn("language", scalars.language(F.col("path"))), ["language"])
+    assert [(r.line, r.text, r.keyword) for r in references.extract_definitions(leaves, patterns).collect()] == [(0, "go", "def")]
+    assert [(r.line, r.text) for r in references.extract_references(leaves, patterns).collect()] == [(1, "go")]
 
 
 def test_span_over_lines(spark):
@@ -206,3 +205,15 @@ def test_upsert_twice_is_once(spark):
     new = spark.createDataFrame([("k", 2, "b"), ("l", 4, "y")], "k string, v int, data string")
     once = sources.upsert(old, new, ["k"], "v")
     assert rows(once) == {("k", 2, "b"), ("l", 5, "x")} == rows(sources.upsert(once, new, ["k"], "v"))
+
+
+def test_written_tables_can_go(spark):
+    from pathlib import Path
+
+    from cartolith import storage
+
+    df = storage.written(spark.range(3), "gone")
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 3 and folder.exists()
+    storage.clear(spark)
+    assert not folder.exists()
