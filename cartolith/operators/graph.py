@@ -167,7 +167,7 @@ def prune_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 
     Parent ids in the nodes stay those of the whole tree.
     """
-    keep = keep_set(nodes, roots(nodes, edges))
+    keep = written(keep_set(nodes, roots(nodes, edges)), "keep")
     anchors = contract_tree(nodes.select("node_id", "parent_id"), keep)
     attached = dedupe_attach(anchors.where("anchor IS NOT NULL").select(F.col("anchor").alias("source"), F.col("node_id").alias("target")))
     kept = nodes.join(keep, "node_id", "left_semi").select(*nodes.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import config
 from ..operators import crossfile, graph, references
 from ..operators.precheck import file_metrics
+from ..storage import written
 
 LANGUAGES = {".en": "en", ".fr": "fr"}
 IGNORE = ("src3", "src7")
@@ -86,30 +87,37 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("doc_id", F.regexp_extract("path", r"/(\d+)\.", 1).cast("long")).withColumn("folder", F.substring_index("path", "/", 1))
 
 
-def definitions(spark: SparkSession, d: str) -> DataFrame:
-    return references.first_definitions(symbols(spark, d), ("doc_id", "line", "col"))
+def shared_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """``symbols`` written once, for queries that use them several times."""
+    return written(symbols(spark, d), "symbols")
 
 
-def mappings(spark: SparkSession, d: str) -> DataFrame:
-    return references.first_resolved(symbols(spark, d), definitions(spark, d))
+def definitions(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    return references.first_definitions(symbols(spark, d) if found is None else found, ("doc_id", "line", "col"))
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The whole tree, with the parents of definitions promoted."""
-    plain = graph.build_node_table(files(spark, d), leaves(spark, d))
-    hits = graph.reference_hits(mappings(spark, d), plain.where("node_type = 'word'"))
-    return graph.promote_definition_parents(plain, hits)
-
-
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    plain = graph.build_node_table(files(spark, d), leaves(spark, d))
-    return graph.contains_edges(plain).unionByName(graph.reference_edges(mappings(spark, d), plain.where("node_type = 'word'")))
+def mappings(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    found = shared_symbols(spark, d) if found is None else found
+    return references.first_resolved(found, definitions(spark, d, found))
 
 
 def symbol_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and reference edges of the words that take part in references."""
-    plain = graph.build_node_table(files(spark, d), symbols(spark, d))
-    return plain, graph.reference_edges(mappings(spark, d), plain.where("node_type = 'word'"))
+    found = shared_symbols(spark, d)
+    plain = graph.build_node_table(files(spark, d), found)
+    return plain, graph.reference_edges(mappings(spark, d, found), plain.where("node_type = 'word'"))
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The whole tree, with the parents of definitions promoted, written once."""
+    found = shared_symbols(spark, d)
+    hits = graph.reference_hits(mappings(spark, d, found), graph.build_node_table(files(spark, d), found).where("node_type = 'word'"))
+    return written(graph.promote_definition_parents(graph.build_node_table(files(spark, d), leaves(spark, d)), hits), "nodes")
+
+
+def edges(spark: SparkSession, d: str, tree: DataFrame) -> DataFrame:
+    """CONTAINS edges of ``tree`` and the references among its words."""
+    return graph.contains_edges(tree).unionByName(symbol_graph(spark, d)[1])
 
 
 def file_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +173,8 @@ recompute AS (SELECT namespace, path FROM changed UNION SELECT namespace, path F
 
 def mapping_cache(spark: SparkSession, d: str) -> DataFrame:
     """Mappings as structs, with the referring file's language as namespace."""
-    resolved = references.resolve_references(symbols(spark, d), definitions(spark, d))
+    found = shared_symbols(spark, d)
+    resolved = references.resolve_references(found, definitions(spark, d, found))
     return resolved.withColumn("namespace", F.substring_index("ref_path", ".", -1))
 
 

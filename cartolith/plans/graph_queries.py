@@ -123,7 +123,8 @@ def g15(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g16_prune_graph", f"WITH {WORDS} SELECT source, target, 'CONTAINS' AS type FROM attached UNION ALL SELECT source, target, 'REFERENCES' FROM ({REF_EDGES}) r")
 def g16(spark: SparkSession, d: str) -> DataFrame:
-    return graph.prune_graph(b.nodes(spark, d), b.edges(spark, d))[1].select("source", "target", "type")
+    nodes = b.nodes(spark, d)
+    return graph.prune_graph(nodes, b.edges(spark, d, nodes))[1].select("source", "target", "type")
 
 
 @query("g17_anchor_orphans", f"WITH {WORDS} SELECT target AS node_id FROM attached WHERE source LIKE '%:module:0' AND split_part(source, '/', 1) = 'src2'")
@@ -143,7 +144,8 @@ def g18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a15_graph_counts", f"WITH {WORDS} SELECT 'node' AS kind, (SELECT count(*) FROM words) + (SELECT count(*) FROM line_nodes) + (SELECT count(*) FROM files) AS rows UNION ALL SELECT 'CONTAINS', count(*) FROM contained UNION ALL SELECT 'REFERENCES', count(*) FROM mappings")
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    return graph.graph_counts(b.nodes(spark, d), b.edges(spark, d))
+    nodes = b.nodes(spark, d)
+    return graph.graph_counts(nodes, b.edges(spark, d, nodes))
 
 
 @query("x1_downstream_interactions", f"WITH {b.MAPPINGS} SELECT DISTINCT path, text AS ref_name, 'line' AS node_type, def_path FROM mappings WHERE path <> def_path")
