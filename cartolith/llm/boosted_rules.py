@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import training_sample
+from .memory import release
 from .words import _SPACE, buffers, find_lines, find_words, hash_spans, mix, runs, slices
 
 WINDOW = 8
@@ -201,12 +202,14 @@ def judger(trees: Trees, least_words: int, most_repeated: int, threshold: float)
     """A column function from texts to their statistics and verdict."""
 
     @F.arrow_udf(", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean")
-    def judged(text: pa.Array) -> pa.Array:
-        base, x = statistics(text)
-        score = trees.score(x)
-        failed = (base[:, 0] < least_words) | (100 * base[:, 4] > most_repeated * base[:, 0])
-        columns = [*(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
-        return pa.StructArray.from_arrays(columns, [*BASE, "base_failed", "score", "kept"])
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            base, x = statistics(text)
+            score = trees.score(x)
+            failed = (base[:, 0] < least_words) | (100 * base[:, 4] > most_repeated * base[:, 0])
+            columns = [*(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
+            yield pa.StructArray.from_arrays(columns, [*BASE, "base_failed", "score", "kept"])
+        release()
 
     return judged
 

@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import releasing
 from .storage import written
 from .words import buffers, find_words, hash_spans, mix, slices
 
 FOLDS, SMOOTH = 10, 0.1
 STATES, TOP_WORDS, SHAPES, FREQUENT = 8, 1000, 1024, 1 << 17
 END = np.int64(0x7E57)  # stands for the end token's hash
-_KEPT_WORDS, _TOKENS = 1 << 21, 1 << 20
+_KEPT_WORDS, _TOKENS = 1 << 20, 1 << 19
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -81,7 +82,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    partial = docs.select("text").mapInArrow(count, "hash long, shape short, count long")
+    partial = docs.select("text").mapInArrow(releasing(count), "hash long, shape short, count long")
     return partial.groupBy("hash").agg(F.min("shape").alias("shape"), F.sum("count").alias("count"))
 
 
@@ -216,7 +217,7 @@ def baum_welch(encoded: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["state", "counts"])
 
     kind = "state int, counts binary"
-    rows = encoded.select("classes").mapInArrow(count, kind).repartition(states, "state").mapInArrow(add, kind).collect()  # a row for each state
+    rows = encoded.select("classes").mapInArrow(releasing(count), kind).repartition(states, "state").mapInArrow(add, kind).collect()  # a row for each state
     if not rows:
         return model
     table = np.stack([np.frombuffer(r.counts) for r in sorted(rows)])
@@ -292,7 +293,7 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, samp
                 )
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, inner double, classes binary, rare array<long>, times array<int>, shapes array<short>"
-    encoded = written(rows.select("doc_id", "held_out", "text").mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "lm_rows")
+    encoded = written(rows.select("doc_id", "held_out", "text").mapInArrow(releasing(encode), schema).withColumn("row", F.monotonically_increasing_id()), "lm_rows")
 
     prior = np.where(np.arange(CLASSES) == 0, 0.1, 0.01)
     training = encoded.where(~F.col("held_out"))
@@ -307,7 +308,7 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, samp
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner")), pa.array(chain)], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "chain"])
 
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "classes").mapInArrow(
-        score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, inner double, chain double"
+        releasing(score), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, inner double, chain double"
     )
     shape_sums = spark.createDataFrame([(k, float(np.log10(lexicon.shape_total[k] + SMOOTH * (lexicon.shape_words[k] + 1)))) for k in range(SHAPES)], "shape int, shape_log double")
     each = encoded.select("row", F.explode(F.arrays_zip("rare", "times", "shapes")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"), F.col("x.shapes").cast("int").alias("shape"))

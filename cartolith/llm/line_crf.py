@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_sample
+from .memory import release
 from .words import buffers, find_lines, find_words, hash_spans, mix, slices
 
 _CLASSES = ("#*$%&<>", "|", "!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -164,8 +165,10 @@ def scorer(weights: np.ndarray) -> Callable:
     """A column function from texts to scores."""
 
     @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
-        return pa.array(score_texts(text, weights))
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array(score_texts(text, weights))
+        release()
 
     return score
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import releasing
 from .storage import written
 from .words import buffers, find_words, hash_spans, mix, runs, slices
 
@@ -155,7 +156,7 @@ def _confirmed(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     rows = blocks.distinct().join(sets, "vid").repartition("gid").sortWithinPartitions("gid")
-    return rows.select("gid", "side", "label", "shingles").mapInArrow(confirm, "a long, b long").distinct()
+    return rows.select("gid", "side", "label", "shingles").mapInArrow(releasing(confirm), "a long, b long").distinct()
 
 
 def _sketch(classes: DataFrame) -> np.ndarray:
@@ -178,7 +179,7 @@ def _sketch(classes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["chunk", "counts"])
 
     kind = "chunk int, counts binary"
-    parts = classes.select("signature").mapInArrow(count, kind).repartition(_CHUNKS, "chunk").mapInArrow(add, kind).collect()  # 32 rows of 256 kB
+    parts = classes.select("signature").mapInArrow(releasing(count), kind).repartition(_CHUNKS, "chunk").mapInArrow(add, kind).collect()  # 32 rows of 256 kB
     out = np.zeros(_CELLS, np.int64)
     for r in parts:
         out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.counts, np.int64)
@@ -208,7 +209,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, width
             repeated = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), PREFIX))
             yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), repeated("vid"), repeated("n"), repeated("rep")], ["key", "vid", "n", "rep"])
 
-    postings = written(classes.select("vid", "n", "rep", "signature").mapInArrow(post, "key long, vid long, n long, rep long"), "dedup_postings")
+    postings = written(classes.select("vid", "n", "rep", "signature").mapInArrow(releasing(post), "key long, vid long, n long, rep long"), "dedup_postings")
     lists = written(postings.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "vid", "n")).alias("pivot")).where("size > 1"), "dedup_lists")
     held = written(postings.join(lists, "key").select("key", "vid", "n", "size", F.col("pivot.vid").alias("p"), F.col("pivot.n").alias("pn")), "dedup_held")
     fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes too far apart cannot be similar
@@ -268,7 +269,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, width
 
     cells = left.unionByName(right).withColumn("gid", F.xxhash64("key", "i", "j")).join(signed, "vid")
     sorted_ = cells.select("gid", "key", "side", "vid", "n", "label", "signature").repartition("gid").sortWithinPartitions("gid")
-    flagged = written(sorted_.mapInArrow(flag, "gid long, side int, vid long, label long"), "dedup_flagged")
+    flagged = written(sorted_.mapInArrow(releasing(flag), "gid long, side int, vid long, label long"), "dedup_flagged")
     second = _confirmed(flagged, _sets(docs, flagged, classes, width), percent)
     return components(first.unionByName(second))
 
@@ -285,7 +286,7 @@ def _sets(docs: DataFrame, blocks: DataFrame, classes: DataFrame, width: int) ->
             yield pa.RecordBatch.from_arrays([batch.column("vid").filter(pa.array(right)), pa.array([s.tobytes() for s, r in zip(sets, right, strict=True) if r], pa.binary())], ["vid", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    return texts.select("vid", "one", "two", "text").mapInArrow(gather, "vid long, shingles binary").groupBy("vid").agg(F.first("shingles").alias("shingles"))
+    return texts.select("vid", "one", "two", "text").mapInArrow(releasing(gather), "vid long, shingles binary").groupBy("vid").agg(F.first("shingles").alias("shingles"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -325,7 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             if sets:
                 yield out()
 
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, one long, two long, signature binary"), "dedup_rows")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(sign), "doc_id long, n long, one long, two long, signature binary"), "dedup_rows")
     linkable = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = written(
         linkable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")).withColumn("vid", F.monotonically_increasing_id()),

@@ -17,11 +17,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .memory import releasing
+
 #: Fixed values of the byte-level format: its split pattern and the rule of its byte alphabet.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _split = regex.compile(SPLIT)
 _LONG = 1 << 20
-_KEPT = 1 << 20
+_KEPT = 300_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -132,4 +134,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(releasing(counted), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

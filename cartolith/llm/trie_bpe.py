@@ -20,10 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .memory import releasing
 from .token_counts import byte_alphabet, pretokens
 
-_KEPT = 500_000
-_BATCH_CHARS = 4 << 20
+_KEPT, _KEPT_PAIRS = 200_000, 200_000
+_BATCH_CHARS = 2 << 20
 
 
 class TrieBPE:
@@ -78,8 +79,6 @@ class TrieBPE:
     def encode_words(self, words: Iterable[str]) -> None:
         """Keeps the packed ids of distinct words, walking their trie depth first."""
         todo = sorted((w.encode("utf-8", "surrogatepass"), w) for w in words)
-        if len(self.kept) > _KEPT:
-            self.kept, self.apart = {}, {}
         ids, lengths, stays_apart = self.ids, self.lengths, self.stays_apart
         before = b""
         last: list[int] = [-1]  # last token of each prefix of the word before
@@ -110,11 +109,17 @@ class TrieBPE:
     def _lookup(self, words: Iterable[str]) -> Iterator[bytes]:
         for w in words:
             if w not in self.kept:
+                if len(self.kept) > 2 * _KEPT:
+                    self.kept = {}
                 self.encode_words([w])
             yield self.kept[w]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; special strings are their tokens."""
+        if len(self.kept) > _KEPT:
+            self.kept = {}
+        if len(self.apart) > _KEPT_PAIRS:
+            self.apart = {}
         split: list[list[tuple[bytes | None, list[str] | Iterator[str]]]] = []
         new: set[str] = set()
         for text in texts:
@@ -137,7 +142,7 @@ class TrieBPE:
         if isinstance(words, list):
             try:
                 return list(map(self.kept.__getitem__, words))
-            except KeyError:  # dropped while the batch's own words were learnt
+            except KeyError:  # dropped meanwhile, for a very long text in the batch
                 pass
         return self._lookup(words)
 
@@ -177,4 +182,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     at, texts, chars = k + 1, [], 0
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, ids binary, n_tokens long, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(releasing(encoded), f"doc_id {kind}, ids binary, n_tokens long, decoded string")
