@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import releasing
+from .selection import largest, sample
 from .storage import written
 from .words import buffers, find_words, hash_spans, mix, slices
 
@@ -254,7 +255,7 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, samp
     rows = docs.select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False)).alias("held_out"))
     counts = written(word_counts(rows.where(~F.col("held_out"))), "lm_counts")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    frequent = counts.orderBy(F.desc("count"), "hash").limit(FREQUENT).select("hash", "count").toPandas()  # FREQUENT rows at most
+    frequent = largest(counts, "count", FREQUENT).select("hash", "count").toPandas().sort_values(["count", "hash"], ascending=[False, True])  # FREQUENT rows at most
     lexicon = Lexicon(frequent["hash"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64), total, distinct)
     edge = lexicon.edge
     rest = counts.where(((F.col("count") < edge[0]) | ((F.col("count") == edge[0]) & (F.col("hash") > edge[1]))) & (F.col("shape") >= 0)) if edge[0] else counts.where("shape >= 0")
@@ -297,8 +298,9 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, samp
 
     prior = np.where(np.arange(CLASSES) == 0, 0.1, 0.01)
     training = encoded.where(~F.col("held_out"))
-    sample = training.where(F.col("n_tokens") <= sample_tokens).orderBy(F.xxhash64("doc_id"), "classes").limit(sample_docs).select("classes").collect()  # sample_docs * sample_tokens tokens at most
-    model = _started([bytes(r.classes) for r in sample], states, prior, rounds, seed)
+    short = training.where(F.col("n_tokens") <= sample_tokens).select("doc_id", "classes")
+    few = sample(short, F.col("doc_id"), sample_docs, ["classes"]).select("classes").collect()  # sample_docs * sample_tokens tokens at most
+    model = _started([bytes(r.classes) for r in few], states, prior, rounds, seed)
     for _ in range(passes):
         model = baum_welch(training, model, prior)
 

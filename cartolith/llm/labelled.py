@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import sample
+
 HELD_OUT_OF = 5
 
 
@@ -26,5 +28,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .where(F.col("label") == F.col("other"))
         .select("doc_id", "label")
     )
-    one, two = (known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1))
+    one, two = (sample(known.where(F.col("label") == v), F.col("doc_id"), per_class, ["doc_id"]) for v in (0, 1))
     return docs.select("doc_id", "text").join(F.broadcast(one.union(two)), "doc_id")  # 2 * per_class rows at most

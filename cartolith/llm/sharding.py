@@ -15,6 +15,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import largest
 from .storage import written
 
 ROW_BYTES = 16
@@ -56,7 +57,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, heavy: int = 4096, bundle
         "shard_rows",
     )
     groups = rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes"))
-    top = groups.orderBy(F.desc("bytes"), "k1", "k2").limit(heavy).collect()  # at most `heavy` rows
+    top = largest(groups, "bytes", heavy).collect()  # at most `heavy` rows
     alone = {(r.k1, r.k2): r.bytes for r in top}
     bundle = F.pmod("k1", F.lit(bundles)).cast("int")
     big = spark.createDataFrame([(k1, k2, True) for k1, k2 in alone], "k1 long, k2 long, alone boolean")

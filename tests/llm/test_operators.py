@@ -54,6 +54,19 @@ def test_hashes_follow_the_bytes():
     assert np.diff(begin).tolist() == [2, 1, 1] and shingles[0] == shingles[1] != shingles[2]
 
 
+def test_largest_and_sample(spark):
+    from cartolith.llm import selection
+
+    df = spark.range(1, 1001).withColumn("value", F.col("id") % 300 + 1)
+    got = sorted(r.value for r in selection.largest(df, "value", 50).collect())
+    every = sorted((r.value for r in df.collect()), reverse=True)
+    assert 30 <= len(got) <= 50 and got == sorted(every[: len(got)]) and every[len(got)] < got[0]
+    assert selection.largest(df, "value", 1000).count() == 1000 and selection.largest(df.limit(0), "value", 5).count() == 0
+    few = selection.sample(df, F.col("id"), 20)
+    assert [r.id for r in few.collect()] == [r.id for r in df.orderBy(F.xxhash64("id")).limit(20).collect()]
+    assert selection.sample(df, F.col("id"), 2000).count() == 1000
+
+
 # 1
 
 
