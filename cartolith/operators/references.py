@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import config, scalars
@@ -119,6 +119,27 @@ def first_resolved(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return best.select("path", "line", "col", "d.def_path", "d.def_line", "d.def_col")
 
 
+def nearest_resolved(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """``first_resolved`` for symbols of many definitions, without pairing each reference with all of them.
+
+    Of each file, folder and symbol only the first two definitions are kept (one may
+    be the reference itself), so a reference meets six rows at most.
+    """
+    folder = lambda p: F.regexp_extract(p, "^(.*)/", 1)
+    points = refs.select("symbol", "path", "line", "col", folder(F.col("path")).alias("folder"))
+    targets = defs.select("symbol", F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("col").alias("def_col"), folder(F.col("path")).alias("def_folder"))
+    offers = None
+    for distance, own, other in ((0, "path", "def_path"), (1, "folder", "def_folder"), (2, None, None)):
+        order = Window.partitionBy("symbol", *([other] if other else [])).orderBy("def_path", "def_line", "def_col")
+        two = targets.withColumn("_rank", F.row_number().over(order)).where("_rank <= 2").drop("_rank").withColumnRenamed("symbol", "_symbol")
+        same = points["symbol"] == two["_symbol"]
+        met = points.join(two, same & (points[own] == two[other]) if own else same)
+        itself = (F.col("path") == F.col("def_path")) & (F.col("line") == F.col("def_line")) & (F.col("col") == F.col("def_col"))
+        offer = met.where(~itself).select("path", "line", "col", F.struct(F.lit(distance).alias("distance"), "def_path", "def_line", "def_col").alias("d"))
+        offers = offer if offers is None else offers.unionByName(offer)
+    return offers.groupBy("path", "line", "col").agg(F.min("d").alias("d")).select("path", "line", "col", "d.def_path", "d.def_line", "d.def_col")
+
+
 def first_definition(mappings: DataFrame) -> DataFrame:
     """the first definition of each mapping that has one."""
     d = F.element_at("mapping.definitions", 1)

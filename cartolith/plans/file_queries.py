@@ -384,3 +384,16 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
     defs = references.first_definitions(s, ("doc_id", "line", "col"), ["folder"])
     found = references.resolve_references(s, defs)
     return found.select(F.col("ref_path").alias("path"), F.col("ref_line").alias("line"), F.col("ref_column").alias("col"), F.posexplode("mapping.definitions").alias("place", "x")).select("path", "line", "col", "place", F.col("x.location_string").alias("definition"))
+
+
+@query(
+    "r4_nearest_resolved",
+    f"""WITH {b.SYMBOLS}, folder_defs AS (SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY symbol, folder ORDER BY doc_id, line, col) = 1)
+SELECT s.path, s.line, s.col, d.path || ':' || d.line || ':' || d.col AS definition
+FROM symbols s JOIN folder_defs d ON s.symbol = d.symbol WHERE NOT (s.path = d.path AND s.line = d.line AND s.col = d.col)
+QUALIFY row_number() OVER (PARTITION BY s.path, s.line, s.col ORDER BY CASE WHEN s.path = d.path THEN 0 WHEN s.folder = d.folder THEN 1 ELSE 2 END, d.path, d.line, d.col) = 1""",
+)
+def r4b(spark: SparkSession, d: str) -> DataFrame:
+    found = b.shared_symbols(spark, d)
+    near = references.nearest_resolved(found, references.first_definitions(found, ("doc_id", "line", "col"), ["folder"]))
+    return near.select("path", "line", "col", scalars.location_string(F.col("def_path"), F.col("def_line"), F.col("def_col")).alias("definition"))

@@ -217,3 +217,12 @@ def test_written_tables_can_go(spark):
     assert df.count() == 3 and folder.exists()
     storage.clear(spark)
     assert not folder.exists()
+
+
+def test_nearest_definitions_agree_with_the_full_list(spark):
+    rng = random.Random(8)
+    spots = sorted({(rng.choice("abc"), f"d{rng.randrange(3)}/f{rng.randrange(4)}", rng.randrange(6), 0) for _ in range(90)})
+    refs = spark.createDataFrame(spots, "symbol string, path string, line int, col int").dropDuplicates(["path", "line", "col"])
+    defs = refs.where("line < 4")
+    want = references.first_definition(references.resolve_references(refs, defs))
+    assert rows(references.nearest_resolved(refs, defs)) == rows(want) == rows(references.first_resolved(refs, defs))
