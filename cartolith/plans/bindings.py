@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import config
 from ..operators import crossfile, graph, references
 from ..operators.precheck import file_metrics
+from ..sources.spread import spread
 from ..storage import written
 
 LANGUAGES = {".en": "en", ".fr": "fr"}
@@ -20,7 +21,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.lit("corpus").alias("repo_id"),
         F.col("source").alias("folder"),
         "doc_id",
