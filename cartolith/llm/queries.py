@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolith.sources.spread import spread
+
 from .boosted_rules import judge
 from .hmm import score_documents
 from .line_crf import classify
@@ -20,7 +22,8 @@ from .vector_topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
