@@ -1,8 +1,8 @@
 """Sharding by longest-processing-time scheduling of groups of equal texts.
 
 Groups, sorted by size, go to the least-loaded shard through a heap. Only two
-tables of bounded size ever meet on the driver: the ``heavy`` largest groups,
-each scheduled by itself, and the byte sums of ``bundles`` hash bundles of all
+tables of bounded size ever meet on the driver: at most ``heavy`` of the largest
+groups, each scheduled by itself, and the byte sums of ``bundles`` hash bundles of all
 other groups, each scheduled as one item. A bundle holds about 1/65536 of the
 remaining bytes, so shards differ by little more than that unless a single group
 is larger than a shard's fair part; a group never splits.

@@ -36,7 +36,7 @@ def _statistics(x: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([mean, deviation], axis=1) * np.sqrt(np.tile(length, 2))
 
 
-def top_products(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def top_products(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query positions, ids and products of each query's k highest products with other ids, ties to the smaller id."""
     dims = queries.shape[1]
     exact_floats = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(dims, 1) < _SAFE
