@@ -4,8 +4,9 @@ Documents are aggregated by membership pattern (the set of sources that hold
 them). A flow network routes each pattern's words, once, twice and so on at
 convex cost, to the quotas of its sources; its size depends on the number of
 patterns alone. Documents are then taken in seeded order until a pattern's flow
-is spent; running sums go over 4096 hash buckets of a pattern first and then
-only inside the one bucket where the flow ends, so no task holds a source.
+is spent; running sums go over 4096 hash buckets of a pattern first, then over
+4096 parts of the one bucket where the flow ends, and only then over the rows of
+one part, about a source's 16 millionth, so no task holds a source.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_PATTERNS = 100_000
-_BUCKETS = 4096
+_BITS = 12  # of the draw that each of the two levels of buckets takes
 
 
 def targets(sizes: dict[str | None, int], total: float, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3) -> dict[str | None, float]:
@@ -95,7 +96,8 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: tuple[float, ..
     """doc_id, size, source_size, target, taken and copies of each row of ``docs`` (doc_id, text, source).
 
     sources: array of the sources that hold a row, by default ``array(source)``;
-    rows with no or equal sources count once for each. size: words of the text
+    equal ones count once, and a row with none (an empty or null array) is never
+    taken, with source_size and target 0. size: words of the text
     (null or empty: 0). taken is size times copies, and copies is at most
     ``limit``; each source's taken words differ from its target by half a document
     at most where sources don't overlap and the target is below the limit.
@@ -123,7 +125,7 @@ def _measured(docs: DataFrame, sources: Column | None, seed: int) -> Callable[..
     return lambda *columns: docs.select(
         *columns,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.to_json(F.array_sort(F.array_distinct(members))).alias("pattern"),
+        F.coalesce(F.to_json(F.array_sort(F.array_distinct(members))), F.lit("[]")).alias("pattern"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
     )
 
@@ -147,21 +149,24 @@ def _taken(rows: DataFrame, whole_rows: DataFrame, weights: tuple[float, ...], l
     sent = min_cost_flow([[(r.size, k * k) for k in range(limit)] for r in found], [[at[s] for s in names] for names in held], [round(target[s]) for s in order])
     plan = []
     for r, names, words in zip(found, held, sent, strict=True):
-        first = min(names, key=lambda s: at[s], default=None)
-        plan.append((r.pattern, sizes.get(first, 0), target.get(first, 0.0), words // r.size if r.size else 0, words % r.size if r.size else 0))
+        first = min(names, key=lambda s: at[s]) if names else None
+        plan.append((r.pattern, sizes[first] if names else 0, target[first] if names else 0.0, words // r.size if r.size else 0, words % r.size if r.size else 0))
     planned = spark.createDataFrame(plan, "pattern string, source_size long, target double, passes long, rest long")
-    drawn = rows.withColumn("bucket", F.shiftrightunsigned("draw", 52).cast("int"))
-    upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = (
-        drawn.groupBy("pattern", "bucket")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("before", F.sum("words").over(upto) - F.col("words"))
-        .join(F.broadcast(planned.select("pattern", "rest")), "pattern")  # MAX_PATTERNS rows at most
-        .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-        .select("pattern", F.col("bucket").alias("end"), "before")
-    )
-    known = whole_rows.withColumn("bucket", F.shiftrightunsigned("draw", 52).cast("int")).join(F.broadcast(planned), "pattern").join(F.broadcast(ends), "pattern", "left")  # a row for each pattern
+    coarse, fine = (F.shiftrightunsigned("draw", 64 - _BITS * level).cast("int") for level in (1, 2))
+    rests = F.broadcast(planned.where("rest > 0").select("pattern", "rest", F.lit(0).cast("long").alias("before")))  # MAX_PATTERNS rows at most
+    ends = _ends(rows.withColumn("bucket", coarse).join(rests, "pattern")).withColumnRenamed("end", "outer")
+    inside = rows.withColumn("outer", coarse).withColumn("bucket", fine).join(F.broadcast(ends), ["pattern", "outer"])  # a row for each pattern
+    ends = _ends(inside).drop("rest")
+    known = whole_rows.withColumn("bucket", fine).join(F.broadcast(planned), "pattern").join(F.broadcast(ends), "pattern", "left")  # a row for each pattern
     whole = known.where(~F.col("bucket").eqNullSafe(F.col("end"))).withColumn("extra", (F.col("bucket") < F.col("end")).cast("long"))
     running = Window.partitionBy("pattern").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = known.where(F.col("bucket") == F.col("end")).withColumn("extra", (F.col("before") + F.sum("size").over(running) - F.col("size") / 2 <= F.col("rest")).cast("long"))
     return whole.unionByName(last).withColumn("copies", F.col("passes") + F.coalesce("extra", F.lit(0)))
+
+
+def _ends(drawn: DataFrame) -> DataFrame:
+    """pattern, rest, end and before: of each pattern the bucket in which ``rest`` words end, and the words that precede it."""
+    upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = drawn.groupBy("pattern", "rest", "before", "bucket").agg(F.sum("size").alias("words"))
+    placed = sums.withColumn("before", F.col("before") + F.sum("words").over(upto) - F.col("words"))
+    return placed.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("pattern", "rest", F.col("bucket").alias("end"), "before")

@@ -464,3 +464,23 @@ def test_mix_of_overlapping_sources(spark):
     got = mixing.mix(df, F.col("in"), weights=(1, 1)).toPandas()
     first = got[got.doc_id < 100]
     assert got.taken.sum() == pytest.approx(2000, abs=20) and first.taken.sum() >= 1000 and got.copies.max() <= 2
+
+
+def test_mix_cuts_each_source_at_its_place_in_the_seeded_order(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7).cast("int"))).alias("text"), F.when(F.col("id") % 3 > 0, "a").alias("source"))
+    rows = mixing._measured(df, None, 42)("doc_id")
+    got = mixing.mix(df).join(rows.select("doc_id", "draw", "pattern"), "doc_id").toPandas()
+    got["place"] = got["draw"].astype("int64").to_numpy().view("uint64")
+    for _, part in got.groupby("pattern"):
+        part = part.sort_values("place")
+        words, rest = part["size"].sum(), round(part["target"].iloc[0]) % part["size"].sum()
+        extra = (part["size"].cumsum() - part["size"] / 2 <= rest) & (rest > 0)
+        assert (part["copies"] == round(part["target"].iloc[0]) // words + extra).all()
+
+
+def test_mix_of_rows_of_no_source(spark):
+    df = spark.createDataFrame([(1, "a b c", ["x"]), (2, "a b", None), (3, "a", []), (4, None, None), (5, "a b", [None])], "doc_id long, text string, in array<string>")
+    got = {r.doc_id: (r.source_size, r.target, r.copies) for r in mixing.mix(df, F.col("in")).collect()}
+    assert [got[k] for k in (2, 3, 4)] == [(0, 0.0, 0)] * 3
+    assert got[1][0] == 3 and got[5][0] == 2 and got[1][2] > 0 and got[5][2] > 0
+    assert mixing.take(df, F.col("in")).where("doc_id in (2, 3, 4)").count() == 0
