@@ -181,7 +181,11 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Trees:
-    """Trees fitted on at most ``per_class`` labelled ids of each class; the constant 1 without labels of both classes."""
+    """Trees fitted on at most ``per_class`` labelled ids of ``docs`` of each class; the constant 1 without labels of both classes.
+
+    After another stage that rejects poor documents, the bad ids are only those it
+    let through, however few.
+    """
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .selection import sample
+from .storage import written
 
 HELD_OUT_OF = 5
 
@@ -18,15 +19,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """doc_id, text and ``label`` (0 or 1) of at most ``per_class`` labelled ids of each class, those of the smallest hashes.
 
-    Ids that are held out, null, or labelled both ways are left out; labels other
-    than 0 and 1 are ignored. Rows of a repeated id all come.
+    Only ids of ``docs`` are drawn, so a class has fewer than ``per_class`` only if
+    ``docs`` has. Ids that are held out, null, or labelled both ways are left out;
+    labels other than 0 and 1 are ignored. Rows of a repeated id all come.
     """
-    known = (
+    labelled = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
         .where(F.col("label") == F.col("other"))
         .select("doc_id", "label")
     )
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    known = written(labelled.join(ids, "doc_id", "left_semi"), "labelled_ids")
     one, two = (sample(known.where(F.col("label") == v), F.col("doc_id"), per_class, ["doc_id"]) for v in (0, 1))
     return docs.select("doc_id", "text").join(F.broadcast(one.union(two)), "doc_id")  # 2 * per_class rows at most

@@ -198,6 +198,19 @@ def test_classifier_on_odd_rows(spark, odd, labels, none):
     assert line_crf.reject_poor(odd, labels).columns == odd.columns
 
 
+def test_training_ids_are_drawn_from_the_rows_at_hand(spark):
+    from cartolith.llm.labelled import held_out, training_sample
+
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    docs = labels.where(~held_out()).select("doc_id", F.lit("some text").alias("text"))
+    first = training_sample(docs, labels, "quality", 50).select("doc_id")
+    left = docs.join(first, "doc_id", "left_anti")  # as after a stage that removed all of the first draw
+    again = training_sample(left, labels, "quality", 50).toPandas()
+    assert first.count() == 100 and again.label.value_counts().to_dict() == {0: 50, 1: 50}
+    one_bad = left.where("doc_id % 2 = 1").union(left.where("doc_id % 2 = 0").limit(1))
+    assert training_sample(one_bad, labels, "quality", 50).toPandas().label.value_counts().to_dict() == {1: 50, 0: 1}
+
+
 def statistics_of(text):
     w = WORD.findall(text or "")
     windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
