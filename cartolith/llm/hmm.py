@@ -1,16 +1,18 @@
 """A hidden Markov language model, trained by Baum-Welch over partitions.
 
-States emit word classes, and classes emit words. Each of the most frequent words
-is a class of its own; all other words, unknown ones too, fall into classes by
+States emit word classes, and classes emit words. Each of the 1000 most frequent
+words is a class of its own, and so is each that occurs 1000 times or more; all other words, unknown ones too, fall into classes by
 their first and last letters and their length, and within such a class a word has
 its smoothed share of the class's tokens (one more share is kept for unknown
-words). So the model is a proper one over an open vocabulary, while a state has
-some 2000 parameters at any size of the corpus.
+words). So the model is a proper one over an open vocabulary, whose states get
+more parameters as the corpus grows; words of their own are among the 131,072 that
+go to every executor.
 
 Word counts are summed over all training documents; the counts of the 131,072
 most frequent words go to every executor, those of all others are joined. Each
 Baum-Welch pass runs over every training document, adds up expected counts in the
-partitions and then state by state. Start values come from a bounded sample.
+partitions and then state by state. Start values are the classes' shares of all
+training tokens with seeded noise. Passes end when they gain little.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import releasing
-from .selection import largest, sample
+from .selection import largest
 from .storage import written
 from .words import buffers, find_words, hash_spans, mix, slices
 
 FOLDS, SMOOTH = 10, 0.1
-STATES, TOP_WORDS, SHAPES, FREQUENT = 8, 1000, 1024, 1 << 17
+STATES, TOP_WORDS, OWN_COUNT, SHAPES, FREQUENT = 8, 1000, 1000, 1024, 1 << 17
 END = np.int64(0x7E57)  # stands for the end token's hash
 _KEPT_WORDS, _TOKENS = 1 << 20, 1 << 19
 
@@ -95,13 +97,20 @@ class Lexicon:
         self.hashes, self.counts = hashes[order], counts[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        top = [k for k in range(min(len(hashes), TOP_WORDS + 1)) if hashes[k] != END][:TOP_WORDS]
-        self.classes = np.full(len(hashes), -1, np.int16)  # class of its own; -1: by shape
+        words = np.flatnonzero(hashes != END)
+        top = words[: max(TOP_WORDS, int((counts[words] >= OWN_COUNT).sum()))]
+        self.classes = np.full(len(hashes), -1, np.int32)  # class of its own; -1: by shape
         self.classes[rank[top]] = np.arange(1, len(top) + 1)
         self.total, self.distinct = total, distinct
-        self.edge = (int(counts[top[-1]]), int(hashes[top[-1]])) if top else (0, 0)
+        self.edge = (int(counts[top[-1]]), int(hashes[top[-1]])) if len(top) else (0, 0)
+        self.own = max(TOP_WORDS, len(top))
+        self.end_total, self.own_total = int(counts[hashes == END].sum()), counts[top]
         self.shape_total, self.shape_words = np.zeros(SHAPES), np.zeros(SHAPES)
 
+    def totals(self) -> np.ndarray:
+        """Training tokens of each class: the end token, words of their own, shapes."""
+        return np.concatenate(([self.end_total], self.own_total, np.zeros(self.own - len(self.own_total)), self.shape_total))
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
@@ -116,7 +125,7 @@ class Lexicon:
         return at, self.hashes[at] == hashes
 
 
-CLASSES = 1 + TOP_WORDS + SHAPES
+CLASSES = 1 + TOP_WORDS + SHAPES  # at least
 
 
 def _by_length(first: np.ndarray, limit: int = _TOKENS) -> Iterator[np.ndarray]:
@@ -154,6 +163,12 @@ def log_likelihood(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, mov
 
 def expected_counts(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions of all sequences, by the scaled forward-backward recursion."""
+    return _expected(tokens, first, start, move, emit)[:3]
+
+
+def _expected(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``expected_counts``, and the log10 probability of all sequences."""
+    chance = np.zeros(1)
     starts, moves, emissions = np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit)
     by_class = np.ascontiguousarray(emit.T)
     for chosen in _by_length(first):
@@ -166,6 +181,7 @@ def expected_counts(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, mo
             state = local * (start if t == 0 else forward[at[t - 1] : at[t - 1] + k] @ move)
             scale = state.sum(axis=1)
             forward[at[t] : at[t + 1]], scales[at[t] : at[t + 1]] = state / scale[:, None], scale
+        chance += np.log10(scales).sum()
         backward = np.ones((len(chosen), len(start)))
         onward_sum = np.zeros_like(move)
         for t in range(len(active) - 1, -1, -1):
@@ -183,7 +199,7 @@ def expected_counts(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, mo
         placed = np.concatenate([begin[:k] + t for t, k in enumerate(active)])
         for s in range(len(start)):
             emissions[s] += np.bincount(tokens[placed], weights=forward[:, s], minlength=emit.shape[1])
-    return starts, moves, emissions
+    return starts, moves, emissions, chance
 
 
 def reestimated(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,20 +210,23 @@ def reestimated(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, pr
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = buffers(column)
-    return data.view(np.int16), offsets // 2
+    return data.view(np.int32), offsets // 4
 
 
-def baum_welch(encoded: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass over all rows of ``encoded`` (classes): counts are added up within partitions, then for each state."""
+def baum_welch(encoded: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], prior: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+    """One pass over all rows of ``encoded`` (classes): counts are added up within partitions, then for each state.
+
+    The model after the pass, and the log10 probability of all rows before it.
+    """
     states = len(model[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for batch in batches:
-            found = expected_counts(*_unpacked(batch.column("classes")), *model)
+            found = _expected(*_unpacked(batch.column("classes")), *model)
             sums = found if sums is None else tuple(a + b for a, b in zip(sums, found, strict=True))
         if sums is not None:
-            packed = [np.concatenate([sums[0][s : s + 1], sums[1][s], sums[2][s]]).tobytes() for s in range(states)]
+            packed = [np.concatenate([sums[0][s : s + 1], sums[3] / states, sums[1][s], sums[2][s]]).tobytes() for s in range(states)]
             yield pa.RecordBatch.from_arrays([pa.array(range(states), pa.int32()), pa.array(packed)], ["state", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,34 +239,29 @@ def baum_welch(encoded: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarr
     kind = "state int, counts binary"
     rows = encoded.select("classes").mapInArrow(releasing(count), kind).repartition(states, "state").mapInArrow(add, kind).collect()  # a row for each state
     if not rows:
-        return model
+        return model, 0.0
     table = np.stack([np.frombuffer(r.counts) for r in sorted(rows)])
-    return reestimated(table[:, 0], table[:, 1 : 1 + states], table[:, 1 + states :], prior)
+    return reestimated(table[:, 0], table[:, 2 : 2 + states], table[:, 2 + states :], prior), float(table[:, 1].sum())
 
 
-def _started(sample: list[bytes], states: int, prior: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start values: random ones, and Baum-Welch rounds over the sample."""
+def _started(totals: np.ndarray, states: int, prior: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start values: the classes' shares of all training tokens, with seeded noise."""
     rng = np.random.default_rng(seed)
     whole = lambda x: x / x.sum(axis=-1, keepdims=True)
-    tokens = np.frombuffer(b"".join(sample), np.int16)
-    first = np.concatenate(([0], np.cumsum([len(b) // 2 for b in sample]))).astype(np.int64)
-    seen = np.bincount(tokens, minlength=CLASSES) + prior
-    model = whole(np.ones(states)), whole(np.eye(states) * states + 1), whole(seen * rng.gamma(2.0, size=(states, CLASSES)))
-    for _ in range(rounds if len(tokens) else 0):
-        model = reestimated(*expected_counts(tokens, first, *model), prior)
-    return model
+    return whole(np.ones(states)), whole(np.eye(states) * states + 1), whole((totals + prior) * rng.gamma(2.0, size=(states, len(totals))))
 
 
-def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, sample_docs: int = 1200, sample_tokens: int = 3000, rounds: int = 15, seed: int = 7) -> DataFrame:
+def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, rounds: int = 15, seed: int = 7, least_gain: float = 1e-3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
     Learnt from the rows whose crc32 of the id as text does not divide by 10 (null
     ids are learnt from). Tokens: lower-cased (A-Z) words and one end token, the
     only token of null, empty and blank texts. base_score: log10 probability by
-    smoothed word counts; score: by the hidden Markov model. The start values come
-    from ``sample_docs`` training rows of at most ``sample_tokens`` tokens; the
-    ``passes`` that make the model cover all training rows. Repeated rows count and
-    are scored each. Extra columns are ignored; an empty table gives an empty
+    smoothed word counts; score: by the hidden Markov model. All Baum-Welch passes
+    cover all training rows: ``rounds`` from the start values and ``passes`` more,
+    ending earlier when one gains less than ``least_gain`` a token in log10
+    probability of the training rows' classes after the first third of them, as gains
+    are small before the states have parted. Repeated rows count and are scored each. Extra columns are ignored; an empty table gives an empty
     result, and without training rows all words are unknown.
     """
     spark: SparkSession = docs.sparkSession
@@ -269,9 +283,9 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, samp
             for i, j, hashes, shapes, first in _words(batch.column("text")):
                 at, known = lex.find(hashes)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
-                classes = np.where(hashes == END, 0, np.where(known, lex.classes[at] if len(lex.classes) else -1, -1)).astype(np.int16)
+                classes = np.where(hashes == END, 0, np.where(known, lex.classes[at] if len(lex.classes) else -1, -1)).astype(np.int32)
                 shaped = classes < 0
-                classes[shaped] = 1 + TOP_WORDS + shapes[shaped]
+                classes[shaped] = 1 + lex.own + shapes[shaped]
                 c = np.where(known, lex.counts[at] if len(lex.counts) else 0, 0)
                 sums = lambda where, what: np.bincount(doc[where], weights=what, minlength=j - i).astype(float)  # noqa: E731  whole numbers if empty
                 rare = np.flatnonzero(~known & (hashes != END))
@@ -296,13 +310,15 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, samp
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, inner double, classes binary, rare array<long>, times array<int>, shapes array<short>"
     encoded = written(rows.select("doc_id", "held_out", "text").mapInArrow(releasing(encode), schema).withColumn("row", F.monotonically_increasing_id()), "lm_rows")
 
-    prior = np.where(np.arange(CLASSES) == 0, 0.1, 0.01)
+    totals = lexicon.totals()
+    prior = np.where(np.arange(len(totals)) == 0, 0.1, 0.01)
     training = encoded.where(~F.col("held_out"))
-    short = training.where(F.col("n_tokens") <= sample_tokens).select("doc_id", "classes")
-    few = sample(short, F.col("doc_id"), sample_docs, ["classes"]).select("classes").collect()  # sample_docs * sample_tokens tokens at most
-    model = _started([bytes(r.classes) for r in few], states, prior, rounds, seed)
-    for _ in range(passes):
-        model = baum_welch(training, model, prior)
+    model, before = _started(totals, states, prior, seed), -np.inf
+    for k in range(rounds + passes):
+        model, chance = baum_welch(training, model, prior)
+        if 3 * k > rounds + passes and chance - before < least_gain * total:
+            break
+        before = chance
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -419,6 +419,23 @@ def test_classes_share_their_tokens_out():
     assert all(np.allclose(x.sum(axis=-1), 1) for x in model)
 
 
+def test_every_training_row_shapes_the_states_in_every_pass(spark, monkeypatch):
+    seen = []
+    whole = hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda encoded, *rest: (seen.append(encoded.count()), whole(encoded, *rest))[1])
+    docs = spark.createDataFrame([(i, ("a b " if i % 2 else "c d ") * 2000) for i in range(12)], "doc_id long, text string")  # no row has 3000 tokens or fewer
+    training = sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in range(12))
+    got = hmm.score_documents(docs).toPandas()
+    assert len(seen) > 2 and set(seen) == {training}
+    assert (got.score > got.base_score).all()
+
+
+def test_frequent_words_have_classes_of_their_own():
+    n = 40_000
+    lexicon = hmm.Lexicon(np.arange(n) + 10 * int(hmm.END), np.full(n, hmm.OWN_COUNT), n * hmm.OWN_COUNT, n)
+    assert sorted(lexicon.classes.tolist()) == list(range(1, n + 1)) and len(lexicon.totals()) == 1 + n + hmm.SHAPES
+
+
 def test_language_model_of_a_few_words(spark):
     docs = spark.createDataFrame([(i, w) for i, w in enumerate(["a b a", "b c", "a a d", "c"] * 3)], "doc_id long, text string")
     got = hmm.score_documents(docs).toPandas()
