@@ -13,6 +13,9 @@
    all others, in blocks of bounded size. So a large group of copies costs its
    size, not its square.
 
+Posting lists, pivots and classes that hold a large part of all rows are spread
+over all tasks (``skew.look_up``). Sets are of 64-bit hashes of whole shingles.
+
 A pair of similarity 0.8 agrees in fewer than 14 of 32 coordinates with a
 probability below 7e-6; no other pair is lost, for no list, block or number of
 partners is capped.
@@ -24,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .memory import releasing
-from .storage import written
+from .skew import look_up
+from .storage import discard, written
 from .words import buffers, find_words, hash_spans, mix, runs, slices
 
 COORDINATES, MATCHES = 32, 14
@@ -206,11 +210,12 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, width
             rare = np.argsort(_order(keys, counts.value), axis=1, kind="stable")[:, :PREFIX]
             chosen = np.take_along_axis(keys, rare, axis=1)
             repeated = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), PREFIX))
-            yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), repeated("vid"), repeated("n"), repeated("rep")], ["key", "vid", "n", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), repeated("vid"), repeated("n")], ["key", "vid", "n"])
 
-    postings = written(classes.select("vid", "n", "rep", "signature").mapInArrow(releasing(post), "key long, vid long, n long, rep long"), "dedup_postings")
-    lists = written(postings.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "vid", "n")).alias("pivot")).where("size > 1"), "dedup_lists")
-    held = written(postings.join(lists, "key").select("key", "vid", "n", "size", F.col("pivot.vid").alias("p"), F.col("pivot.n").alias("pn")), "dedup_held")
+    postings = written(classes.select("vid", "n", "signature").mapInArrow(releasing(post), "key long, vid long, n long"), "dedup_postings")
+    lists = written(postings.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("vid", "n")).alias("pivot")).where("size > 1"), "dedup_lists")
+    held = written(look_up(postings, lists, "key").select("key", "vid", "n", "size", F.col("pivot.vid").alias("p"), F.col("pivot.n").alias("pn")), "dedup_held")
+    discard(postings, lists)
     fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes too far apart cannot be similar
     stars = (
         held.where((F.col("vid") != F.col("p")) & fit("n", "pn"))
@@ -219,23 +224,23 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, width
         .select("p", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / BLOCK)).cast("long").alias("chunk"))
     )
     signed = classes.select("vid", "signature")
-    near = written(
-        _agreeing(
-            stars.join(signed.select(F.col("vid").alias("v"), F.col("signature").alias("vs")), "v").join(signed.select(F.col("vid").alias("p"), F.col("signature").alias("ps")), "p")
-        ),
-        "dedup_stars",
-    )
+    offered = written(stars.join(signed.select(F.col("vid").alias("v"), F.col("signature").alias("vs")), "v"), "dedup_offers")
+    near = written(_agreeing(look_up(offered, signed.select(F.col("vid").alias("p"), F.col("signature").alias("ps")), "p")), "dedup_stars")
+    discard(offered)
     gid = F.xxhash64("p", "chunk")
     star_blocks = near.select(gid.alias("gid"), F.lit(0).alias("side"), F.col("p").alias("vid")).unionByName(near.select(gid.alias("gid"), F.lit(1).alias("side"), F.col("v").alias("vid")))
     star_blocks = star_blocks.withColumn("label", F.col("vid"))
     first = written(_confirmed(star_blocks, _sets(docs, star_blocks, classes, width), percent), "dedup_links")
+    discard(near)
     labels = components(first)
 
-    named = held.join(labels.select(F.col("v").alias("vid"), "label"), "vid", "left").withColumn("label", F.coalesce("label", "vid"))
+    own = labels.select(F.col("v").alias("vid"), "label")
+    labelled = written(held.join(own, "vid", "left").withColumn("label", F.coalesce("label", "vid")), "dedup_labelled")
     pivots = labels.select(F.col("v").alias("p"), F.col("label").alias("plabel"))
-    named = written(named.join(pivots, "p", "left").withColumn("plabel", F.coalesce("plabel", "p")), "dedup_named")
+    named = written(look_up(labelled, pivots, "p", "left").withColumn("plabel", F.coalesce("plabel", "p")), "dedup_named")
+    discard(held, labelled)
     others = written(named.where("label <> plabel").groupBy("key").agg(F.count("*").alias("others")), "dedup_open")
-    open_ = named.select("key", "vid", "n", "label", "plabel", "size").join(others, "key")
+    open_ = look_up(named.select("key", "vid", "n", "label", "plabel", "size"), others, "key")
     rows, all_rows = F.ceil(F.col("others") / BLOCK), F.ceil(F.col("size") / BLOCK)
     at = lambda n: F.pmod(F.xxhash64("vid"), n)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -269,7 +274,10 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, width
     cells = left.unionByName(right).withColumn("gid", F.xxhash64("key", "i", "j")).join(signed, "vid")
     sorted_ = cells.select("gid", "key", "side", "vid", "n", "label", "signature").repartition("gid").sortWithinPartitions("gid")
     flagged = written(sorted_.mapInArrow(releasing(flag), "gid long, side int, vid long, label long"), "dedup_flagged")
-    second = _confirmed(flagged, _sets(docs, flagged, classes, width), percent)
+    discard(named, others)
+    second = written(_confirmed(flagged, _sets(docs, flagged, classes, width), percent), "dedup_links")
+    if second.isEmpty():
+        return labels
     return components(first.unionByName(second))
 
 
@@ -284,23 +292,15 @@ def _sets(docs: DataFrame, blocks: DataFrame, classes: DataFrame, width: int) ->
             right = (one == batch.column("one").to_numpy()) & (two == batch.column("two").to_numpy())  # an id may stand for several texts
             yield pa.RecordBatch.from_arrays([batch.column("vid").filter(pa.array(right)), pa.array([s.tobytes() for s, r in zip(sets, right, strict=True) if r], pa.binary())], ["vid", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
     return texts.select("vid", "one", "two", "text").mapInArrow(releasing(gather), "vid long, shingles binary").groupBy("vid").agg(F.first("shingles").alias("shingles"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
-
-    Shingles: distinct runs of ``width`` words of the lower-cased (A-Z) text; a
-    text of fewer words is one shingle, and a null, empty or blank text none and
-    linked with nothing. Texts are linked if their sets' intersection is at least
-    ``percent`` per cent of their union. component_id: the smallest doc_id
-    reachable by links; kept: doc_id is that one. Rows with a null doc_id are
-    linked with nothing: component_id null, kept true. Repeated rows of one id all
-    come, with the same result where their texts agree. Extra columns are ignored;
-    an empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n, component_id, and text1 and text2 (two hashes of the text) of each row of ``docs``."""
     spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    carried = ["doc_id", "text1", "text2"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 sizes, one, two = digests(sets)
                 packed = [s.tobytes() for s in signatures(sets)]
                 return pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(done, len(sets)), pa.array(sizes), pa.array(one), pa.array(two), pa.array(packed, pa.binary())], ["doc_id", "n", "one", "two", "signature"]
+                    [*(batch.column(c).slice(done, len(sets)) for c in carried), pa.array(sizes), pa.array(one), pa.array(two), pa.array(packed, pa.binary())], [*carried, "n", "one", "two", "signature"]
                 )
 
             held = 0
@@ -325,23 +325,56 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             if sets:
                 yield out()
 
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(sign), "doc_id long, n long, one long, two long, signature binary"), "dedup_rows")
+    texts = docs.select("doc_id", "text", *_text_hashes())
+    rows = written(texts.mapInArrow(releasing(sign), f"doc_id {kind}, text1 long, text2 long, n long, one long, two long, signature binary"), "dedup_rows")
     linkable = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = written(
-        linkable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")).withColumn("vid", F.monotonically_increasing_id()),
-        "dedup_classes",
-    )
+    found = linkable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    # vid rises with rep, so a component's smallest vid belongs to its smallest doc_id
+    classes = written(found.repartitionByRange("rep", "one", "two").sortWithinPartitions("rep", "one", "two").withColumn("vid", F.monotonically_increasing_id()), "dedup_classes")
     labels = link_classes(spark, docs, classes, width, percent)
-    placed = classes.select("vid", "rep", "one", "two").join(labels.withColumnRenamed("v", "vid"), "vid", "left").withColumn("label", F.coalesce("label", "vid"))
-    smallest = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
-    classed = placed.join(smallest, "label").select("one", "two", "component_id")
-    linked = linkable.join(classed, ["one", "two"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = written(classes.select("vid", "rep", "one", "two").join(labels.withColumnRenamed("v", "vid"), "vid", "left").withColumn("label", F.coalesce("label", "vid")), "dedup_named")
+    smallest = classes.select(F.col("vid").alias("label"), F.col("rep").alias("component_id"))
+    classed = written(look_up(named, smallest, "label").select("one", "two", "component_id"), "dedup_classed")
+    discard(labels, named)
+    linked = look_up(linkable, classed, ["one", "two"]).select(*carried, "n", "component_id")
+    alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select(*carried, "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def _text_hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("text1"), F.xxhash64(F.lit(1), "text", F.octet_length("text")).alias("text2")]
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
+
+    Shingles: distinct runs of ``width`` words of the lower-cased (A-Z) text; a
+    text of fewer words is one shingle, and a null, empty or blank text none and
+    linked with nothing. Texts are linked if their sets' intersection is at least
+    ``percent`` per cent of their union. component_id: the smallest doc_id
+    reachable by links; kept: doc_id is that one. doc_id may be of any type that
+    can be ordered, text too. Rows with a null doc_id are linked with nothing:
+    component_id null, kept true. Repeated rows of one id all come, with the same
+    result where their texts agree. Extra columns are ignored; an empty table gives
+    an empty result.
+    """
+    placed = _placed(docs, width, percent)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps; of rows with equal id and text, one."""
-    kept = near_duplicates(docs, width, percent).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each component of ``near_duplicates``, with all columns of ``docs``, and the rows linked with nothing.
+
+    The row that stays has its component's smallest doc_id; if that id has several
+    texts in the component, the one of the smallest text hash. Rows are told apart
+    by id and text, so another text under a kept id stays only if its own component
+    keeps it. Of rows with equal id and text one stays; rows with a null id all do.
+    """
+    named = _placed(docs, width, percent).where(F.col("doc_id").isNotNull())
+    first = named.where((F.col("n") > 0) & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("text1", "text2")).alias("t"))
+    kept = first.select(F.col("component_id").alias("doc_id"), "t.text1", "t.text2").unionByName(named.where("n = 0").select("doc_id", "text1", "text2").distinct())
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*names).alias("row"), "doc_id", *_text_hashes())
+    keys = ["doc_id", "text1", "text2"]
+    one = rows.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")  # dealt out as the join is
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))

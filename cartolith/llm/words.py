@@ -36,18 +36,14 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLDEN)
 _LOWERED = _BYTE.copy()
 _LOWERED[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
-_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers
+def _places(start: int, stop: int) -> np.ndarray:
+    """A fixed random odd number for each place in a span."""
+    return mix((np.arange(start, stop, dtype=np.uint64) + np.uint64(257)) * _GOLDEN) | np.uint64(1)
+
+
+_PLACES = _places(0, 1 << 14)
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,20 +110,30 @@ def find_lines(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each span of bytes, equal where the bytes are; ``lower`` reads A-Z as a-z."""
-    out = np.empty(len(starts), np.uint64)
-    table, i = (_LOWERED if lower else _BYTE), 0
-    while i < len(starts):
-        at = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, at + SLICE_BYTES, "right")))
-        up, down = _power_tables(int(ends[j - 1] - at) + 1)
-        size = int(ends[j - 1] - at)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(table[data[at : at + size]] * up[:size], out=sums[1:])
-        a, b = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
+    """A 64-bit hash of each span of bytes; ``lower`` reads A-Z as a-z.
+
+    Each byte's random number times that of its place in the span, summed: two
+    different spans get one hash with odds below one in 2**48, whatever pattern
+    their bytes follow, as each place has a factor of its own.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    table = _LOWERED if lower else _BYTE
+    sizes = ends - starts
+    for k in np.flatnonzero(sizes > len(_PLACES)):
+        for at in range(int(starts[k]), int(ends[k]), SLICE_BYTES):
+            upto = min(at + SLICE_BYTES, int(ends[k]))
+            out[k : k + 1] += (table[data[at:upto]] * _places(at - int(starts[k]), upto - int(starts[k]))).sum(dtype=np.uint64)
+    short = np.flatnonzero((sizes > 0) & (sizes <= len(_PLACES)))
+    cuts = np.concatenate(([0], np.cumsum(sizes[short])))
+    i = 0
+    while i < len(short):
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + SLICE_BYTES, "right")) - 1)
+        begin, lengths = cuts[i:j] - cuts[i], sizes[short[i:j]]
+        place = np.arange(cuts[j] - cuts[i]) - np.repeat(begin, lengths)
+        values = table[data[place + np.repeat(starts[short[i:j]], lengths)]] * _PLACES[place]
+        out[short[i:j]] = np.add.reduceat(values, begin)
         i = j
-    return mix(out)
+    return mix(out + sizes.astype(np.uint64) * _GOLDEN)
 
 
 def runs(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
