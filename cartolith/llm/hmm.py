@@ -1,16 +1,17 @@
 """A hidden Markov language model, trained by Baum-Welch over partitions.
 
-States emit word classes, and classes emit words. Each of the 1000 most frequent
-words is a class of its own, and so is each that occurs 1000 times or more; all other words, unknown ones too, fall into classes by
-their first and last letters and their length, and within such a class a word has
-its smoothed share of the class's tokens (one more share is kept for unknown
-words). So the model is a proper one over an open vocabulary, whose states get
-more parameters as the corpus grows; words of their own are among the 131,072 that
-go to every executor.
+States emit word classes, and classes emit words. The end token is a class, each
+of the 1000 most frequent words is one of its own, and so is each that occurs 1000
+times or more; all other words, unknown ones too, fall into classes by their first
+and last letters and their length, and within such a class a word has its smoothed
+share of the class's tokens (one more share is kept for unknown words). So the
+model is a proper one over an open vocabulary, whose states get more parameters as
+the corpus grows; words of their own are among the 131,072 that go to every
+executor.
 
 Word counts are summed over all training documents; the counts of the 131,072
-most frequent words go to every executor, those of all others are joined. Each
-Baum-Welch pass runs over every training document, adds up expected counts in the
+most frequent words go to every executor, those of all others are joined; the end
+token is counted apart from the words. Each Baum-Welch pass runs over every training document, adds up expected counts in the
 partitions and then state by state. Start values are the classes' shares of all
 training tokens with seeded noise. Passes end when they gain little.
 """
@@ -33,6 +34,7 @@ FOLDS, SMOOTH = 10, 0.1
 STATES, TOP_WORDS, OWN_COUNT, SHAPES, FREQUENT = 8, 1000, 1000, 1024, 1 << 17
 END = np.int64(0x7E57)  # stands for the end token's hash
 _KEPT_WORDS, _TOKENS = 1 << 20, 1 << 19
+_RESCALE, _BLOCK = 8, 1 << 15  # steps between rescalings, rows of one bulk operation
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,19 +94,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Lexicon:
     """The frequent words' counts, and the totals of all classes."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, end_total: int = 0):
+        """hashes and counts of words by falling count; total and distinct are of all training tokens, the end token among them."""
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        words = np.flatnonzero(hashes != END)
-        top = words[: max(TOP_WORDS, int((counts[words] >= OWN_COUNT).sum()))]
+        top = np.arange(min(len(hashes), max(TOP_WORDS, int((counts >= OWN_COUNT).sum()))))
         self.classes = np.full(len(hashes), -1, np.int32)  # class of its own; -1: by shape
         self.classes[rank[top]] = np.arange(1, len(top) + 1)
         self.total, self.distinct = total, distinct
         self.edge = (int(counts[top[-1]]), int(hashes[top[-1]])) if len(top) else (0, 0)
         self.own = max(TOP_WORDS, len(top))
-        self.end_total, self.own_total = int(counts[hashes == END].sum()), counts[top]
+        self.end_total, self.own_total = end_total, counts[top]
         self.shape_total, self.shape_words = np.zeros(SHAPES), np.zeros(SHAPES)
 
     def totals(self) -> np.ndarray:
@@ -140,65 +142,90 @@ def _by_length(first: np.ndarray, limit: int = _TOKENS) -> Iterator[np.ndarray]:
         i = j
 
 
-def _active(sizes: np.ndarray) -> np.ndarray:
-    return np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
-
-
 def log_likelihood(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Exact log10 probability of each sequence of classes by the scaled forward recursion."""
     out = np.zeros(len(first) - 1)
     by_class = np.ascontiguousarray(emit.T)
     for chosen in _by_length(first):
-        begin, sizes = first[:-1][chosen], np.diff(first)[chosen]
-        state, total = None, np.zeros(len(chosen))
-        for t, k in enumerate(_active(sizes)):
-            local = by_class[tokens[begin[:k] + t]]
-            state = local * (start if t == 0 else state[:k] @ move)
-            scale = state.sum(axis=1)
-            state /= scale[:, None]
-            total[:k] += np.log10(scale)
-        out[chosen] = total
+        steps = _Steps(first, chosen)
+        forward, scale = _forward(steps, by_class[tokens[steps.token]], start, move)
+        out[chosen] = np.log10(forward[steps.last].sum(axis=1)) + np.bincount(steps.row, weights=np.log10(scale), minlength=len(chosen))
     return out
 
 
-def expected_counts(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of all sequences, by the scaled forward-backward recursion."""
-    return _expected(tokens, first, start, move, emit)[:3]
+class _Steps:
+    """Sequences, longest first, laid out step by step: rows ``at[t]`` to ``at[t + 1]`` hold place t of all that have one."""
+
+    def __init__(self, first: np.ndarray, chosen: np.ndarray):
+        sizes = np.diff(first)[chosen]
+        self.active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left").tolist()
+        at = np.concatenate(([0], np.cumsum(self.active)))
+        step = np.repeat(np.arange(len(self.active)), self.active)
+        self.row = np.arange(at[-1]) - at[step]  # the sequence of each row
+        self.token = first[:-1][chosen][self.row] + step
+        self.before = at[np.maximum(step - 1, 0)] + self.row
+        self.last = at[sizes - 1] + np.arange(len(chosen))
+        self.at = at.tolist()
+
+
+def _forward(steps: _Steps, local: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward probabilities, rescaled to sum 1 every few steps, and the factor each row was divided by."""
+    at, active = steps.at, steps.active
+    out, scale = np.empty_like(local), np.ones(len(local), local.dtype)
+    np.multiply(local[: active[0]], start, out=out[: active[0]])
+    for t in range(1, len(active)):
+        rows = out[at[t] : at[t + 1]]
+        np.matmul(out[at[t - 1] : at[t - 1] + active[t]], move, out=rows)
+        rows *= local[at[t] : at[t + 1]]
+        if t % _RESCALE == 0:
+            total = rows.sum(axis=1)
+            scale[at[t] : at[t + 1]] = total
+            rows /= total[:, None]
+    return out, scale
+
+
+def _backward(steps: _Steps, local: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Backward probabilities up to a factor of each row."""
+    at, active, back = steps.at, steps.active, np.ascontiguousarray(move.T)
+    out = np.ones_like(local)
+    for t in range(len(active) - 1, 0, -1):
+        rows = out[at[t - 1] : at[t - 1] + active[t]]
+        np.matmul(local[at[t] : at[t + 1]] * out[at[t] : at[t + 1]], back, out=rows)
+        if t % _RESCALE == 0:
+            rows /= rows.sum(axis=1)[:, None]
+    return out
+
 
+def expected_counts(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kind: type = float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of all sequences by the scaled forward-backward recursion, and their log10 probability.
 
-def _expected(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``expected_counts``, and the log10 probability of all sequences."""
-    chance = np.zeros(1)
-    starts, moves, emissions = np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit)
-    by_class = np.ascontiguousarray(emit.T)
+    Emissions are taken relative to the likeliest state's, so that a few steps never
+    leave the range of ``kind``.
+    """
+    states = len(start)
+    starts, moves, emissions, chance = np.zeros(states), np.zeros_like(move), np.zeros_like(emit), np.zeros(1)
+    best = emit.max(axis=0)
+    by_class, log_best = np.ascontiguousarray((emit / best).T, kind), np.log10(best)
+    start_, move_ = start.astype(kind), np.ascontiguousarray(move, kind)
     for chosen in _by_length(first):
-        begin, sizes = first[:-1][chosen], np.diff(first)[chosen]
-        active = _active(sizes)
-        at = np.concatenate(([0], np.cumsum(active)))  # rows of step t
-        forward, scales = np.empty((at[-1], len(start))), np.empty(at[-1])
-        for t, k in enumerate(active):
-            local = by_class[tokens[begin[:k] + t]]
-            state = local * (start if t == 0 else forward[at[t - 1] : at[t - 1] + k] @ move)
-            scale = state.sum(axis=1)
-            forward[at[t] : at[t + 1]], scales[at[t] : at[t + 1]] = state / scale[:, None], scale
-        chance += np.log10(scales).sum()
-        backward = np.ones((len(chosen), len(start)))
-        onward_sum = np.zeros_like(move)
-        for t in range(len(active) - 1, -1, -1):
-            k = active[t]
-            rows = slice(at[t], at[t + 1])
-            if t:
-                onward = by_class[tokens[begin[:k] + t]] * (backward[:k] / scales[rows, None])
-                onward_sum += forward[at[t - 1] : at[t - 1] + k].T @ onward
-                forward[rows] *= backward[:k]
-                backward[:k] = onward @ move.T
-            else:
-                forward[rows] *= backward[:k]
-        moves += onward_sum * move
-        starts += forward[: active[0]].sum(axis=0)
-        placed = np.concatenate([begin[:k] + t for t, k in enumerate(active)])
-        for s in range(len(start)):
-            emissions[s] += np.bincount(tokens[placed], weights=forward[:, s], minlength=emit.shape[1])
+        steps = _Steps(first, chosen)
+        word = tokens[steps.token]
+        local = by_class[word]
+        forward, scale = _forward(steps, local, start_, move_)
+        backward = _backward(steps, local, move_)
+        chance += np.log10(forward[steps.last].sum(axis=1)).sum(dtype=float) + np.log10(scale).sum(dtype=float) + log_best[word].sum()
+        fresh = steps.active[0]
+        for a in range(0, len(word), _BLOCK):
+            rows = slice(a, a + _BLOCK)
+            both = forward[rows] * backward[rows]
+            whole = both.sum(axis=1)
+            both /= whole[:, None]
+            starts += both[: max(0, fresh - a)].sum(axis=0)
+            for s in range(states):
+                emissions[s] += np.bincount(word[rows], weights=both[:, s], minlength=emit.shape[1])
+            later = slice(max(a, fresh), a + _BLOCK)  # rows with one before
+            onward = local[later] * backward[later] / (whole[len(whole) - len(local[later]) :] * scale[later])[:, None]
+            moves += forward[steps.before[later]].T @ onward * move
     return starts, moves, emissions, chance
 
 
@@ -223,7 +250,7 @@ def baum_welch(encoded: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for batch in batches:
-            found = _expected(*_unpacked(batch.column("classes")), *model)
+            found = expected_counts(*_unpacked(batch.column("classes")), *model, np.float32)
             sums = found if sums is None else tuple(a + b for a, b in zip(sums, found, strict=True))
         if sums is not None:
             packed = [np.concatenate([sums[0][s : s + 1], sums[3] / states, sums[1][s], sums[2][s]]).tobytes() for s in range(states)]
@@ -261,18 +288,22 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, roun
     cover all training rows: ``rounds`` from the start values and ``passes`` more,
     ending earlier when one gains less than ``least_gain`` a token in log10
     probability of the training rows' classes after the first third of them, as gains
-    are small before the states have parted. Repeated rows count and are scored each. Extra columns are ignored; an empty table gives an empty
-    result, and without training rows all words are unknown.
+    are small before the states have parted. Repeated rows count and are scored
+    each. Extra columns are ignored; an empty table gives an empty result, and
+    without training rows all words are unknown. Passes compute in single precision,
+    scores in double.
     """
     spark: SparkSession = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False)).alias("held_out"))
     counts = written(word_counts(rows.where(~F.col("held_out"))), "lm_counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    frequent = largest(counts, "count", FREQUENT).select("hash", "count").toPandas().sort_values(["count", "hash"], ascending=[False, True])  # FREQUENT rows at most
-    lexicon = Lexicon(frequent["hash"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64), total, distinct)
+    ends = F.sum(F.when(F.col("shape") < 0, F.col("count")))  # the end token's only row
+    total, distinct, end_total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
+    word_rows = counts.where("shape >= 0")
+    frequent = largest(word_rows, "count", FREQUENT).select("hash", "count").toPandas().sort_values(["count", "hash"], ascending=[False, True])  # FREQUENT rows at most
+    lexicon = Lexicon(frequent["hash"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64), total, distinct, end_total)
     edge = lexicon.edge
-    rest = counts.where(((F.col("count") < edge[0]) | ((F.col("count") == edge[0]) & (F.col("hash") > edge[1]))) & (F.col("shape") >= 0)) if edge[0] else counts.where("shape >= 0")
+    rest = word_rows.where((F.col("count") < edge[0]) | ((F.col("count") == edge[0]) & (F.col("hash") > edge[1]))) if edge[0] else word_rows
     for r in rest.groupBy("shape").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).collect():  # SHAPES rows at most
         lexicon.shape_total[r["shape"]], lexicon.shape_words[r["shape"]] = r["tokens"], r["words"]
     shared = spark.sparkContext.broadcast(lexicon)
@@ -282,15 +313,17 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, roun
         for batch in batches:
             for i, j, hashes, shapes, first in _words(batch.column("text")):
                 at, known = lex.find(hashes)
+                end = shapes < 0
+                known &= ~end
                 doc = np.repeat(np.arange(j - i), np.diff(first))
-                classes = np.where(hashes == END, 0, np.where(known, lex.classes[at] if len(lex.classes) else -1, -1)).astype(np.int32)
+                classes = np.where(end, 0, np.where(known, lex.classes[at] if len(lex.classes) else -1, -1)).astype(np.int32)
                 shaped = classes < 0
                 classes[shaped] = 1 + lex.own + shapes[shaped]
                 c = np.where(known, lex.counts[at] if len(lex.counts) else 0, 0)
                 sums = lambda where, what: np.bincount(doc[where], weights=what, minlength=j - i).astype(float)  # noqa: E731  whole numbers if empty
-                rare = np.flatnonzero(~known & (hashes != END))
-                ends_unknown = ~known & (hashes == END)
-                base = sums(known, lex.base(c[known])) + sums(ends_unknown, lex.base(np.zeros(int(ends_unknown.sum()))))
+                rare = np.flatnonzero(~known & ~end)
+                base = sums(known, lex.base(c[known])) + lex.base(np.array(lex.end_total))  # each row has one end token
+                n_known = sums(known, np.ones(int(known.sum()))).astype(np.int64) + (lex.end_total > 0)
                 inner_at = known & shaped
                 inner = sums(inner_at, lex.inner(c[inner_at], shapes[inner_at]))
                 order = rare[np.lexsort((hashes[rare], doc[rare]))]
@@ -300,7 +333,7 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, roun
                 column = lambda values, t: pa.ListArray.from_arrays(pa.array(lists), pa.array(values, t))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(np.diff(first)), pa.array(sums(known, np.ones(int(known.sum()))).astype(np.int64)),
+                        batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(np.diff(first)), pa.array(n_known),
                         pa.array(base), pa.array(inner), pa.array([classes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
                         column(hashes[order[new]], pa.int64()), column(times, pa.int32()), column(shapes[order[new]], pa.int16()),
                     ],

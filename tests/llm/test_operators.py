@@ -391,8 +391,38 @@ def test_forward_and_counts_against_all_paths():
             for s, x in zip(p, seq):
                 emissions[s, x] += w
     assert np.allclose(hmm.log_likelihood(tokens, first, start, move, emit), want)
-    for got, expected in zip(hmm.expected_counts(tokens, first, start, move, emit), (starts, moves, emissions)):
-        assert np.allclose(got, expected)
+    for kind, near in ((float, 1e-8), (np.float32, 1e-4)):
+        for got, expected in zip(hmm.expected_counts(tokens, first, start, move, emit, kind), (starts, moves, emissions, want.sum())):
+            assert np.allclose(got, expected, rtol=near)
+
+
+def test_long_sequences_keep_their_probability():
+    rng = np.random.default_rng(9)
+    start, move, emit = rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.full(900, 0.2), 4) + 1e-9
+    sizes = np.array([40_000, 1, 0, 17, 800, 3])
+    tokens, first = rng.integers(0, 900, sizes.sum()).astype(np.int32), np.concatenate(([0], np.cumsum(sizes)))
+    want = []
+    for a, b in zip(first[:-1], first[1:]):
+        state, total = start, 0.0
+        for t in range(a, b):
+            state = (state if t == a else state @ move) * emit[:, tokens[t]]
+            total += math.log10(state.sum())
+            state = state / state.sum()
+        want.append(total)
+    assert np.allclose(hmm.log_likelihood(tokens, first, start, move, emit), want, rtol=1e-10)
+    whole, single = hmm.expected_counts(tokens, first, start, move, emit), hmm.expected_counts(tokens, first, start, move, emit, np.float32)
+    assert np.isclose(whole[3][0], sum(want)) and np.isclose(whole[2].sum(), sizes.sum()) and np.isclose(whole[1].sum(), (sizes - 1).clip(0).sum())
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-3) for a, b in zip(whole, single))
+
+
+def test_end_token_is_known_however_many_words_there_are(spark):
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs = spark.createDataFrame([(ids[0], " ".join(f"w{k}" for k in range(140_000))), (held, "w5 w6 nowhere")], "doc_id long, text string")
+    r = hmm.score_documents(docs, rounds=1, passes=0).where(F.col("doc_id") == held).first()
+    n, v = 140_001, 140_001
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (4, 3, n)
+    assert math.isclose(r.base_score, 3 * math.log10(1.1 / (n + 0.1 * (v + 1))) + math.log10(0.1 / (n + 0.1 * (v + 1))), rel_tol=1e-12)
 
 
 def test_language_model(spark, documents):
@@ -408,6 +438,40 @@ def test_language_model(spark, documents):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_score_is_chain_times_share_of_class(spark, documents, monkeypatch):
+    monkeypatch.setattr(hmm, "TOP_WORDS", 50)
+    monkeypatch.setattr(hmm, "FREQUENT", 300)  # so some words are in the chain alone, some shared out where they lie, some after a join
+    models = []
+    whole = hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *args: (models.append(whole(*args)), models[-1])[1])
+    got = hmm.score_documents(spark.read.parquet(f"{DATA}/documents.parquet"), rounds=2, passes=0).toPandas()
+    start, move, emit = models[-1][0]
+    tokens, shapes, hashes = {}, {"\n": -1}, {}
+    for i, t in zip(documents.doc_id, documents.text):
+        words_ = WORD.findall(t.translate(LOWER))
+        tokens[i] = [*words_, "\n"]
+        _, _, h, shape, _ = next(hmm._words(pa.array([" ".join(words_)])))
+        hashes |= zip(words_, h.tolist())
+        shapes |= zip(words_, shape.tolist())
+    counts = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws[:-1])
+    ranked = sorted(counts, key=lambda w: (-counts[w], hashes[w]))
+    own = {w: k + 1 for k, w in enumerate(ranked[: max(50, sum(c >= hmm.OWN_COUNT for c in counts.values()))])} | {"\n": 0}
+    shape_tokens, shape_words = Counter(), Counter()
+    for w in counts:
+        if w not in own:
+            shape_tokens[shapes[w]] += counts[w]
+            shape_words[shapes[w]] += 1
+    for r in got.itertuples():
+        state, want = None, 0.0
+        for w in tokens[r.doc_id]:
+            state = (start if state is None else state @ move) * emit[:, own[w] if w in own else len(own) + shapes[w]]
+            want += math.log10(state.sum())
+            state = state / state.sum()
+            if w not in own:
+                want += math.log10((counts[w] + 0.1) / (shape_tokens[shapes[w]] + 0.1 * (shape_words[shapes[w]] + 1)))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
 def test_classes_share_their_tokens_out():
     counts = np.array([5, 3, 1])
     lexicon = hmm.Lexicon(np.array([30, 10, 20]), counts, 9, 3)
@@ -432,7 +496,7 @@ def test_every_training_row_shapes_the_states_in_every_pass(spark, monkeypatch):
 
 def test_frequent_words_have_classes_of_their_own():
     n = 40_000
-    lexicon = hmm.Lexicon(np.arange(n) + 10 * int(hmm.END), np.full(n, hmm.OWN_COUNT), n * hmm.OWN_COUNT, n)
+    lexicon = hmm.Lexicon(np.arange(n), np.full(n, hmm.OWN_COUNT), n * hmm.OWN_COUNT, n)
     assert sorted(lexicon.classes.tolist()) == list(range(1, n + 1)) and len(lexicon.totals()) == 1 + n + hmm.SHAPES
 
 
