@@ -138,6 +138,57 @@ def test_near_duplicates_of_a_spread_out_group(spark, monkeypatch):
     assert got == components_of(texts, 2)
 
 
+def test_near_duplicates_of_words_that_weak_hashes_confuse(spark):
+    texts = {k: " ".join([w, "x", w[::-1], *(f"y{j}" for j in range(3))]) for k, w in enumerate(THUE_MORSE)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=2).collect()}
+    assert got == components_of(texts, 2)
+
+
+def test_one_id_with_two_texts(spark):
+    base = " ".join(f"b{k}" for k in range(60))
+    rows = [(3, base), (5, base + " more"), (5, "another text of this id"), (5, "another text of this id"), (7, "seven words that no other row has at all"), (7, "seven words that no other row has at all!"), (8, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, width=2).collect()), key=str)
+    assert got.count((5, 3, False)) == 1 and got.count((5, 5, True)) == 2
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one_of_each(df, width=2).collect()), key=str)
+    assert [k for k in kept if k[0] not in (7,)] == [(3, base), (5, "another text of this id"), (8, ""), (9, None)] and len(kept) == 6 - (len([k for k in kept if k[0] == 7]) == 1)
+    named = near_dedup.near_duplicates(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), width=2)
+    assert sorted((r.doc_id, r.component_id) for r in named.collect()) == sorted((f"d{a}", f"d{b}") for a, b, _ in got)
+
+
+def test_components_of_chains_and_stars(spark):
+    from cartolith.llm.components import components
+
+    chain = [(k, k + 1) for k in range(0, 300)]
+    star = [(1000, k) for k in range(400, 2000) if k != 1000]
+    rng = random.Random(3)
+    pairs = [(rng.randrange(5000, 6000), rng.randrange(5000, 6000)) for _ in range(600)]
+    edges = [(a, b) for a, b in chain + star + pairs if a != b]
+    parent = {v: v for e in edges for v in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: find(v) for v in parent}
+
+
+def test_lookup_spreads_hot_keys(spark):
+    from cartolith.llm.skew import look_up
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), (F.col("id") % 3).alias("j"), "id")
+    table = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") % 3).alias("j"), (F.col("id") * 2).alias("x")).union(spark.createDataFrame([(7, 0, 14), (7, 1, 14)], "k long, j long, x long"))
+    for keys in ("k", ["k", "j"]):
+        for how in ("inner", "left", "left_semi"):
+            one = table if keys != "k" else table.dropDuplicates(["k"]).drop("j")
+            assert sorted(map(tuple, look_up(rows, one, keys, how).select("id").collect())) == sorted(map(tuple, rows.join(one, keys, how).select("id").collect()))
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = near_dedup.near_duplicates(odd, width=2).collect()
     assert len(got) == odd.count()
@@ -179,6 +230,71 @@ def test_forward_backward_against_all_labellings():
         assert np.allclose(marginal[a:b], ones / total) and np.isclose(logz[c], math.log(total)) and np.allclose(pairs[c], seen / total)
 
 
+def line_score_of(text, weights):
+    """Score of a text by the definitions, line by line."""
+    rows, seen = [], set()
+    for line in text.split("\n"):
+        w, raw = WORD.findall(line), line.encode()
+        some, letters = max(len(w), 1), sum(c.isascii() and c.isalpha() for c in line)
+        symbols, pipes, bangs, upper = (sum(c in chars for c in line) for chars in ("#*$%&<>", "|", "!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        same = sum(a.translate(LOWER) == b.translate(LOWER) for a, b in zip(w, w[1:]))
+        shout = upper / max(letters, 1)
+        rows.append([
+            min(symbols / some, 2), min(pipes / some, 1), min(bangs / some, 2), shout, sum(c in "0123456789" for c in line) / max(len(raw), 1), same / some, math.log1p(len(w)) / 5, min(len(raw) / some / 10, 3),
+            line in seen and len(w) > 0, not w, line[-1:] in (".", "!", "?") and line != "", symbols > 0, pipes > 0, bangs > 0, shout > 0.5, same / some > 0.3, symbols / some > 0.3, len(w) < 3,
+        ])
+        seen.add(line)
+    x, n = np.array(rows, float), len(rows)
+    own, after, before = weights[: 3 * line_crf.OWN].reshape(3, -1)
+    top, bottom, constant = weights[3 * line_crf.OWN : line_crf.WIDTH]
+    odds = [x[k] @ own + (x[k - 1] @ after if k else top) + (x[k + 1] @ before if k + 1 < n else bottom) + constant for k in range(n)]
+    move, total = np.exp(weights[line_crf.WIDTH :].reshape(2, 2)), 0.0
+    forward, backward = [np.exp([-odds[0] / 2, odds[0] / 2])], [np.ones(2)]
+    for o in odds[1:]:
+        forward.append((forward[-1] / forward[-1].sum()) @ move * np.exp([-o / 2, o / 2]))
+    for o in odds[:0:-1]:
+        backward.insert(0, move @ (np.exp([-o / 2, o / 2]) * backward[0] / backward[0].sum()))
+    sizes = [len(line.encode()) + 1 for line in text.split("\n")]
+    for f, b, size in zip(forward, backward, sizes):
+        total += size * (f * b)[1] / (f @ b)
+    return total / sum(sizes)
+
+
+THUE_MORSE = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(n)) for n in (1024, 2048, 4096) for flip in (0, 1)]
+
+
+def test_scores_follow_the_definitions(documents, monkeypatch):
+    rng = np.random.default_rng(11)
+    weights = rng.normal(size=line_crf.WIDTH + 4) / 4
+    texts = [*documents.text[:40], "", "\n\n", "One line!", "a a a\nB|b\na a a\n#$%\nÜber 12.", "\n".join(THUE_MORSE), "".join(f"line {k % 50} | {k}\n" for k in range(900))]
+    want = [line_score_of(t, weights) for t in texts]
+    assert np.allclose(line_crf.score_texts(pa.array(texts), weights), want, atol=1e-5)
+    monkeypatch.setattr(line_crf, "LONG_CHAIN", 3)  # chains in segments
+    assert np.allclose(line_crf.score_texts(pa.array(texts), weights), want, atol=1e-5)
+    monkeypatch.setattr(line_crf, "SLICE_BYTES", 64)  # texts in blocks of lines
+    monkeypatch.setattr(words.slices, "__defaults__", (64,))
+    assert np.allclose(line_crf.score_texts(pa.array(texts), weights), want, atol=1e-5)
+
+
+def test_very_long_texts_take_little_memory():
+    import tracemalloc
+
+    weights = np.random.default_rng(3).normal(size=line_crf.WIDTH + 4) / 4
+    for text in ("\n" * 5_000_000, "no line break " * 400_000):
+        column = pa.array([text])
+        tracemalloc.start()
+        score = line_crf.score_texts(column, weights)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert 0 <= score[0] <= 1 and peak < 60 * len(text) + (200 << 20)
+
+
+def test_windows_of_long_texts():
+    text = np.frombuffer("\n".join(map(str, range(100))).encode(), np.uint8)
+    got = [bytes(line_crf._window(text, draw, 7)).decode().split("\n") for draw in range(94)]
+    assert got == [[str(k + j) for j in range(7)] for k in range(94)] and len(line_crf._window(text, 5, 100)) == len(text)
+
+
 @pytest.mark.parametrize("operator", [line_crf.classify, boosted_rules.judge])
 def test_held_out_quality(spark, operator):
     folder = DATA.replace("0.001", "0.01")
@@ -220,7 +336,7 @@ def statistics_of(text):
 
 
 def test_statistics_by_hand(documents):
-    texts = [*documents.text, None, "", " \n ", "a\na\n a\n", "x y " * 20, "é漢 #|<\n" * 9]
+    texts = [*documents.text, None, "", " \n ", "a\na\n a\n", "x y " * 20, "é漢 #|<\n" * 9, "\n".join(THUE_MORSE), " ".join(THUE_MORSE * 5)]
     base, features = boosted_rules.statistics(pa.array(texts, pa.string()))
     assert base.tolist() == [statistics_of(t) for t in texts] and np.isfinite(features).all()
 
