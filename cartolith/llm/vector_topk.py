@@ -3,8 +3,9 @@
 A vector cut into segments of l components, each with mean m and deviation s, has
 with another vector the squared distance of at least the sum of
 l * ((m - m')**2 + (s - s')**2), and so, both norms being known, an inner product
-of at most the sum of l * (m * m' + s * s'). Coarse segments are tried first and
-halved from level to level; exact products follow for the pairs that survive.
+of at most the sum of l * (m * m' + s * s'). The candidates of the highest coarse
+bounds give each query a floor first; pairs below it are dropped, from coarse
+segments to fine ones, and exact products follow for the pairs that survive.
 
 Queries and candidates meet in blocks of bounded size on a grid: a query row is
 sent once for each block of candidates and a candidate once for each block of
@@ -22,8 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 8192
-_TILE = 1024
-_SAFE = float(1 << 52)
+LEVELS = (16, 8, 4)
+_TILE, _PACK, _SEEDS = 128, 1024, 32
+_EXACT = float(1 << 52)  # sums of products below it are exact in floats
+_DENSE = 0.25  # share of surviving pairs from which whole tiles are multiplied
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def _statistics(x: np.ndarray, size: int) -> np.ndarray:
@@ -36,59 +40,94 @@ def _statistics(x: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([mean, deviation], axis=1) * np.sqrt(np.tile(length, 2))
 
 
-def top_products(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query positions, ids and products of each query's k highest products with other ids, ties to the smaller id."""
+def _pair_products(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, c: np.ndarray, easy: bool) -> np.ndarray:
+    """Exact products of the pairs of rows (q, c), at the ends of the 64-bit range where they lie beyond it."""
+    if easy:
+        return np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + 65536]], vectors[c[a : a + 65536]]) for a in range(0, max(len(q), 1), 65536)]).astype(np.int64)
+    whole = lambda rows: [[int(v) for v in row] for row in rows]
+    left, right = dict(zip(u := np.unique(q), whole(queries[u]), strict=True)), dict(zip(u := np.unique(c), whole(vectors[u]), strict=True))
+    return np.array([min(max(sum(x * y for x, y in zip(left[i], right[k], strict=True)), int(_LEAST) + 1), int(_MOST)) for i, k in zip(q.tolist(), c.tolist(), strict=True)], np.int64)
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, products: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's ``k`` highest products, ties to the smaller id."""
+    order = np.lexsort((ids, -products, rows))
+    place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order], "left")
+    return order[place < k]
+
+
+def top_products(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, work: dict[str, int] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query positions, ids and products of each query's k highest products with other ids, ties to the smaller id.
+
+    queries, vectors: whole numbers as floats. ``work`` counts the pairs, those
+    that survive each level, and the exact products made.
+    """
     dims = queries.shape[1]
-    exact_floats = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(dims, 1) < _SAFE
-    levels = [s for s in (16, 8, 4) if s < dims] if exact_floats else []
+    levels = [s for s in LEVELS if s < dims] or [max(dims, 1)]
+    with np.errstate(over="ignore", invalid="ignore"):  # bounds of huge vectors may be infinite or undefined, and then drop nothing
+        q_stats, c_stats = ([_statistics(x, s) if dims else np.zeros((len(x), 1)) for s in levels] for x in (queries, vectors))
+        q_norm, c_norm = (np.sqrt((x**2).sum(axis=1)) for x in (queries, vectors))
+        slack = 1 + 1e-6 * (1 + q_norm * c_norm.max(initial=0))
+    easy = bool(np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(dims, 1) < _EXACT)
+    work = {} if work is None else work
+    add = lambda name, n: work.__setitem__(name, work.get(name, 0) + int(n))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    q_float = queries.astype(float)
-    c_float = vectors.astype(float)
-    q_stats, c_stats = ([_statistics(x, s) for s in levels] for x in (q_float, c_float))
-    slack = 1e-6 * (1 + np.sqrt((q_float**2).sum(axis=1)) * np.sqrt((c_float**2).sum(axis=1)).max(initial=0))
-    for a in range(0, len(queries), _TILE):
+    for a in range(0, len(queries) if len(vectors) else 0, _TILE):
         b = min(a + _TILE, len(queries))
-        best_p, best_i, best_c = np.full((b - a, 0), 0), np.full((b - a, 0), 0), np.zeros((b - a, 0), bool)
-        for c in range(0, len(vectors), _TILE):
-            d = min(c + _TILE, len(vectors))
-            floor = np.where(best_c.sum(axis=1) >= k, np.where(best_c, best_p, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max), np.iinfo(np.int64).min) if best_p.shape[1] else np.full(b - a, np.iinfo(np.int64).min)
-            live = np.arange(c, d)
-            if best_p.shape[1]:
-                for qs, cs in zip(q_stats, c_stats, strict=True):
-                    hope = qs[a:b] @ cs[live].T + slack[a:b, None] >= floor[:, None]
-                    live = live[hope.any(axis=0)]
-                    if len(live) == 0:
-                        break
-            if len(live) == 0:
-                continue
-            if exact_floats:
-                products = (q_float[a:b] @ c_float[live].T).astype(np.int64)
-            else:
-                products = queries[a:b] @ vectors[live].T
-            other = query_ids[a:b, None] != ids[live][None, :]
-            p = np.concatenate([best_p, products], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(ids[live], products.shape)], axis=1)
-            ok = np.concatenate([best_c, other], axis=1)
-            if p.shape[1] > k:  # the k highest, then among those that tie with the lowest of them the smallest ids
-                masked = np.where(ok, p, np.iinfo(np.int64).min)
-                kth = np.partition(masked, -k, axis=1)[:, -k]
-                rows, cols = np.nonzero(ok & (masked >= kth[:, None]))
-                order = np.lexsort((i[rows, cols], -p[rows, cols], rows))
-                rows, cols = rows[order], cols[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
-                keep = place < k
-                rows, cols, place = rows[keep], cols[keep], place[keep]
-                best_p, best_i, best_c = np.zeros((b - a, k), np.int64), np.zeros((b - a, k), np.int64), np.zeros((b - a, k), bool)
-                best_p[rows, place], best_i[rows, place], best_c[rows, place] = p[rows, cols], i[rows, cols], True
-            else:
-                best_p, best_i, best_c = p, i, ok
-        rows, cols = np.nonzero(best_c)
-        found.append((rows + a, best_i[rows, cols], best_p[rows, cols]))
+        other = query_ids[a:b, None] != ids[None, :]
+        add("pairs", other.sum())
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = q_stats[0][a:b] @ c_stats[0].T
+        bound = np.where(other, np.where(np.isnan(bound), np.inf, bound) + slack[a:b, None], -np.inf)
+        seeds = min(max(_SEEDS, 4 * k), len(ids))
+        chosen = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds] if seeds < len(ids) else np.tile(np.arange(len(ids)), (b - a, 1))
+        rows, cols = np.repeat(np.arange(b - a), seeds), chosen.ravel()
+        real = other[rows, cols]
+        rows, cols = rows[real], cols[real]
+        products = _pair_products(queries, vectors, rows + a, cols, easy)
+        add("products", len(rows))
+        kept = _best(rows, ids[cols], products, k)
+        rows, cols, products = rows[kept], cols[kept], products[kept]
+        floor = np.full(b - a, -np.inf)
+        full = np.flatnonzero(np.bincount(rows, minlength=b - a) == k)
+        lowest = np.full(b - a, np.inf)
+        np.minimum.at(lowest, rows, products.astype(float))
+        floor[full] = lowest[full]
+        live = other & (bound >= floor[:, None])
+        np.put_along_axis(live, chosen, False, axis=1)  # their products are known
+        for level, (qs, cs) in enumerate(zip(q_stats, c_stats, strict=True)):
+            if level and live.mean() > _DENSE:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    live &= ~(qs[a:b] @ cs.T + slack[a:b, None] < floor[:, None])
+            elif level:
+                r, c = np.nonzero(live)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    live[r, c] = ~(np.einsum("ij,ij->i", qs[r + a], cs[c]) + slack[r + a] < floor[r])
+            add(f"live_{levels[level]}", live.sum())
+        if easy and live.mean() > _DENSE:
+            add("products", live.size)
+            dense = queries[a:b] @ vectors.T
+            live &= dense >= floor[:, None]
+            if live.sum() > 4 * k * (b - a):  # the highest k alone, and what ties with the lowest of them
+                masked = np.where(live, dense, -np.inf)
+                edge = np.partition(masked, -k, axis=1)[:, -k] if len(ids) >= k else np.full(b - a, -np.inf)
+                live &= masked >= edge[:, None]
+            r, c = np.nonzero(live)
+            more = dense[r, c].astype(np.int64)
+        else:
+            r, c = np.nonzero(live)
+            add("products", len(r))
+            more = _pair_products(queries, vectors, r + a, c, easy)
+        rows, cols, products = np.concatenate([rows, r]), np.concatenate([cols, c]), np.concatenate([products, more])
+        kept = _best(rows, ids[cols], products, k)
+        found.append((rows[kept] + a, ids[cols[kept]], products[kept]))
     return tuple(np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in range(3))
 
 
-def _packed(rows: DataFrame, block: Column, name: str) -> DataFrame:
-    """Rows (id, v) as a few rows of packed numbers: block, dims, ids and vectors of at most 1024 rows."""
+def _packed(rows: DataFrame, block: Column, name: str, scale: float) -> DataFrame:
+    """Rows (id, v) as a few rows of packed numbers floor(scale * v): block, dims, ids and vectors of at most 1024 rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,16 +135,16 @@ def _packed(rows: DataFrame, block: Column, name: str) -> DataFrame:
                 continue
             ids, blocks = batch.column("id").to_numpy(zero_copy_only=False), batch.column("block").to_numpy(zero_copy_only=False)
             v = batch.column("v")
-            sizes, flat = v.value_lengths().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False)
+            sizes, flat = v.value_lengths().to_numpy(zero_copy_only=False), np.floor(v.flatten().to_numpy(zero_copy_only=False) * scale)
             at = np.concatenate(([0], np.cumsum(sizes)))
             out: list[tuple] = []
             for dims in np.unique(sizes):
                 for kept in np.unique(blocks[sizes == dims]):
                     rows_ = np.flatnonzero((sizes == dims) & (blocks == kept))
-                    for part in np.array_split(rows_, max(1, -(-len(rows_) // _TILE))):
+                    for part in np.array_split(rows_, max(1, -(-len(rows_) // _PACK))):
                         x = flat[at[part][:, None] + np.arange(dims)[None, :]]
                         small = np.abs(x).max(initial=0) < 1 << 15
-                        out.append((int(kept), int(dims), bool(small), ids[part].astype(np.int64).tobytes(), x.astype(np.int16 if small else np.int64).tobytes()))
+                        out.append((int(kept), int(dims), bool(small), ids[part].astype(np.int64).tobytes(), x.astype(np.int16 if small else float).tobytes()))
             columns = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["block", "dims", "small", "ids", "vectors"])
@@ -118,7 +157,7 @@ def _packed(rows: DataFrame, block: Column, name: str) -> DataFrame:
 def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["ids"]])
     dims = int(pdf["dims"].iloc[0])
-    vectors = [np.frombuffer(b, np.int16 if small else np.int64).astype(np.int64) for b, small in zip(pdf["vectors"], pdf["small"], strict=True)]
+    vectors = [np.frombuffer(b, np.int16 if small else float).astype(float) for b, small in zip(pdf["vectors"], pdf["small"], strict=True)]
     return ids, np.concatenate(vectors).reshape(len(ids), dims)
 
 
@@ -126,22 +165,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     """query_id, rank, vec_id and score of the ``k`` highest products of each query among ``vectors`` (vec_id, embedding).
 
     Components become floor(scale * x). Rows whose id or vector is null, or whose
-    vector holds null, non-finite or, scaled, larger components than 2**52, take
-    no part. Queries: rows for which ``is_query`` holds, one of each id (of
-    repeated ids the smallest vector). Candidates: all rows of other ids, repeated
-    ones as often as they stand there. Vectors of another length are no candidates.
-    Ties go to the smaller vec_id; score is exact in 64 bits. An empty table gives
-    an empty result; extra columns are ignored.
+    vector holds null or, scaled, non-finite components, take no part. Queries: rows
+    for which ``is_query`` holds, one of each id (of repeated ids the smallest
+    vector). Candidates: all rows of other ids, repeated ones as often as they stand
+    there. Vectors of another length are no candidates. Ties go to the smaller
+    vec_id; score is exact, and where it does not fit in 64 bits it is the nearest
+    number that does. An empty table gives an empty result; extra columns are ignored.
     """
-    x = F.col("embedding")
-    scaled = F.transform(x, lambda c: F.floor(c.cast("double") * scale))
-    fit = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & (F.abs(c.cast("double") * scale) < F.lit(_SAFE)))
-    rows = vectors.where(fit).select(F.col("vec_id").cast("long").alias("id"), scaled.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    x = F.transform("embedding", lambda c: c.cast("double"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < F.lit(float("inf")))
+    fit = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, finite)
+    rows = vectors.where(fit).select(F.col("vec_id").cast("long").alias("id"), x.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     query_blocks, candidate_blocks = max(1, -(-counts.q // query_block)), max(1, -(-counts.n // candidate_block))
-    asked = _packed(queries, F.pmod(F.xxhash64("id"), F.lit(query_blocks)), "query").withColumn("candidate_block", F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1)).cast("array<long>")))
-    held = _packed(rows, F.pmod(F.xxhash64("id", "v"), F.lit(candidate_blocks)), "candidate").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
+    asked = _packed(queries, F.pmod(F.xxhash64("id"), F.lit(query_blocks)), "query", scale).withColumn("candidate_block", F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1)).cast("array<long>")))
+    held = _packed(rows, F.pmod(F.xxhash64("id", "v"), F.lit(candidate_blocks)), "candidate", scale).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:

@@ -368,19 +368,45 @@ def test_rules_on_odd_rows(spark, odd, labels, none):
 # 4
 
 
+def best_of(q, c, q_ids, ids, k):
+    return {a: set(heapq.nsmallest(k, ((-min(max(sum(int(x) * int(y) for x, y in zip(q[a], c[i])), 1 - (1 << 63)), (1 << 63) - 1), int(ids[i]), i) for i in range(len(ids)) if q_ids[a] != ids[i]))) for a in range(len(q_ids))}
+
+
+def found_of(at, found, score):
+    got = defaultdict(list)
+    for a, i, s in zip(at.tolist(), found.tolist(), score.tolist()):
+        got[a].append((-s, i))
+    return {a: sorted(v) for a, v in got.items()}
+
+
 @pytest.mark.parametrize("dims", [1, 7, 64])
 def test_top_products_against_all(dims):
     rng = np.random.default_rng(dims)
-    q, c = rng.integers(-40, 40, (30, dims)), rng.integers(-40, 40, (2600, dims))
+    q, c = rng.integers(-40, 40, (30, dims)).astype(float), rng.integers(-40, 40, (1600, dims)).astype(float)
     c[:50] = q[:1]  # ties
-    q_ids, ids = np.arange(30), np.arange(2600)
-    at, found, score = vector_topk.top_products(q_ids, q, ids, c, 5)
-    got = defaultdict(set)
-    for a, i, s in zip(at.tolist(), found.tolist(), score.tolist()):
-        got[a].add((-s, i))
-    products = q @ c.T
-    for a in range(30):
-        assert got[a] == set(heapq.nsmallest(5, ((-int(products[a, i]), i) for i in range(2600) if i != a)))
+    q_ids, ids = np.arange(30), rng.permutation(1600)
+    want = {a: sorted((s, i) for s, i, _ in v) for a, v in best_of(q, c, q_ids, ids, 5).items()}
+    assert found_of(*vector_topk.top_products(q_ids, q, ids, c, 5)) == want
+
+
+def test_clustered_vectors_are_pruned():
+    rng = np.random.default_rng(8)
+    centres = np.repeat(rng.normal(size=(40, 8)), 8, axis=1) * 200  # coarse shapes
+    c = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64)) * 8)
+    q, ids, q_ids, work = c[:60].copy(), np.arange(4000), np.arange(60), {}
+    got = found_of(*vector_topk.top_products(q_ids, q, ids, c, 5, work))
+    products = (q @ c.T).astype(int)
+    assert got == {a: sorted(heapq.nsmallest(5, ((-int(products[a, i]), i) for i in range(4000) if i != a))) for a in range(60)}
+    assert work["pairs"] == 60 * 3999 and work["products"] < work["pairs"] / 4 and work["live_4"] <= work["live_8"] <= work["live_16"] < work["pairs"]
+
+
+def test_large_components_are_exact():
+    rng = np.random.default_rng(6)
+    c = np.floor(rng.normal(size=(50, 3)) * 100)
+    c[3], c[4], c[5], c[6] = (2.0**53, 1, 0), (0, 3, 2), (2.0**60, 2.0**60, 2.0**60), (1e300, 0, 0)
+    q_ids, ids = np.arange(8), np.arange(50)
+    want = {a: sorted((s, i) for s, i, _ in v) for a, v in best_of(c[:8], c, q_ids, ids, 5).items()}
+    assert found_of(*vector_topk.top_products(q_ids, c[:8], ids, c, 5)) == want
 
 
 def test_top_k_on_odd_rows(spark):
@@ -393,6 +419,8 @@ def test_top_k_on_odd_rows(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in small] == got
     large = spark.createDataFrame([(0, [1e12, 1.0]), (1, [3.0, 2.0])], "vec_id long, embedding array<double>")
     assert vector_topk.top_k(large, F.col("vec_id") == 0, 1).first().score == int(256e12) * 768 + 256 * 512
+    huge = spark.createDataFrame([(0, [2.0**45, 1.0]), (1, [2.0**-8, 1.0]), (2, [1e308, 1.0]), (3, [0.0, 1e30])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in vector_topk.top_k(huge, F.col("vec_id") == 0).collect()] == [(3, (1 << 63) - 1), (1, (1 << 53) + 65536)]
 
 
 # 5
