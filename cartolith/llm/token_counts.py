@@ -1,16 +1,17 @@
 """Token counts with a whole-token shortcut.
 
-Which vocabulary strings encode alone as one token is proved once, by encoding
-each of them with the library; a pre-token among them counts 1 without merging.
-All other distinct pre-tokens of a batch go to the library's merges in one call,
-and their counts are kept for the batches that follow.
+Which vocabulary strings encode alone as one token is proved offline: once, on the
+driver, by encoding each of them with the library. The strings found (no more than
+the vocabulary has) go to every executor, where a pre-token among them counts 1
+without merging. All other distinct pre-tokens go to the library's merges in one
+call for each piece of a text, and their counts are kept for what follows.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,7 +23,7 @@ from .memory import releasing
 #: Fixed values of the byte-level format: its split pattern and the rule of its byte alphabet.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _split = regex.compile(SPLIT)
-_LONG = 1 << 20
+_LONG, _PIECE = 1 << 20, 1 << 16
 _KEPT = 300_000
 
 
@@ -48,9 +49,14 @@ def special_strings(tokenizer) -> list[str]:
     return sorted((t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special), key=len, reverse=True)
 
 
-def pretokens(text: str) -> Iterator[str] | list[str]:
-    """The pieces that merges never cross; of a very long text one after the other."""
-    return _split.findall(text) if len(text) < _LONG else (m.group() for m in _split.finditer(text))
+def pretokens(text: str) -> Iterator[list[str]]:
+    """The strings that merges never cross, in lists; those of a very long text piece by piece."""
+    if len(text) < _LONG:
+        yield _split.findall(text)
+    else:
+        found = (m.group() for m in _split.finditer(text))
+        while piece := list(islice(found, _PIECE)):
+            yield piece
 
 
 def whole_tokens(tokenizer) -> set[str]:
@@ -70,47 +76,41 @@ def whole_tokens(tokenizer) -> set[str]:
 
 
 class TokenCounter:
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: Iterable[str] | None = None):
         self.tokenizer = load(path)
-        self.whole = dict.fromkeys(whole_tokens(self.tokenizer), 1)
+        self.whole = dict.fromkeys(whole_tokens(self.tokenizer) if whole is None else whole, 1)
         self.counts = dict(self.whole)
         special = special_strings(self.tokenizer)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.counts) > _KEPT:
-            self.counts = dict(self.whole)
-        order = list(missing)
-        self.counts.update(zip(order, (len(e.ids) for e in self.tokenizer.encode_batch_fast(order, add_special_tokens=False)), strict=True))
+    def _sum(self, piece: list[str]) -> int:
+        try:
+            return sum(map(self.counts.__getitem__, piece))
+        except KeyError:
+            if len(self.counts) > _KEPT:
+                self.counts = dict(self.whole)
+            missing = list(set(piece).difference(self.counts))
+            self.counts.update(zip(missing, (len(e.ids) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+            return sum(map(self.counts.__getitem__, piece))
 
     def count(self, text: str) -> int:
         """Tokens of a text as the library gives them; special strings are one token each."""
-        pieces, extra = [text], 0
+        parts, total = [text], 0
         if self.special is not None and self.special.search(text):
-            extra = sum(1 for _ in self.special.finditer(text))
-            pieces = self.special.split(text)
-        total = extra
-        for piece in pieces:
-            if len(piece) < _LONG:
-                split = _split.findall(piece)
-                try:
-                    total += sum(map(self.counts.__getitem__, split))
-                except KeyError:
-                    self._learn(set(split).difference(self.counts))
-                    total += sum(self.counts[p] if p in self.counts else self._one(p) for p in split)
-            else:
-                total += sum(self.counts[p] if p in self.counts else self._one(p) for p in pretokens(piece))
-        return total
-
-    def _one(self, pretoken: str) -> int:
-        self._learn({pretoken})
-        return self.counts[pretoken]
-
-
-@lru_cache(2)
-def counter_of(path: str) -> TokenCounter:
+            total = sum(1 for _ in self.special.finditer(text))
+            parts = self.special.split(text)
+        return total + sum(self._sum(piece) for part in parts for piece in pretokens(part))
+
+
+_counters: dict[str, TokenCounter] = {}
+
+
+def counter_of(path: str, whole: Iterable[str]) -> TokenCounter:
     """One for each Python worker, which serves many tasks."""
-    return TokenCounter(path)
+    if path not in _counters:
+        _counters.clear()
+        _counters[path] = TokenCounter(path, whole)
+    return _counters[path]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -122,8 +122,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     result.
     """
 
+    proved = docs.sparkSession.sparkContext.broadcast(sorted(whole_tokens(load(path))))  # the vocabulary's strings at most
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(path)
+        counter = counter_of(path, proved.value)
         for batch in batches:
             texts = batch.column("text")
             n = [0 if t is None else counter.count(t) for t in (x.as_py() for x in texts)]

@@ -1,6 +1,7 @@
 """BPE encoding and decoding by a prefix-sharing trie.
 
-The distinct words of a batch, sorted, are a trie in depth-first order: words
+The distinct words of a stretch of text (many short texts, or a part of a very long
+one), sorted, are a trie in depth-first order: words
 that follow one another share a prefix. The encoding of a prefix is known from
 its last token alone, for the tokens before it are the encoding of the shorter
 prefix; a token may come last if it is a suffix of the prefix and stays apart
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from .memory import releasing
 from .token_counts import byte_alphabet, pretokens
 
-_KEPT, _KEPT_PAIRS = 200_000, 200_000
+_KEPT, _KEPT_PAIRS, _STRETCH = 200_000, 200_000, 400_000
 _BATCH_CHARS = 2 << 20
 
 
@@ -106,45 +107,36 @@ class TrieBPE:
     def _pieces(self, text: str) -> list[str]:
         return self.split_special.split(text) if self.split_special is not None else [text]
 
-    def _lookup(self, words: Iterable[str]) -> Iterator[bytes]:
-        for w in words:
-            if w not in self.kept:
-                if len(self.kept) > 2 * _KEPT:
-                    self.kept = {}
-                self.encode_words([w])
-            yield self.kept[w]
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; special strings are their tokens."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, bytes | list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for part in self._pieces(text):
+                if part in self.special:
+                    held.append((k, array("I", [self.special[part]]).tobytes()))
+                    continue
+                for words in pretokens(part):
+                    held.append((k, words))
+                    size += len(words)
+                    if size > _STRETCH:
+                        self._encode_held(held, out)
+                        held, size = [], 0
+        self._encode_held(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _encode_held(self, held: list[tuple[int, bytes | list[str]]], out: list[list[bytes]]) -> None:
+        """Appends the ids of each stretch's words to those of its text, all new words walked in one trie."""
         if len(self.kept) > _KEPT:
             self.kept = {}
         if len(self.apart) > _KEPT_PAIRS:
             self.apart = {}
-        split: list[list[tuple[bytes | None, list[str] | Iterator[str]]]] = []
-        new: set[str] = set()
-        for text in texts:
-            parts = []
-            for piece in self._pieces(text):
-                if piece in self.special:
-                    parts.append((array("I", [self.special[piece]]).tobytes(), []))
-                elif piece:
-                    words = pretokens(piece)
-                    if isinstance(words, list):
-                        new.update(words)
-                    parts.append((None, words))
-            split.append(parts)
-        new.difference_update(self.kept)
+        new = set().union(*(words for _, words in held if not isinstance(words, bytes))).difference(self.kept)
         if new:
             self.encode_words(new)
-        return [b"".join(b if b is not None else b"".join(self._known(words)) for b, words in parts) for parts in split]
-
-    def _known(self, words: list[str] | Iterator[str]) -> Iterator[bytes]:
-        if isinstance(words, list):
-            try:
-                return list(map(self.kept.__getitem__, words))
-            except KeyError:  # dropped meanwhile, for a very long text in the batch
-                pass
-        return self._lookup(words)
+        for k, words in held:
+            out[k].append(words if isinstance(words, bytes) else b"".join(map(self.kept.__getitem__, words)))
 
     def decode(self, ids: bytes) -> str:
         """Text of packed ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""

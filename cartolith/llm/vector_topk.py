@@ -70,7 +70,7 @@ def top_products(
         q_stats, c_stats = ([_statistics(x, s) if dims else np.zeros((len(x), 1)) for s in levels] for x in (queries, vectors))
         q_norm, c_norm = (np.sqrt((x**2).sum(axis=1)) for x in (queries, vectors))
         slack = 1 + 1e-6 * (1 + q_norm * c_norm.max(initial=0))
-    easy = bool(np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(dims, 1) < _EXACT)
+    easy = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(dims, 1) < _EXACT
     work = {} if work is None else work
     add = lambda name, n: work.__setitem__(name, work.get(name, 0) + int(n))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

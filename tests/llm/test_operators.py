@@ -494,13 +494,25 @@ def test_whole_tokens_are_proved(library, counter):
 
 
 def test_very_long_texts(library, counter, trie, monkeypatch):
-    text = "Lorem <|endoftext|> ipsum  dolor\n" * 2000
+    text = "".join(f"Lorem <|endoftext|> ipsum{k % 977}  dolor\n" for k in range(40_000))  # more than a MiB
+    assert len(text) > token_counts._LONG
     ids = library.encode(text, add_special_tokens=False).ids
-    for module in (token_counts,):
-        monkeypatch.setattr(module, "_LONG", 10)
     assert counter.count(text) == len(ids) and np.frombuffer(trie.encode_batch([text])[0], "<u4").tolist() == ids
+    word = "x" * (3 << 19)
+    assert counter.count(word) == len(library.encode(word, add_special_tokens=False).ids)
+    text = text[:50_000]
+    ids = library.encode(text, add_special_tokens=False).ids
+    tries = []
+    walk = trie_bpe.TrieBPE.encode_words
+    monkeypatch.setattr(trie_bpe.TrieBPE, "encode_words", lambda self, words_: (tries.append(len(words_)), walk(self, words_))[1])
+    monkeypatch.setattr(token_counts, "_LONG", 10)
+    monkeypatch.setattr(token_counts, "_PIECE", 700)
+    monkeypatch.setattr(trie_bpe, "_STRETCH", 1500)
+    fresh = trie_bpe.TrieBPE(PATH)
+    assert counter.count(text) == len(ids) and np.frombuffer(fresh.encode_batch([text])[0], "<u4").tolist() == ids
+    assert max(tries) > 100  # words of a long text share a trie
     monkeypatch.setattr(trie_bpe, "_KEPT", 1)  # what is kept goes again and again
-    assert np.frombuffer(trie.encode_batch([text, "other words here"])[0], "<u4").tolist() == ids
+    assert np.frombuffer(fresh.encode_batch([text, "other words here"])[0], "<u4").tolist() == ids
 
 
 def test_token_operators_on_odd_rows(odd, none, library):
