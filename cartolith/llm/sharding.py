@@ -1,46 +1,65 @@
 """Sharding by longest-processing-time scheduling of groups of equal texts.
 
-Groups, sorted by size, go to the least-loaded shard through a heap. Only two
-tables of bounded size ever meet on the driver: at most ``heavy`` of the largest
-groups, each scheduled by itself, and the byte sums of ``bundles`` hash bundles of all
-other groups, each scheduled as one item. A bundle holds about 1/65536 of the
-remaining bytes, so shards differ by little more than that unless a single group
-is larger than a shard's fair part; a group never splits.
+All groups, sorted by size, go to the least-loaded shard through a heap. Groups of
+one size are interchangeable, so the schedule needs only how many groups there are
+of each size; the driver gets that table and no group. Sizes that occur add up to
+no more than all bytes, so it has at most the root of twice the corpus's bytes as
+rows (245,000 for 30 GB), however many groups there are. Which group of a size goes
+to which of its shards follows from its rank among them, found in the tasks.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import largest
-from .storage import written
+from .skew import look_up
+from .storage import discard, written
 
 ROW_BYTES = 16
 _SUBS = 1024
+_RANKED = 1 << 15  # groups of one size that one task ranks, about
 
 
-def schedule(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
-    """Shard of each (size, key): largest first, each to the least-loaded shard, ties to the lower shard."""
+def schedule(sizes: list[tuple[int, int]], shards: int) -> list[list[int]]:
+    """Groups of each (size, count), by falling size, that each shard gets: one at a time to the least-loaded shard, ties to the lower one.
+
+    Equal groups are dealt in rounds: while all shards' loads lie within one group of
+    each other, every further round gives each shard one, in the order of the first.
+    """
     heap = [(0, shard) for shard in range(shards)]
-    out = {}
-    for size, key in sorted(items, key=lambda item: (-item[0], item[1])):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + size, shard))
-        out[key] = shard
+    out = []
+    for size, count in sizes:
+        given = [0] * shards
+        while count:
+            low, high = heap[0][0], max(heap)[0]
+            rounds = count // shards if high - low <= size else 0
+            if rounds > 1:  # one round in heap order brings all up by one group; loads keep their order
+                heap = [(load + (rounds - 1) * size, shard) for load, shard in heap]
+                given = [g + rounds - 1 for g in given]
+                count -= (rounds - 1) * shards
+            for _ in range(min(count, shards)):
+                load, shard = heap[0]
+                heapq.heapreplace(heap, (load + size, shard))
+                given[shard] += 1
+                count -= 1
+        out.append(given)
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, heavy: int = 4096, bundles: int = 65536) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of ``docs`` (doc_id, text).
 
     size: UTF-8 bytes of the text plus 16. Equal texts share a shard; null texts
     are a group of their own, apart from empty ones, with 0 bytes and the CRC of
-    nothing, 0. slot counts a shard's rows from 0 without gaps, in an order that
-    depends on the rows alone; equal rows get slots next to each other. Rows with
-    a null doc_id are placed like others. Extra columns are ignored; an empty
+    nothing, 0. A group never splits, so one larger than a shard's fair part makes
+    its shard larger. slot counts a shard's rows from 0 without gaps, in an order
+    that depends on the rows alone; equal rows get slots next to each other. Rows
+    with a null doc_id are placed like others. Extra columns are ignored; an empty
     table gives an empty result.
     """
     spark = docs.sparkSession
@@ -56,23 +75,24 @@ def shard_documents(docs: DataFrame, shards: int = 40, heavy: int = 4096, bundle
         ),
         "shard_rows",
     )
-    groups = rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes"))
-    top = largest(groups, "bytes", heavy).collect()  # at most `heavy` rows
-    alone = {(r.k1, r.k2): r.bytes for r in top}
-    bundle = F.pmod("k1", F.lit(bundles)).cast("int")
-    big = spark.createDataFrame([(k1, k2, True) for k1, k2 in alone], "k1 long, k2 long, alone boolean")
-    marked = rows.join(F.broadcast(big), ["k1", "k2"], "left")  # `heavy` rows at most
-    sums = marked.where(F.col("alone").isNull()).groupBy(bundle.alias("bundle")).agg(F.sum("size").alias("bytes")).collect()  # at most `bundles` rows
-    placed = schedule([(size, (0, *key)) for key, size in alone.items()] + [(r.bytes, (1, r.bundle, 0)) for r in sums], shards)
-    by_group = spark.createDataFrame([(k[1], k[2], s) for k, s in placed.items() if k[0] == 0], "k1 long, k2 long, own int")
-    by_bundle = spark.createDataFrame([(k[1], s) for k, s in placed.items() if k[0] == 1], "bundle int, shared int")
-    sharded = (
-        rows.withColumn("bundle", bundle)
-        .join(F.broadcast(by_group), ["k1", "k2"], "left")
-        .join(F.broadcast(by_bundle), "bundle", "left")
-        .withColumn("shard", F.coalesce("own", "shared"))
-        .withColumn("sub", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(_SUBS)).cast("int"))
-    )
+    groups = written(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")), "shard_groups")
+    found = groups.groupBy("bytes").count().toPandas().sort_values("bytes", ascending=False)  # a row for each size that occurs
+    given = schedule(list(zip(found["bytes"].tolist(), found["count"].tolist(), strict=True)), shards)
+    upto = np.cumsum(np.array(given, np.int64).reshape(-1, shards), axis=1)  # of the groups of a size, those below upto[j] go to shards 0 to j
+    subs = np.ceil(found["count"].to_numpy() / _RANKED).astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(upto) + 1) * shards, pa.int32()), pa.array(upto.ravel()))
+    plan = spark.createDataFrame(pa.table({"bytes": pa.array(found["bytes"].to_numpy(np.int64)), "subs": pa.array(subs), "upto": lists}))
+    planned = look_up(groups, plan, "bytes").withColumn("part", F.pmod("k2", "subs"))
+    counted = planned.groupBy("bytes", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("bytes").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 32,768 groups
+    begins = counted.select("bytes", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    order = Window.partitionBy("bytes", "part").orderBy("k1", "k2")
+    ranked = planned.withColumn("rank", F.row_number().over(order) - 1).join(begins, ["bytes", "part"])
+    shard = F.size(F.filter("upto", lambda u: u <= F.col("rank") + F.col("begin")))
+    placed = written(ranked.select("k1", "k2", shard.cast("int").alias("shard")), "shard_placed")
+    discard(groups)
+    sharded = written(look_up(rows, placed, ["k1", "k2"]).withColumn("sub", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(_SUBS)).cast("int")), "shard_sharded")
+    discard(rows, placed)
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = sharded.groupBy("shard", "sub").count().select("shard", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "sub").orderBy("doc_id", "k1", "k2")
