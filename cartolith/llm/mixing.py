@@ -2,45 +2,62 @@
 
 Documents are aggregated by membership pattern (the set of sources that hold
 them). A flow network routes each pattern's words, once, twice and so on at
-convex cost, to the quotas of its sources; its size depends on the number of
-patterns alone. Documents are then taken in seeded order until a pattern's flow
-is spent; running sums go over 4096 hash buckets of a pattern first, then over
-4096 parts of the one bucket where the flow ends, and only then over the rows of
-one part, about a source's 16 millionth, so no task holds a source.
+convex cost, to the quotas of its sources. Patterns that share no source, directly
+or through others, are networks of their own and are solved in the tasks, so any
+number of sources will do; only a network of patterns that all hang together is
+solved in one task. Sources, patterns and targets stay tables: the driver sees sums.
+
+Documents are then taken in seeded order until a pattern's flow is spent; running
+sums go over 4096 hash buckets of a pattern first, then over 4096 parts of the one
+bucket where the flow ends, and only then over the rows of one part, about a
+source's 16 millionth, so no task holds a source.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_PATTERNS = 100_000
 _BITS = 12  # of the draw that each of the two levels of buckets takes
 
 
-def targets(sizes: dict[str | None, int], total: float, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3) -> dict[str | None, float]:
-    """Shares of ``total`` by weight, none above ``limit`` times the source's size; the excess is shared anew by weight.
+def targets(sizes: DataFrame, total: int, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3) -> DataFrame:
+    """source, size and target: shares of ``total`` by weight, none above ``limit`` times the source's size.
 
-    Sources in code point order, null last, take the weights in turn.
+    Sources in code point order, null last, take the weights in turn. The excess of
+    full sources is shared anew by weight; as a source is full if its limit for each
+    unit of weight is below a common level, each round needs two sums.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    full: set = set()
+    placed = written(_weighted(sizes, weights).withColumn("most", F.col("size") * float(limit)), "mix_sources")
+    full = F.lit(False)
+    filled, open_weight = 0.0, placed.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     while True:
-        rest = total - sum(limit * sizes[s] for s in full)
-        open_weight = sum(weight[s] for s in order if s not in full)
-        share = {s: limit * sizes[s] if s in full else rest * weight[s] / open_weight for s in order}
-        over = {s for s in order if s not in full and share[s] > limit * sizes[s]}
-        if not over:
-            return {s: float(v) for s, v in share.items()}
-        full |= over
+        share = F.lit(float(total) - filled) * F.col("weight") / F.lit(open_weight or 1.0)
+        over = full | (F.col("most") < share)
+        now = placed.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)).alias("filled"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+        if now.weight == open_weight:
+            return placed.select("source", "size", F.when(full, F.col("most")).otherwise(share).alias("target"))
+        full, filled, open_weight = over, now.filled, now.weight
+
+
+def _weighted(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """``sizes`` (source, size) with ``weight``, by their place in code point order, null last."""
+    order = F.col("source").isNull(), F.coalesce("source", F.lit(""))
+    parts = written(sizes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix_order")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    turns = F.array(*(F.lit(float(w)) for w in weights))
+    return parts.join(F.broadcast(starts), "_part").select("source", "size", turns[(place % len(weights)).cast("int")].alias("weight"))  # a row for each partition
 
 
 def min_cost_flow(supply: list[list[tuple[int, int]]], edges: list[list[int]], quota: list[int]) -> list[int]:
@@ -104,7 +121,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: tuple[float, ..
     source_size and target are those of the first source in code point order. A
     null source is a source. Rows that agree in doc_id and text are taken one
     after the other. Extra columns are ignored; an empty table gives an empty
-    result. More than 100,000 patterns raise an error.
+    result.
     """
     measured = _measured(docs, sources, seed)
     rows = written(measured("doc_id"), "mix_rows")
@@ -115,8 +132,9 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: tuple[float, ..
 def take(docs: DataFrame, sources: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), limit: int = 3, seed: int = 42) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as ``mix`` takes them."""
     measured = _measured(docs, sources, seed)
-    whole_rows = measured("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    taken = _taken(written(measured("doc_id"), "mix_rows"), whole_rows, weights, limit)
+    names = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = written(measured("doc_id", names.alias("row")), "mix_rows")  # with their texts, so that words are counted once
+    taken = _taken(rows.drop("row"), rows, weights, limit)
     return taken.where("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -130,34 +148,69 @@ def _measured(docs: DataFrame, sources: Column | None, seed: int) -> Callable[..
     )
 
 
+def _flows(patterns: DataFrame, quotas: DataFrame, limit: int) -> DataFrame:
+    """pattern, size and sent words of a cheapest maximum flow from ``patterns`` (pattern, size) to ``quotas`` (source, target)."""
+    each = patterns.select("pattern", "size", F.explode(F.from_json("pattern", "array<string>")).alias("source"))
+    arcs = written(each.join(quotas.select("source", "target"), each["source"].eqNullSafe(quotas["source"])).select("pattern", "size", each["source"], "target"), "mix_arcs")
+    shared = arcs.groupBy("source").agg(F.count("*").alias("n"), F.min(F.xxhash64("pattern")).alias("first"))
+    links = arcs.join(shared.where("n > 1"), arcs["source"].eqNullSafe(shared["source"])).select(F.xxhash64("pattern").alias("a"), F.col("first").alias("b"))
+    label = components(links) if not links.isEmpty() else None  # sources that no two patterns share make no link
+    keyed = arcs.withColumn("v", F.xxhash64("pattern"))
+    net = F.col("v") if label is None else F.coalesce("label", "v")
+    named = (keyed if label is None else keyed.join(label, "v", "left")).withColumn("net", net)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            cuts = [0, *((batch["net"].to_numpy()[1:] != batch["net"].to_numpy()[:-1]).nonzero()[0] + 1), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.iloc[a:b]
+                if held and held[-1]["net"].iloc[0] != part["net"].iloc[0]:
+                    yield _solved(pd.concat(held), limit)
+                    held = []
+                held.append(part)
+        if held:
+            yield _solved(pd.concat(held), limit)
+
+    order = ["net", "pattern", F.col("source").isNull(), "source"]
+    return named.select("net", "pattern", "size", "source", "target").repartition("net").sortWithinPartitions(*order).mapInPandas(solve, "pattern string, size long, sent long")
+
+
+def _solved(arcs: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Words sent by each pattern of one network."""
+    names = [None if pd.isna(s) else s for s in arcs["source"]]
+    at = {s: i for i, s in enumerate(dict.fromkeys(names))}
+    quota, edges, sizes = [0] * len(at), {}, {}
+    for pattern, size, source, target in zip(arcs["pattern"], arcs["size"], names, arcs["target"], strict=True):
+        quota[at[source]] = round(float(target))
+        edges.setdefault(pattern, []).append(at[source])
+        sizes[pattern] = int(size)
+    sent = min_cost_flow([[(size, k * k) for k in range(limit)] for size in sizes.values()], list(edges.values()), quota)
+    return pd.DataFrame({"pattern": list(sizes), "size": list(sizes.values()), "sent": sent})
+
+
 def _taken(rows: DataFrame, whole_rows: DataFrame, weights: tuple[float, ...], limit: int) -> DataFrame:
     """``whole_rows`` with source_size, target and copies, as planned from ``rows``."""
-    spark = rows.sparkSession
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    found.sort(key=lambda r: r.pattern)
-    held = [json.loads(r.pattern) for r in found]
-    sizes: dict[str | None, int] = {}
-    for r, names in zip(found, held, strict=True):
-        for s in names:
-            sizes[s] = sizes.get(s, 0) + r.size
-    total = sum(r.size for r in found)
-    target = targets(sizes, total, weights, limit) if sizes else {}
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    at = {s: i for i, s in enumerate(order)}
-    sent = min_cost_flow([[(r.size, k * k) for k in range(limit)] for r in found], [[at[s] for s in names] for names in held], [round(target[s]) for s in order])
-    plan = []
-    for r, names, words in zip(found, held, sent, strict=True):
-        first = min(names, key=lambda s: at[s]) if names else None
-        plan.append((r.pattern, sizes[first] if names else 0, target[first] if names else 0.0, words // r.size if r.size else 0, words % r.size if r.size else 0))
-    planned = spark.createDataFrame(plan, "pattern string, source_size long, target double, passes long, rest long")
+    patterns = written(rows.groupBy("pattern").agg(F.sum("size").alias("size")), "mix_patterns")
+    members = F.from_json("pattern", "array<string>")
+    sizes = patterns.select(F.explode(members).alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    total = patterns.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    quotas = written(targets(sizes, total, weights, limit), "mix_targets")
+    flows = _flows(patterns, quotas, limit)
+    held = flows.where("size > 0").select("pattern", F.expr("sent div size").alias("passes"), (F.col("sent") % F.col("size")).alias("rest"))
+    first = patterns.select("pattern", (F.size(members) > 0).alias("some"), F.try_element_at(members, F.lit(1)).alias("source"))
+    owned = first.join(quotas.withColumnRenamed("size", "source_size"), first["some"] & first["source"].eqNullSafe(quotas["source"]), "left")
+    zero = lambda c, v=0: F.coalesce(c, F.lit(v))
+    planned = written(
+        owned.join(held, "pattern", "left").select("pattern", zero("source_size").alias("source_size"), zero("target", 0.0).alias("target"), zero("passes").alias("passes"), zero("rest").alias("rest")), "mix_plan"
+    )
     coarse, fine = (F.shiftrightunsigned("draw", 64 - _BITS * level).cast("int") for level in (1, 2))
-    rests = F.broadcast(planned.where("rest > 0").select("pattern", "rest", F.lit(0).cast("long").alias("before")))  # MAX_PATTERNS rows at most
-    ends = _ends(rows.withColumn("bucket", coarse).join(rests, "pattern")).withColumnRenamed("end", "outer")
-    inside = rows.withColumn("outer", coarse).withColumn("bucket", fine).join(F.broadcast(ends), ["pattern", "outer"])  # a row for each pattern
-    ends = _ends(inside).drop("rest")
-    known = whole_rows.withColumn("bucket", fine).join(F.broadcast(planned), "pattern").join(F.broadcast(ends), "pattern", "left")  # a row for each pattern
+    # a row for each pattern in all that follows: Spark broadcasts them while they are small, and splits hot patterns beyond
+    rests = planned.where("rest > 0").select("pattern", "rest", F.lit(0).cast("long").alias("before"))
+    ends = written(_ends(rows.withColumn("bucket", coarse).join(rests, "pattern")).withColumnRenamed("end", "outer"), "mix_outer")
+    inside = rows.withColumn("outer", coarse).withColumn("bucket", fine).join(ends, ["pattern", "outer"])
+    ends = written(_ends(inside).drop("rest"), "mix_inner")
+    known = whole_rows.withColumn("bucket", fine).join(planned, "pattern").join(ends, "pattern", "left")
     whole = known.where(~F.col("bucket").eqNullSafe(F.col("end"))).withColumn("extra", (F.col("bucket") < F.col("end")).cast("long"))
     running = Window.partitionBy("pattern").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = known.where(F.col("bucket") == F.col("end")).withColumn("extra", (F.col("before") + F.sum("size").over(running) - F.col("size") / 2 <= F.col("rest")).cast("long"))

@@ -92,6 +92,37 @@ def test_index_runs_only_candidates():
     assert index.judge("http://sub.bad.org")[3] == "block" and index.judge("http://bad.orgs/")[3] == "allow" and index.judge("http://a/trackXer")[3] == "block"
 
 
+def test_thousands_of_rules_against_a_plain_loop(spark):
+    rng = random.Random(12)
+    names = [f"{a}{b}" for a in ("shop", "news", "img", "ad", "track", "blog", "cdn", "go") for b in range(40)]
+    pick = lambda: rng.choice(names)
+    rules, plain = {}, []
+    for _ in range(1500):
+        host, path, action = f"{pick()}.{rng.choice(('com', 'org', 'net'))}", rng.choice(("", f"/{pick()}/", f"/{pick()}", f"/{pick()}/{pick()}/")), rng.choice(("block", "allow"))
+        if host + path not in rules:
+            rules[host + path] = (host, path, action)
+    patterns = {rng.choice((f"^{pick()}^{pick()}^", f"/{pick()}/*{pick()}^", f"{pick()}*.gif")): rng.choice(("block", "allow")) for _ in range(1500)}
+    plain = [url_rules.host_rule(a, h, p) for h, p, a in rules.values()] + [url_rules.pattern_rule(a, p) for p, a in patterns.items()]
+    urls = [f"https://{rng.choice(('', 'www.', 'a.b.'))}{pick()}.{rng.choice(('com', 'org', 'net', 'de'))}/{pick()}/{pick()}{rng.choice(('', '/', '.gif', '?q=' + pick()))}" for _ in range(300)]
+    urls += ["http://x.com/" + "long/" * 40_000 + names[0], "http://" + "a." * 5000 + "shop1.com/", "http://shop1.com"]
+
+    def expected(url):
+        host, path = re.match("https?://([^/?#]*)([^?#]*)", url).groups()
+        fits = [(len(h + p), len(h), h + p, a) for h, p, a in rules.values() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            return max(fits)[2:]
+        expression = lambda p: "".join({"*": ".*", "^": "(?:^|[^a-z0-9])" if k == 0 else "(?:[^a-z0-9]|$)"}.get(c, re.escape(c)) for k, c in enumerate(p))
+        actions = {a for p, a in patterns.items() if re.search(expression(p), url)}
+        return None, "block" if actions == {"block"} else "allow"
+
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), plain).collect()}
+    assert got == {i: expected(u) for i, u in enumerate(urls)}
+    index = url_rules.RuleIndex(plain, Counter(t for u in urls for t in set(re.findall("[a-z0-9]+", u))))
+    for u in urls[:20]:
+        index.judge(u)
+    assert len(set(index._compiled).difference(index.always)) < len(plain) / 4  # of 20 URLs; rules without a token run for every one
+
+
 # 2
 
 
@@ -697,10 +728,41 @@ def test_language_model_on_odd_rows(odd, none):
 # 9
 
 
-def test_targets_stop_at_the_limit():
-    got = mixing.targets({"a": 10, "b": 1000, None: 50}, 1060)
-    assert got["a"] == 30 and math.isclose(got["b"], 1060 - 30 - 150) and got[None] == 150
-    assert mixing.targets({"a": 0}, 0) == {"a": 0.0}
+def targets_of(sizes, total, weights=(1, 2, 3), limit=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, full = {s: weights[i % len(weights)] for i, s in enumerate(order)}, set()
+    while True:
+        rest, open_ = total - sum(limit * sizes[s] for s in full), sum(weight[s] for s in order if s not in full)
+        share = {s: limit * sizes[s] if s in full else rest * weight[s] / open_ for s in order}
+        over = {s for s in order if s not in full and share[s] > limit * sizes[s]}
+        if not over:
+            return share
+        full |= over
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_stop_at_the_limit(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{rng.randrange(10**6)}": int(rng.paretovariate(0.7)) for _ in range(50)} | {None: 7, "empty": 0}
+    total = sum(sizes.values())
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long"), total)
+    want = targets_of(sizes, total)
+    assert {r.source: r.target for r in got.collect()} == pytest.approx(want) and math.isclose(sum(want.values()), total)
+    assert {r.target for r in mixing.targets(spark.createDataFrame([("a", 0)], "source string, size long"), 0).collect()} == {0.0}
+
+
+def test_mix_of_thousands_of_sources(spark):
+    rows = [(i, "w " * (1 + i % 5), [f"s{i % 3000}", *([f"s{(i + 1) % 3000}"] if i % 3000 < 20 else [])]) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, in array<string>"), F.col("in")).toPandas()
+    assert len(got) == 6000 and (got.taken <= 3 * got["size"]).all()
+    sizes = Counter()
+    for i, t, names in rows:
+        for s in names:
+            sizes[s] += len(t.split())
+    want = targets_of(sizes, sum(len(t.split()) for _, t, _ in rows))
+    taken = dict(zip(got.doc_id, got.taken))
+    for k in range(100, 3000):  # sources of one pattern
+        assert abs(sum(taken[i] for i in (k, k + 3000)) - want[f"s{k}"]) <= 3
 
 
 def test_flow_is_cheapest():
