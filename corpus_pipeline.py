@@ -1,7 +1,8 @@
 """A corpus pipeline: reject poor documents, keep one of each near-duplicate group, mix the sources, encode.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``. doc_id may be of any
+type that can be ordered; rows are told apart by id and text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from cartolith.llm.line_crf import reject_poor
 from cartolith.llm.mixing import take
 from cartolith.llm.near_dedup import keep_one_of_each
 from cartolith.llm.queries import table, tokenizer_path
-from cartolith.llm.storage import written
+from cartolith.llm.storage import clear, mark, written
 from cartolith.llm.trie_bpe import encode_documents
 
 
@@ -53,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage wrote for itself, and its input, are deleted when its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), mark(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        clear(spark, since, keep=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
