@@ -10,6 +10,7 @@ LANGUAGES = {".py": "python", ".java": "java", ".scala": "scala", ".rs": "rust"}
 ANALYZER_SUFFIXES = {"scala": (".scala", ".sbt", ".sc"), "python": (".py",), "java": (".java",), "rust": (".rs",)}
 #: Suffixes of store files that are no source.
 STORE_SUFFIXES = (".sqlite", ".sqlite-shm", ".sqlite-wal")
+#: Least share of supported tokens, per cent from which one language dominates, label of files in no language.
 MIN_SUPPORTED_RATIO = 0.5
 DOMINANT_PCT = 70.0
 UNSUPPORTED = "unsupported/unknown"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import config, scalars
 from ..sources.files import upsert
-from ..storage import written
+from ..storage import discard, written
 
 
 def multi_source_bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -15,28 +18,35 @@ def multi_source_bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     A file belongs to the first entry point that reaches it, at its shortest
     distance from there. The smallest (entry_ord, depth) spreads from files whose
-    label fell in the round before; there is one row a file, and cycles end for
+    label fell in the round before; a round writes those alone, and cycles end for
     labels only fall. A smaller entry_ord may come late and still replaces a label.
     """
     links = written(edges.select("src", "dst").distinct(), "bfs_edges")
     label = F.struct("entry_ord", "depth")
-    state = written(seeds.select("path", "entry_ord", F.lit(0).alias("depth")).groupBy("path").agg(F.min(label).alias("label")).withColumn("fresh", F.lit(True)), "bfs")
+    found = [written(seeds.select("path", "entry_ord", F.lit(0).alias("depth")).groupBy("path").agg(F.min(label).alias("label")), "bfs")]
     while True:
         step = F.struct(F.col("label.entry_ord").alias("entry_ord"), (F.col("label.depth") + 1).alias("depth"))
-        reached = state.where("fresh").join(links, F.col("path") == F.col("src")).groupBy(F.col("dst").alias("path")).agg(F.min(step).alias("offer"))
-        merged = state.join(reached, "path", "full").select("path", F.least("label", "offer").alias("label"), (F.col("offer").isNotNull() & (F.col("label").isNull() | (F.col("offer") < F.col("label")))).alias("fresh"))
-        state = written(merged, "bfs")
-        if state.where("fresh").isEmpty():
-            return state.select("path", "label.entry_ord", "label.depth")
+        offers = found[-1].join(links, F.col("path") == F.col("src")).groupBy(F.col("dst").alias("path")).agg(F.min(step).alias("offer"))
+        better = offers.join(_best_labels(found), "path", "left").where("label IS NULL OR offer < label").select("path", F.col("offer").alias("label"))
+        frontier = written(better, "bfs")
+        if frontier.isEmpty():
+            discard(frontier, links)
+            return _best_labels(found).select("path", "label.entry_ord", "label.depth")
+        found.append(frontier)
+
 
+def _best_labels(found: list[DataFrame]) -> DataFrame:
+    """The smallest label of each path among the rounds' new ones."""
+    return reduce(DataFrame.unionByName, found).groupBy("path").agg(F.min("label").alias("label"))
 
-def numbered(entries: DataFrame) -> DataFrame:
-    """Entry points (path) numbered from 1 by path, with a count in each range of paths first."""
-    parts = entries.select("path").distinct().repartitionByRange("path").withColumn("_part", F.spark_partition_id())
-    parts = written(parts, "entries")
+
+def numbered(rows: DataFrame, order: Sequence[str] = ("path",), name: str = "entry_ord") -> DataFrame:
+    """``rows`` numbered from 1 by ``order``, with a count in each range of its values first, so no task sorts all rows."""
+    parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # a row for each partition
-    return parts.join(F.broadcast(starts), "_part").select("path", (F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy("path"))).cast("int").alias("entry_ord"))
+    place = (F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).cast("int").alias(name)
+    return parts.join(F.broadcast(starts), "_part").select(*rows.columns, place)
 
 
 def first_inclusion(walk: DataFrame, briefs: DataFrame) -> DataFrame:
@@ -44,15 +54,24 @@ def first_inclusion(walk: DataFrame, briefs: DataFrame) -> DataFrame:
     return walk.join(briefs.where("brief <> ''").select("path", "brief"), "path").select("entry_ord", "depth", "path", "brief")
 
 
+def context_pieces(included: DataFrame) -> DataFrame:
+    """The context as rows ``place`` (from 1) and ``text``: the briefs by (entry_ord, depth, path), from the second on after an empty line.
+
+    The texts in order are the context; it may be of any length, for no task holds it.
+    """
+    ordered = numbered(included, ("entry_ord", "depth", "path"), "place")
+    return ordered.select("place", F.concat(F.when(F.col("place") > 1, "\n\n").otherwise(""), "brief").alias("text"))
+
+
 def concat_context(included: DataFrame) -> DataFrame:
-    """One row ``context``: the briefs by (entry_ord, depth, path) with an empty line between; empty without any."""
+    """One row ``context``, for contexts that fit in one; empty without briefs."""
     ordered = F.sort_array(F.collect_list(F.struct("entry_ord", "depth", "path", "brief")))
-    return included.agg(F.array_join(F.transform(ordered, lambda s: s["brief"]), "\n\n").alias("context"))  # the result is one text
+    return included.agg(F.array_join(F.transform(ordered, lambda s: s["brief"]), "\n\n").alias("context"))
 
 
-def context_tokens(context: DataFrame) -> DataFrame:
-    """B4"""
-    return context.select(scalars.count_tokens(F.col("context")).alias("context_tokens"))
+def context_tokens(pieces: DataFrame) -> DataFrame:
+    """Tokens of all pieces together; none spans an empty line."""
+    return pieces.agg(F.coalesce(F.sum(scalars.count_tokens(F.col("text"))), F.lit(0)).alias("context_tokens"))
 
 
 def upsert_context(documents: DataFrame, contexts: DataFrame, version: str = "version") -> DataFrame:

@@ -60,6 +60,11 @@ def mark_leaf_references(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.withColumn("is_reference", F.col("is_reference") | leaf).withColumn("name", F.when(leaf, F.coalesce("text", "name")).otherwise(F.col("name"))).select(*nodes.columns)
 
 
+def contains_pairs(nodes: DataFrame) -> DataFrame:
+    """G5 without the places among siblings, for which all nodes would be sorted."""
+    return nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("source"), F.col("node_id").alias("target"), F.lit("CONTAINS").alias("type"))
+
+
 def contains_edges(nodes: DataFrame) -> DataFrame:
     """Parent to child, with the child's place among its siblings from 1."""
     order = Window.partitionBy("parent_id").orderBy("start_line", "start_col", "node_id")
@@ -123,25 +128,31 @@ def keep_set(nodes: DataFrame, root_ids: DataFrame) -> DataFrame:
 def contract_tree(parents: DataFrame, keep: DataFrame) -> DataFrame:
     """node_id and anchor (nearest kept ancestor, or null) of every kept node of (node_id, parent_id).
 
-    Pointer jumping: while a pointer's node is not kept it moves to that node's own
-    pointer, which halves what is left of every path, so a tree of depth d takes
-    log2(d) joins. A chain that never meets a kept node, or goes round, ends in null.
+    Only nodes that are not kept need a way up: pointer jumping moves each of their
+    pointers to the pointer of the node it shows while that is not kept either,
+    which halves what is left of every path, so a tree of depth d takes log2(d)
+    joins. A round carries the pointers that still move; settled ones are looked up
+    and never written again. A chain that never meets a kept node, or goes round,
+    ends in null.
     """
-    flagged = parents.select("node_id", F.col("parent_id").alias("anchor")).join(keep.select("node_id").distinct().withColumn("kept", F.lit(True)), "node_id", "left")
-    state = written(flagged.select("node_id", "anchor", F.coalesce("kept", F.lit(False)).alias("kept")), "contract")
-    rounds = 0
-    while True:
-        next_ = state.select(F.col("node_id").alias("anchor"), F.col("anchor").alias("_next"), F.col("kept").alias("_kept"))
-        moved = written(
-            state.join(next_, "anchor", "left").select("node_id", F.when(F.col("_kept"), F.col("anchor")).otherwise(F.col("_next")).alias("anchor"), "kept", (F.col("anchor").isNotNull() & ~F.coalesce("_kept", F.lit(False))).alias("_moved")),
-            "contract",
-        )
+    flag = keep.select("node_id").distinct().withColumn("_kept", F.lit(True))
+    flagged = written(parents.select("node_id", "parent_id").join(flag, "node_id", "left"), "contract_nodes")
+    moving = written(flagged.where("_kept IS NULL AND parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("anchor")), "contract_moving")
+    lost = flagged.where("_kept IS NULL AND parent_id IS NULL").select("node_id", F.lit(None).cast("string").alias("anchor"))
+    settled, rounds = lost, 0
+    while rounds < 62 and not moving.isEmpty():
+        inner = moving.unionByName(settled).select(F.col("node_id").alias("anchor"), F.col("anchor").alias("_next"), F.lit(True).alias("_inner"))
+        jumped = written(moving.join(inner, "anchor", "left").select("node_id", F.when(F.col("_inner"), F.col("_next")).otherwise(F.col("anchor")).alias("anchor"), (F.col("_inner") & F.col("_next").isNotNull()).alias("_moves")), "contract_moving")
+        settled = settled.unionByName(jumped.where("_moves IS NULL OR NOT _moves").select("node_id", "anchor"))
+        moving = jumped.where("_moves").select("node_id", "anchor")
         rounds += 1
-        state = moved.drop("_moved")
-        if rounds > 62 or moved.where("_moved").isEmpty():
-            break
-    done = state.where("kept").select("node_id", "anchor")
-    return done.join(keep.select(F.col("node_id").alias("anchor"), F.lit(True).alias("_ok")), "anchor", "left").select("node_id", F.when(F.col("_ok"), F.col("anchor")).alias("anchor"))
+    kept = flagged.where("_kept")
+    hung = kept.where("parent_id IS NOT NULL").select("node_id", "parent_id")
+    ways = settled.unionByName(moving.withColumn("anchor", F.lit(None).cast("string"))).select(F.col("node_id").alias("parent_id"), F.col("anchor").alias("_way"), F.lit(True).alias("_inner"))
+    reached = hung.join(ways, "parent_id", "left").select("node_id", F.when(F.col("_inner"), F.col("_way")).otherwise(F.col("parent_id")).alias("anchor"))
+    known = flag.select(F.col("node_id").alias("anchor"), F.lit(True).alias("_ok"))
+    anchored = reached.join(known, "anchor", "left").select("node_id", F.when(F.col("_ok"), F.col("anchor")).alias("anchor"))
+    return anchored.unionByName(kept.where("parent_id IS NULL").select("node_id", F.lit(None).cast("string").alias("anchor")))
 
 
 def dedupe_attach(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import config
+from ..functions import config, scalars
 from ..sources.files import upsert
 
 DOC_KEYS = ("repo_id", "file_path", "document_type")
@@ -36,9 +36,16 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("path").agg(F.sum("in").alias("in_degree"), F.sum("out").alias("out_degree"))
 
 
+def template(path: str = "path", content: str = "content") -> Column:
+    """The default description, from the whole text and the degrees; of a blank text it is empty."""
+    numbers = scalars.count_tokens(F.col(content)), F.col("out_degree"), F.col("in_degree")
+    told = F.concat(path, F.lit(": "), numbers[0].cast("string"), F.lit(" tokens, uses "), numbers[1].cast("string"), F.lit(", used by "), numbers[2].cast("string"))
+    return F.when(F.col(content).rlike(r"[^ \t\n\x0B\f\r]"), told).otherwise(F.lit(""))
+
+
 def default_summary(files: DataFrame, edges: DataFrame, text: Column | None = None) -> DataFrame:
     """M2 without a function: files with a dependency either way are critical and described by ``text``, others ``IGNORE``."""
-    described = F.substring("content", 1, 80) if text is None else text
+    described = template() if text is None else text
     joined = files.join(degree(edges), "path", "left")
     critical = F.coalesce(F.col("in_degree") + F.col("out_degree"), F.lit(0)) > 0
     return joined.select("repo_id", "path", F.when(critical, described).otherwise(F.lit("IGNORE")).alias("result"))

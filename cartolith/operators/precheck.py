@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import config, scalars
+from ..storage import written
 
 
 def file_metrics(
@@ -84,8 +85,8 @@ def single_language_dominant(distribution: DataFrame, by: Sequence[str] = (), le
 
 
 def precheck_summary(files: DataFrame, ignore: Sequence[str] = config.IGNORE_FOLDERS, languages: Mapping[str, str] = config.LANGUAGES, least: float = config.MIN_SUPPORTED_RATIO) -> DataFrame:
-    """One nested row of all the above."""
-    metrics = file_metrics(files, ignore, languages)
+    """One nested row of all the above. Tokens are counted in one pass, whose rows are written; all else is derived from them."""
+    metrics = written(file_metrics(files, ignore, languages), "metrics")
     langs = by_language(metrics)
     listed = lambda df, order, *columns: df.agg(F.sort_array(F.collect_list(F.struct(*order, *columns))).alias("x"))
     largest = listed(largest_files(metrics).withColumn("_o", -F.col("tokens")), ["_o", "path"], "tokens", "language", "supported").select(

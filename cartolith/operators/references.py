@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import config, scalars
 
-WORD = re.compile("[A-Za-z_]+")
+_LETTER = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", np.uint8))
+_LEAD = (np.arange(256) & 0xC0) != 0x80  # first bytes of code points
+_SLICE = 1 << 20
 LEAF = "line int, ordinal int, col int, end_col int, text string, before string, after string"
 
 
@@ -32,30 +35,47 @@ def extract_leaves(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            heads = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-            for head, content in zip(heads, batch.column("content"), strict=True):
-                for line, text in enumerate((content.as_py() or "").split("\n")):
-                    found = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-                    for k, (start, end, word) in enumerate(found):
-                        out.append((*head, line, k, start, end, word, found[k - 1][2] if k else None, found[k + 1][2] if k + 1 < len(found) else None))
-                    if len(out) > _ROWS:
-                        yield _batch(out, names)
-                        out = []
-            if out:
-                yield _batch(out, names)
-
-    texts = files.select(*names, scalars.normalise_newlines(F.col("content")).alias("content"))
-    return texts.mapInArrow(find, ", ".join(f"{c} string" for c in names) + f", {LEAF}")
-
-
-_ROWS = 50_000
-
-
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [*[pa.string()] * len(names), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, [*names, "line", "ordinal", "col", "end_col", "text", "before", "after"])
+            sizes = np.array([0 if s is None else s for s in pc.binary_length(batch.column("content")).to_pylist()])
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE, prepend=0)) if len(sizes) else []
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if b > a:
+                    yield _words(batch.slice(a, b - a), names)
+
+    return files.select(*names, "content").mapInArrow(find, ", ".join(f"{c} string" for c in names) + f", {LEAF}")
+
+
+def _words(files: pa.RecordBatch, names: Sequence[str]) -> pa.RecordBatch:
+    """All words of some files, found in their bytes: no byte of another code point is a letter's or a line end's."""
+    content = files.column("content").fill_null("").cast(pa.large_string())
+    _, offsets, data = content.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[content.offset : content.offset + len(content) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    letter = _LETTER[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(letter & (edge[:-1] | ~np.concatenate(([False], letter[:-1]))))
+    ends = np.flatnonzero(letter & (edge[1:] | ~np.concatenate((letter[1:], [False])))) + 1
+    next_ = np.concatenate((data[1:], np.zeros(min(1, len(data)), np.uint8)))
+    breaks = np.flatnonzero((data == 10) | ((data == 13) & ~((next_ == 10) & ~edge[1:])))
+    file = np.searchsorted(offsets, starts, "right") - 1
+    line_from = np.searchsorted(breaks, offsets[:-1])  # breaks before each file
+    line = np.searchsorted(breaks, starts) - line_from[file]
+    begin = np.where(line > 0, breaks[np.maximum(line_from[file] + line - 1, 0)] + 1 if len(breaks) else 0, offsets[:-1][file])  # of the word's line
+    points = np.concatenate(([0], np.cumsum(_LEAD[data])))
+    col = points[starts] - points[begin]
+    new = np.ones(len(starts), bool)
+    new[1:] = (file[1:] != file[:-1]) | (line[1:] != line[:-1])
+    places = np.arange(len(starts))
+    ordinal = places - np.maximum.accumulate(np.where(new, places, 0))
+    text = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.concatenate(([0], np.cumsum(ends - starts)))), pa.py_buffer(np.ascontiguousarray(data[letter]))).cast(pa.string())
+    last = np.append(new[1:], True) if len(new) else new
+    int32 = lambda x: pa.array(x.astype(np.int32))
+    neighbour = lambda step, none: text.take(pa.array(places + step, mask=none))
+    columns = [files.column(c).take(pa.array(file)) for c in names]
+    return pa.RecordBatch.from_arrays(
+        [*columns, int32(line), int32(ordinal), int32(col), int32(col + ends - starts), text, neighbour(-1, new), neighbour(1, last)], [*names, "line", "ordinal", "col", "end_col", "text", "before", "after"]
+    )
 
 
 def extract_symbols(leaves: DataFrame, pattern: str = config.SYMBOL) -> DataFrame:

@@ -45,7 +45,7 @@ def metrics(spark: SparkSession, d: str, by: tuple[str, ...] = ()) -> DataFrame:
     return file_metrics(files(spark, d), IGNORE, LANGUAGES, by=by)
 
 
-LEAVES = f"""{FILES}, lines AS (
+LEAVES = f"""{FILES}, lines AS MATERIALIZED (
   SELECT path, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS line, unnest(t) AS text
   FROM (SELECT path, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM files)),
 pieces AS (
@@ -53,20 +53,24 @@ pieces AS (
   FROM (SELECT path, line, regexp_extract_all(text, '([A-Za-z_]+|[^A-Za-z_]+)', 1) AS p FROM lines)),
 placed AS (
   SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY path, line ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS col FROM pieces),
-leaves AS (
+leaves AS MATERIALIZED (
   SELECT path, line, ordinal, col, CAST(col + length(text) AS INTEGER) AS end_col, text FROM placed WHERE regexp_matches(text, '^[A-Za-z_]'))"""
-SYMBOLS = f"""{LEAVES}, symbols AS (
+SYMBOLS = f"""{LEAVES}, symbols AS MATERIALIZED (
   SELECT l.path, l.line, l.col, l.end_col, l.text, lower(l.text) AS symbol, f.doc_id, f.folder
   FROM leaves l JOIN files f ON l.path = f.path WHERE regexp_full_match(l.text, '[A-Z][A-Za-z_]{{7,}}'))"""
 MAPPINGS = f"""{SYMBOLS}, defs AS (
   SELECT symbol, path AS def_path, line AS def_line, col AS def_col, text AS def_text
   FROM symbols QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY doc_id, line, col) = 1),
-mappings AS (
+mappings AS MATERIALIZED (
   SELECT s.path, s.line, s.col, s.text, d.def_path, d.def_line, d.def_col, d.def_text
   FROM symbols s JOIN defs d ON s.symbol = d.symbol WHERE NOT (s.path = d.def_path AND s.line = d.def_line AND s.col = d.def_col))"""
 FILE_EDGES = f"""{MAPPINGS}, file_edges AS (SELECT DISTINCT path AS src, def_path AS dst FROM mappings WHERE path <> def_path)"""
-CRITICAL = f"""{FILE_EDGES}, critical AS (
-  SELECT path, substr(content, 1, 80) AS brief FROM files WHERE path IN (SELECT src FROM file_edges UNION SELECT dst FROM file_edges)),
+CRITICAL = rf"""{FILE_EDGES}, degrees AS (
+  SELECT path, sum(o) AS out_degree, sum(i) AS in_degree FROM (SELECT src AS path, 1 AS o, 0 AS i FROM file_edges UNION ALL SELECT dst, 0, 1 FROM file_edges) GROUP BY path),
+critical AS (
+  SELECT f.path, CASE WHEN regexp_matches(content, '[^ \t\n\x0B\f\r]')
+    THEN f.path || ': ' || len(regexp_extract_all(content, '{config.TOKEN}')) || ' tokens, uses ' || d.out_degree || ', used by ' || d.in_degree ELSE '' END AS brief
+  FROM files f JOIN degrees d ON f.path = d.path),
 entries AS (
   SELECT path, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS entry_ord
   FROM critical WHERE path NOT IN (SELECT dst FROM file_edges))"""

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as docs
-from ..storage import shared_folder
+from ..storage import new_folder
 from ..streaming import streams
 from . import bindings as b
 from .registry import query
@@ -181,7 +179,7 @@ def d21(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def _stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
@@ -208,16 +206,15 @@ def st2(spark: SparkSession, d: str) -> DataFrame:
     f = b.files(spark, d)
     row = lambda text, at: (F.col("lang").alias("namespace"), "path", F.sha1(text).alias("sha1"), F.lit(at).cast("long").alias("updated_at"))
     versions = f.select(*row(F.col("content"), 1)).unionByName(f.where("doc_id % 7 = 0").select(*row(F.concat("content", F.lit("x")), 2)))
-    state = _folder(spark, "st2_state")
-    query_ = streams.run_available(streams.changed_file_stream(_stream(spark, versions, "st2_files"), state, _folder(spark, "st2_check"), _folder(spark, "st2_out")))
-    last = query_.lastProgress["batchId"] if query_.lastProgress else 0
-    return spark.read.parquet(f"{state}/generation={last}").select("path", "sha1")
+    out = _folder(spark, "st2_out")
+    streams.run_available(streams.changed_file_stream(_stream(spark, versions, "st2_files"), _folder(spark, "st2_check"), out))
+    return spark.read.parquet(out).groupBy("path").agg(F.max_by("sha1", "updated_at").alias("sha1"))
 
 
 @query("st3_chat_append_stream", f"WITH {b.CHATS} SELECT conversation_id, turn AS created, role, content FROM msgs")
 def st3(spark: SparkSession, d: str) -> DataFrame:
     out = _folder(spark, "st3_messages")
     m = b.messages(spark, d)
-    query_ = streams.run_available(streams.chat_append_stream(_stream(spark, m.select("conversation_id", "created_at", "role", "content"), "st3_turns"), out, _folder(spark, "st3_check")))
-    last = query_.lastProgress["batchId"] if query_.lastProgress else 0
-    return spark.read.parquet(f"{out}/generation={last}").select("conversation_id", F.unix_seconds("created_at").alias("created"), "role", "content")
+    turns = m.select("conversation_id", "created_at", "role", "content")
+    streams.run_available(streams.chat_append_stream(_stream(spark, turns.unionByName(turns), "st3_turns"), out, _folder(spark, "st3_check")))
+    return spark.read.parquet(out).select("conversation_id", F.unix_seconds("created_at").alias("created"), "role", "content")

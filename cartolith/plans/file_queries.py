@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import config, scalars
 from ..operators import changes, precheck, references
 from ..sources import files as sources
+from ..storage import new_folder
 from . import bindings as b
 from .registry import query
 
@@ -15,6 +17,16 @@ TOKENS = f"CAST(len(regexp_extract_all(content, '{config.TOKEN}')) AS BIGINT)"
 STRUCT = "{'file_path': 'VARCHAR', 'line': 'INTEGER', 'column': 'INTEGER', 'location_string': 'VARCHAR'}"
 
 
+@query("s1_scan_files", f"WITH {b.FILES} SELECT folder, length(content) AS chars, sha1(content) AS sha1 FROM files")
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a tree of files, one for each, and read back from there."""
+    root = new_folder(spark, "s1_tree")
+    b.files(spark, d).select("folder", "content").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(root)
+    found = sources.scan_files(spark, root).where(F.col("path").endswith(".txt"))
+    text = F.expr("substring(content, 1, length(content) - 1)")  # the writer ends each file with a newline
+    return found.select(F.regexp_extract("path", "folder=([^/]*)", 1).alias("folder"), (F.col("size") - 1).alias("chars"), F.sha1(text).alias("sha1"))
+
+
 @query("s2_strict_text", f"WITH {b.FILES} SELECT path, length(content) AS chars FROM files")
 def s2(spark: SparkSession, d: str) -> DataFrame:
     raw = b.files(spark, d).select("path", F.encode("content", "UTF-8").alias("raw"))
@@ -28,17 +40,27 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return read.select("ref_path", "ref_line", "ref_column", F.col("mapping.definitions")[0]["location_string"].alias("first_definition"))
 
 
+@query("s4_write_nodes", f"WITH {b.FILES} SELECT CASE WHEN folder = 'src1' THEN 'new ' || path ELSE path END AS node_id, folder AS repo_id FROM files")
+def s4(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes, then those of one repository again."""
+    path = new_folder(spark, "s4_nodes")
+    nodes = b.files(spark, d).select(F.col("path").alias("node_id"), F.col("folder").alias("repo_id"))
+    sources.write_nodes(nodes, path)
+    sources.write_nodes(nodes.where("repo_id = 'src1'").withColumn("node_id", F.concat(F.lit("new "), "node_id")), path)
+    return spark.read.parquet(path).select("node_id", "repo_id")
+
+
 @query("s5_stored_edges", f"WITH {b.MAPPINGS} SELECT path || ':' || line || ':' || col || ':word:2' AS source, def_path || ':' || def_line || ':' || def_col || ':word:2' AS target FROM mappings WHERE split_part(path, '/', 1) <> 'src3' AND split_part(def_path, '/', 1) <> 'src3'")
 def s5(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = b.symbol_graph(spark, d)
     return sources.stored_edges(edges, nodes.where("path NOT LIKE 'src3/%'")).select("source", "target")
 
 
-@query("s6_upsert_documents", f"WITH {b.FILES} SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("s6_upsert_documents", f"WITH {b.FILES} SELECT path, CASE WHEN doc_id % 3 >= 1 THEN 'new' ELSE 'old' END AS state FROM files")
 def s6(spark: SparkSession, d: str) -> DataFrame:
     f = b.files(spark, d)
-    row = lambda where, state, version: f.where(where).select("repo_id", "path", F.lit(state).alias("state"), F.lit(version).alias("version"))
-    return sources.upsert(row("doc_id % 2 = 0", "old", 1), row("doc_id % 3 = 0", "new", 1), ["repo_id", "path"], "version").select("path", "state")
+    row = lambda state, version: f.select("repo_id", "path", F.lit(state).alias("state"), version.cast("int").alias("version"))
+    return sources.upsert(row("old", F.lit(1)), row("new", F.col("doc_id") % 3), ["repo_id", "path"], "version").select("path", "state")
 
 
 @query("s7_purge_repo", f"WITH {b.FILES} SELECT folder, count(*) AS files FROM files WHERE folder NOT IN ('src1', 'src2') GROUP BY folder")
@@ -180,6 +202,19 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
     return b.metrics(spark, d)
 
 
+@query("u2_tokenizer_hook", f"WITH {b.FILES} SELECT path, CAST(len(regexp_extract_all(content, '[A-Za-z]+')) AS BIGINT) AS tokens, length(content) // 4 AS estimate FROM files WHERE folder NOT IN ('src3', 'src7')")
+def u2(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics with a user's tokenizer, and with the estimate."""
+
+    @F.pandas_udf("long")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.str.count("[A-Za-z]+")
+
+    found = precheck.file_metrics(b.files(spark, d), b.IGNORE, b.LANGUAGES, words("content")).select("path", "tokens")
+    coarse = precheck.file_metrics(b.files(spark, d), b.IGNORE, b.LANGUAGES, scalars.estimate_tokens(F.col("content")))
+    return found.join(coarse.select("path", F.col("tokens").alias("estimate")), "path")
+
+
 @query("a2_scan_stats", f"WITH {b.FILES} SELECT count(*) AS total_files_seen, count(*) FILTER (folder NOT IN ('src3', 'src7')) AS total_files_tokenized, CAST(0 AS BIGINT) AS tokenization_errors, count(*) FILTER (folder IN ('src3', 'src7')) AS excluded_file_count FROM files")
 def a2(spark: SparkSession, d: str) -> DataFrame:
     return precheck.scan_stats(b.files(spark, d), b.IGNORE)

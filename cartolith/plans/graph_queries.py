@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import config, scalars
 from ..operators import context, crossfile, graph, mental_model
 from . import bindings as b
 from .registry import query
@@ -17,14 +17,20 @@ promoted AS (
 contained AS (
   SELECT parent_id AS source, node_id AS target, row_number() OVER (PARTITION BY parent_id ORDER BY line, col, node_id) AS sequence FROM (SELECT node_id, parent_id, line, col FROM words UNION ALL SELECT node_id, parent_id, line, 0 FROM line_nodes)),
 attached AS (
-  SELECT node_id AS target, CASE WHEN parent_id IN (SELECT node_id FROM promoted) THEN parent_id ELSE path || ':0:0:module:0' END AS source, line, col, 1 AS leaf FROM words
-  UNION ALL SELECT node_id, parent_id, line, 0, 0 FROM line_nodes WHERE node_id IN (SELECT node_id FROM promoted))"""
+  SELECT w.node_id AS target, coalesce(p.node_id, w.path || ':0:0:module:0') AS source, w.line, w.col, 1 AS leaf FROM words w LEFT JOIN promoted p ON w.parent_id = p.node_id
+  UNION ALL SELECT l.node_id, l.parent_id, l.line, 0, 0 FROM line_nodes l JOIN promoted p ON l.node_id = p.node_id)"""
 REF_EDGES = "SELECT path || ':' || line || ':' || col || ':word:2' AS source, def_path || ':' || def_line || ':' || def_col || ':word:2' AS target FROM mappings"
 
 
-@query("g1_build_node_table", f"WITH {WORDS} SELECT node_id, parent_id, 'word' AS node_type FROM words UNION ALL SELECT node_id, parent_id, 'line' FROM line_nodes UNION ALL SELECT path || ':0:0:module:0', NULL, 'module' FROM files")
+@query(
+    "g1_build_node_table",
+    f"""WITH {WORDS}, ends AS (SELECT path, max(line) AS end_line, arg_max(length(text), line) AS end_col FROM lines GROUP BY path)
+SELECT node_id, parent_id, 'word' AS node_type, path, line AS start_line, col AS start_col, line AS end_line, end_col, false AS is_definition, true AS is_reference, text AS name FROM words
+UNION ALL SELECT node_id, parent_id, 'line', path, line, 0, line, CAST(length(text) AS INTEGER), false, false, 'NONE' FROM line_nodes
+UNION ALL SELECT path || ':0:0:module:0', NULL, 'module', path, 0, 0, end_line, CAST(end_col AS INTEGER), false, false, 'NONE' FROM ends""",
+)
 def g1(spark: SparkSession, d: str) -> DataFrame:
-    return graph.build_node_table(b.files(spark, d), b.leaves(spark, d)).select("node_id", "parent_id", "node_type")
+    return graph.build_node_table(b.files(spark, d), b.leaves(spark, d))
 
 
 @query("g2_node_id", f"WITH {WORDS} SELECT node_id FROM words")
@@ -82,13 +88,13 @@ def g9(spark: SparkSession, d: str) -> DataFrame:
 @query("g10_roots", f"WITH {b.FILES} SELECT path || ':0:0:module:0' AS node_id FROM files")
 def g10(spark: SparkSession, d: str) -> DataFrame:
     nodes = graph.build_node_table(b.files(spark, d), b.leaves(spark, d))
-    return graph.roots(nodes, graph.contains_edges(nodes))
+    return graph.roots(nodes, graph.contains_pairs(nodes))
 
 
 @query("g11_keep_set", f"WITH {WORDS} SELECT node_id FROM words UNION ALL SELECT node_id FROM promoted UNION ALL SELECT path || ':0:0:module:0' FROM files")
 def g11(spark: SparkSession, d: str) -> DataFrame:
     nodes = b.nodes(spark, d)
-    return graph.keep_set(nodes, graph.roots(nodes, graph.contains_edges(nodes)))
+    return graph.keep_set(nodes, graph.roots(nodes, graph.contains_pairs(nodes)))
 
 
 @query("g12_contract_tree", f"WITH {WORDS} SELECT target AS node_id, source AS anchor FROM attached UNION ALL SELECT path || ':0:0:module:0', NULL FROM files")
@@ -121,10 +127,20 @@ def g15(spark: SparkSession, d: str) -> DataFrame:
     return graph.prune_reference_edges(edges, nodes.where("path NOT LIKE 'src1/%'").select("node_id")).select("source", "target")
 
 
-@query("g16_prune_graph", f"WITH {WORDS} SELECT source, target, 'CONTAINS' AS type FROM attached UNION ALL SELECT source, target, 'REFERENCES' FROM ({REF_EDGES}) r")
+@query(
+    "g16_prune_graph",
+    f"""WITH {WORDS} SELECT source, target, 'CONTAINS' AS type, sequence FROM ({_sequenced}) c UNION ALL SELECT source, target, 'REFERENCES', 1 FROM ({REF_EDGES}) r
+UNION ALL SELECT parent_id, node_id, 'node', NULL FROM words UNION ALL SELECT l.parent_id, l.node_id, 'definition', NULL FROM line_nodes l JOIN promoted p ON l.node_id = p.node_id
+UNION ALL SELECT NULL, path || ':0:0:module:0', 'node', NULL FROM files""",
+)
 def g16(spark: SparkSession, d: str) -> DataFrame:
-    nodes = b.nodes(spark, d)
-    return graph.prune_graph(nodes, b.edges(spark, d, nodes))[1].select("source", "target", "type")
+    """The edges with their places, and the nodes beside them."""
+    tree = b.nodes(spark, d)
+    pairs = graph.contains_pairs(tree).withColumn("sequence", F.lit(0))
+    nodes, edges = graph.prune_graph(tree, pairs.unionByName(b.symbol_graph(spark, d)[1]))
+    kind = F.when(F.col("is_definition"), "definition").otherwise("node")
+    listed = nodes.select(F.col("parent_id").alias("source"), F.col("node_id").alias("target"), kind.alias("type"), F.lit(None).cast("int").alias("sequence"))
+    return edges.select("source", "target", "type", "sequence").unionByName(listed)
 
 
 @query("g17_anchor_orphans", f"WITH {WORDS} SELECT target AS node_id FROM attached WHERE source LIKE '%:module:0' AND split_part(source, '/', 1) = 'src2'")
@@ -211,11 +227,13 @@ def m2(spark: SparkSession, d: str) -> DataFrame:
     return mental_model.default_summary(b.files(spark, d), b.file_edges(spark, d)).select("path", "result")
 
 
-@query("m2_summarise_files", f"WITH {b.FILES} SELECT path, CASE WHEN length(content) > 500 THEN upper(substr(content, 1, 5)) ELSE 'IGNORE' END AS result FROM files WHERE lang = 'en' AND (length(content) <= 500 OR regexp_matches(substr(content, 1, 5), '^[!-~]{{5}}$'))")
+@query("m2_summarise_files", f"WITH {b.FILES} SELECT path, CASE WHEN length(content) > 500 THEN sha1(content) ELSE 'IGNORE' END AS result FROM files")
 def m2b(spark: SparkSession, d: str) -> DataFrame:
-    prompts = b.files(spark, d).where("lang = 'en'").select("repo_id", "path", F.col("content").alias("prompt"))
-    upper = lambda p: "".join(c.upper() if c.isascii() else c for c in p[:5]) if len(p) > 500 else " IGNORE\n"
-    return mental_model.summarise(prompts.where(F.substring("prompt", 1, 5).rlike("^[!-~]{5}$") | (F.length("prompt") <= 500)), upper).select("path", "result")
+    """Every file's whole text through a user function."""
+    import hashlib
+
+    prompts = b.files(spark, d).select("repo_id", "path", F.col("content").alias("prompt"))
+    return mental_model.summarise(prompts, lambda p: hashlib.sha1(p.encode()).hexdigest() if len(p) > 500 else " IGNORE\n").select("path", "result")
 
 
 @query("m3_classify_results", f"WITH {b.DOCS} SELECT repo_id, file_path, document_type, data FROM docs WHERE document_type IN ('BRIEF_FILE_OVERVIEW', 'IGNORED_FILE')")
@@ -226,8 +244,11 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m4_enrich_insights",
-    f"""WITH {b.CRITICAL} SELECT c.path, (SELECT count(*) FROM file_edges e WHERE e.src = c.path) AS uses, (SELECT count(*) FROM file_edges e WHERE e.dst = c.path) AS used,
-  (SELECT count(*) FROM (SELECT DISTINCT text, def_path FROM mappings m WHERE m.path = c.path AND m.path <> m.def_path)) AS texts FROM critical c""",
+    f"""WITH {b.CRITICAL}, uses AS (SELECT src AS path, string_agg(dst, ',' ORDER BY dst) AS uses FROM file_edges GROUP BY src), used AS (SELECT dst AS path, string_agg(src, ',' ORDER BY src) AS used FROM file_edges GROUP BY dst),
+down AS (SELECT path, string_agg(t, ';' ORDER BY t) AS down FROM (SELECT DISTINCT path, text || ' REFERENCES line IN ' || def_path AS t FROM mappings WHERE path <> def_path) GROUP BY path),
+up AS (SELECT path, string_agg(t, ';' ORDER BY t) AS up FROM (SELECT DISTINCT def_path AS path, text || ' IN ' || path || ' REFERENCES line IN ' || def_path AS t FROM mappings) GROUP BY path)
+SELECT c.path, coalesce(uses, '') AS uses, coalesce(used, '') AS used, coalesce(down, '') AS downstream, coalesce(up, '') AS upstream
+FROM critical c LEFT JOIN uses ON uses.path = c.path LEFT JOIN used ON used.path = c.path LEFT JOIN down ON down.path = c.path LEFT JOIN up ON up.path = c.path""",
 )
 def m4(spark: SparkSession, d: str) -> DataFrame:
     nodes, refs = b.symbol_graph(spark, d)
@@ -236,8 +257,8 @@ def m4(spark: SparkSession, d: str) -> DataFrame:
     critical = mental_model.degree(edges).select("path")
     flat = crossfile.interactions_flat
     out = mental_model.enrich(critical, edges, flat(crossfile.downstream_texts(down)), flat(crossfile.upstream_texts(crossfile.upstream(nodes, refs))))
-    size = lambda c: F.size(c).cast("long")
-    return out.select("path", size("downstream_files").alias("uses"), size("upstream_files").alias("used"), size("downstream_interactions").alias("texts"))
+    joined = lambda c, by: F.array_join(c, by)
+    return out.select("path", joined("downstream_files", ",").alias("uses"), joined("upstream_files", ",").alias("used"), joined("downstream_interactions", ";").alias("downstream"), joined("upstream_interactions", ";").alias("upstream"))
 
 
 @query("m5_entry_points", f"WITH {b.CRITICAL} SELECT path FROM entries")
@@ -256,7 +277,7 @@ def walked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from ..storage import written
 
     edges = written(b.file_edges(spark, d), "file_edges")
-    critical = b.files(spark, d).join(mental_model.degree(edges).select("path"), "path", "left_semi").select("path", F.substring("content", 1, 80).alias("brief"))
+    critical = b.files(spark, d).join(mental_model.degree(edges), "path").select("path", mental_model.template().alias("brief"))
     entries = context.numbered(mental_model.entry_points(critical, edges))
     return context.multi_source_bfs(edges, entries), critical
 
@@ -281,18 +302,23 @@ def b2(spark: SparkSession, d: str) -> DataFrame:
     return context.first_inclusion(*walked(spark, d))
 
 
-_context = f"WITH RECURSIVE {b.WALK}, ctx AS (SELECT coalesce(string_agg(c.brief, chr(10) || chr(10) ORDER BY w.entry_ord, w.depth, w.path), '') AS context FROM walk w JOIN critical c ON w.path = c.path WHERE c.brief <> '')"
-_context_tokens = r"CAST(len(regexp_extract_all(context, '[A-Za-z_]+|[0-9]+|[^ \t\n\r\x0B\fA-Za-z_0-9]')) AS BIGINT)"
+_pieces = f"WITH RECURSIVE {b.WALK}, context_pieces AS (SELECT CAST(row_number() OVER (ORDER BY w.entry_ord, w.depth, w.path) AS INTEGER) AS place, c.brief FROM walk w JOIN critical c ON w.path = c.path WHERE c.brief <> '')"
+_count = lambda column: f"len(regexp_extract_all({column}, '{config.TOKEN}'))"
+_context_tokens = f"(SELECT CAST(coalesce(sum({_count('brief')}), 0) AS BIGINT) FROM context_pieces)"
+
+
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    return context.context_pieces(context.first_inclusion(*walked(spark, d)))
 
 
-@query("b3_concat_context", f"{_context} SELECT sha1(context) AS sha1, length(context) AS chars FROM ctx")
+@query("b3_concat_context", f"{_pieces} SELECT place, CASE WHEN place > 1 THEN chr(10) || chr(10) ELSE '' END || brief AS text FROM context_pieces")
 def b3(spark: SparkSession, d: str) -> DataFrame:
-    return context.concat_context(context.first_inclusion(*walked(spark, d))).select(F.sha1("context").alias("sha1"), F.length("context").cast("long").alias("chars"))
+    return pieces(spark, d)
 
 
-@query("b4_context_tokens", f"{_context} SELECT {_context_tokens} AS context_tokens FROM ctx")
+@query("b4_context_tokens", f"{_pieces} SELECT {_context_tokens} AS context_tokens")
 def b4(spark: SparkSession, d: str) -> DataFrame:
-    return context.context_tokens(context.concat_context(context.first_inclusion(*walked(spark, d))))
+    return context.context_tokens(pieces(spark, d))
 
 
 @query("b5_upsert_context", f"WITH {b.DOCS} SELECT folder AS repo_id, 'new context' AS data FROM files GROUP BY folder")
@@ -302,18 +328,22 @@ def b5(spark: SparkSession, d: str) -> DataFrame:
     return context.upsert_context(docs, new).where("document_type = 'REPO_CONTEXT'").select("repo_id", "data")
 
 
-@query("b6_context_coverage", f"WITH RECURSIVE {b.WALK} SELECT path FROM critical WHERE path NOT IN (SELECT path FROM walk WHERE entry_ord % 2 = 0)")
+@query("b6_context_coverage", f"WITH RECURSIVE {b.WALK} SELECT path, path IN (SELECT path FROM walk) AS covered FROM critical")
 def b6(spark: SparkSession, d: str) -> DataFrame:
     walk, critical = walked(spark, d)
-    return context.context_coverage(critical, walk.where("entry_ord % 2 = 0")).select("path")
+    missed = context.context_coverage(critical, walk).select("path", F.lit(False).alias("_covered"))
+    return critical.select("path").join(missed, "path", "left").select("path", F.coalesce("_covered", F.lit(True)).alias("covered"))
 
 
-@query("a16_compression_ratio", f"{_context}, raw AS (SELECT CAST(sum(len(regexp_extract_all(content, '{r'[A-Za-z_]+|[0-9]+|[^ \t\n\r\x0B\fA-Za-z_0-9]'}'))) AS BIGINT) AS total_tokens FROM files WHERE folder NOT IN ('src3', 'src7')), c AS (SELECT {_context_tokens} AS context_tokens FROM ctx) SELECT total_tokens, context_tokens, CAST(total_tokens AS DOUBLE) / CAST(context_tokens AS DOUBLE) AS ratio FROM raw, c")
+@query(
+    "a16_compression_ratio",
+    f"{_pieces}, raw AS (SELECT CAST(sum({_count('content')}) AS BIGINT) AS total_tokens FROM files), c AS (SELECT {_context_tokens} AS context_tokens) SELECT total_tokens, context_tokens, CAST(total_tokens AS DOUBLE) / CAST(context_tokens AS DOUBLE) AS ratio FROM raw, c",
+)
 def a16(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.precheck import compression_ratio, totals
+    """Tokens of all files against those of the context made from all files."""
+    from ..operators.precheck import compression_ratio, file_metrics, totals
 
-    tokens = context.context_tokens(context.concat_context(context.first_inclusion(*walked(spark, d))))
-    return compression_ratio(totals(b.metrics(spark, d)), tokens)
+    return compression_ratio(totals(file_metrics(b.files(spark, d), (), b.LANGUAGES)), context.context_tokens(pieces(spark, d)))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

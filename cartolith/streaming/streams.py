@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import changes, documents
-from ..sources.files import upsert
+from ..operators import documents
 
 
 def job_status_stream(events: DataFrame) -> DataFrame:
@@ -22,41 +22,40 @@ def stage_status_stream(events: DataFrame) -> DataFrame:
     return documents.fold_stages(events)
 
 
-def _replaced(table: str, keys: Sequence[str], version: str, first: DataFrame | None = None):
-    """A batch function that keeps, in the Parquet folder ``table``, each key's row of the highest version.
+def changed_versions(versions: DataFrame) -> DataFrame:
+    """ST2: of file versions (namespace, path, sha1, updated_at) those whose sha1 is new for their file or differs from the last.
 
-    Each batch writes a new generation (the batch's number) from the last one, so a
-    batch that is run again after a failure gives the same table.
+    The last sha1 and time of each file are the state, so a batch costs what it
+    holds. Of several versions in one batch the latest counts; one older than the
+    state changes nothing.
     """
 
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if number == 0 else upsert(spark.read.schema(batch.schema).parquet(f"{table}/generation={number - 1}"), batch, keys, version)
-        if number == 0:
-            rows = upsert(first if first is not None else batch.limit(0), batch, keys, version)
-        rows.write.mode("overwrite").parquet(f"{table}/generation={number}")
+    def latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, sha1 = max((int(t), s) for pdf in batches for s, t in zip(pdf["sha1"], pdf["updated_at"], strict=True))
+        before = state.get if state.exists else (None, at)
+        if at >= before[1]:
+            state.update((sha1, at))
+            if sha1 != before[0]:
+                yield pd.DataFrame({"namespace": [key[0]], "path": [key[1]], "sha1": [sha1], "updated_at": [at]})
 
-    return put
+    kind = "namespace string, path string, sha1 string, updated_at long"
+    grouped = versions.select("namespace", "path", "sha1", "updated_at").groupBy("namespace", "path")
+    return grouped.applyInPandasWithState(latest, kind, "sha1 string, updated_at long", "append", GroupStateTimeout.NoTimeout)
 
 
-def changed_file_stream(versions: DataFrame, state: str, checkpoint: str, out: str) -> DataStreamWriter:
-    """ST2: file versions (namespace, path, sha1, updated_at) against the state so far; each batch's changed files go to ``out``."""
-    keep = _replaced(state, changes.KEYS, "updated_at")
+def changed_file_stream(versions: DataFrame, checkpoint: str, out: str) -> DataStreamWriter:
+    """ST2: appends changed versions to the Parquet folder ``out``; the latest row of each file there is the file's state."""
+    return changed_versions(versions).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
 
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = upsert(batch.limit(0), batch.dropDuplicates(["namespace", "path", "sha1", "updated_at"]), changes.KEYS, "updated_at")
-        previous = spark.read.schema(batch.schema).parquet(f"{state}/generation={number - 1}") if number else batch.limit(0)
-        changes.changed_files(latest, previous).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        keep(batch, number)
 
-    return versions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+def chat_append_stream(turns: DataFrame, messages: str, checkpoint: str, late: str | None = None) -> DataStreamWriter:
+    """ST3: appends new turns (conversation_id, created_at, role, content) to the Parquet folder ``messages``, each key's first one.
 
-
-def chat_append_stream(turns: DataFrame, messages: str, checkpoint: str) -> DataStreamWriter:
-    """ST3: appends new turns (conversation_id, created_at, role, content), each key once, to the table in ``messages``."""
-    timed = turns.withColumn("version", F.unix_micros("created_at"))
-    return timed.writeStream.foreachBatch(_replaced(messages, ["conversation_id", "created_at", "role"], "version")).option("checkpointLocation", checkpoint)
+    Keys seen are state; with ``late`` (an interval) those older than that are forgotten.
+    """
+    keys = ["conversation_id", "created_at", "role"]
+    new = turns.dropDuplicates(keys) if late is None else turns.withWatermark("created_at", late).dropDuplicatesWithinWatermark(keys)
+    return new.writeStream.outputMode("append").format("parquet").option("path", messages).option("checkpointLocation", checkpoint)
 
 
 def run_available(writer: DataStreamWriter) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Micro-fixtures with hand-derived results, and properties."""
 
 import random
+import re
 from collections import deque
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import scalars
 from cartolith.operators import context, crossfile, documents, graph, mental_model, precheck, references
 from cartolith.sources import files as sources
+from cartolith.streaming import streams
 
 
 def rows(df):
@@ -55,6 +57,47 @@ def test_walk_through_files_without_a_brief(spark):
     assert {r.path for r in included.collect()} == {"e", "c"}
     assert context.concat_context(included).first().context == "E\n\nC"
     assert context.concat_context(included.limit(0)).first().context == ""
+    assert [r.text for r in context.context_pieces(included).orderBy("place").collect()] == ["E", "\n\nC"]
+    assert context.context_tokens(context.context_pieces(included)).first().context_tokens == 2
+    assert context.context_tokens(context.context_pieces(included.limit(0))).first().context_tokens == 0
+
+
+def test_trees_of_any_depth(spark):
+    rng = random.Random(4)
+    parent = {k: None if k < 3 else rng.randrange(max(0, k - 3), k) for k in range(200)}  # deep: each hangs from one of the three before
+    keep = {k for k in parent if rng.random() < 0.1}
+    want = {}
+    for k in keep:
+        up = parent[k]
+        while up is not None and up not in keep:
+            up = parent[up]
+        want[str(k)] = None if up is None else str(up)
+    tree = spark.createDataFrame([(str(k), None if p is None else str(p)) for k, p in parent.items()], "node_id string, parent_id string")
+    assert dict(rows(graph.contract_tree(tree, spark.createDataFrame([(str(k),) for k in keep], "node_id string")))) == want
+
+
+def test_leaves_against_a_plain_loop(spark):
+    texts = ["a\r\nb c\rd", "\r", "é漢 foo_bar 1x\r\n\n zz", "x\r", "\ny", "AB", "", None, "one two\n" * 2000]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, content string")
+    want = []
+    for k, t in enumerate(texts):
+        for line, text in enumerate(re.sub("\r\n?", "\n", t or "").split("\n")):
+            found = list(re.finditer("[A-Za-z_]+", text))
+            for i, m in enumerate(found):
+                want.append((str(k), line, i, m.start(), m.end(), m.group(), found[i - 1].group() if i else None, found[i + 1].group() if i + 1 < len(found) else None))
+    got = references.extract_leaves(df).select("path", "line", "ordinal", "col", "end_col", "text", "before", "after")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_only_changed_versions_pass(spark, tmp_path):
+    schema = "namespace string, path string, sha1 string, updated_at long"
+    out, source = str(tmp_path / "out"), str(tmp_path / "in")
+    seen = []
+    for batch in ([("n", "a", "1", 1), ("n", "b", "1", 1)], [("n", "a", "1", 2), ("n", "b", "2", 2), ("n", "b", "3", 3)], [("n", "b", "0", 1), ("n", "c", "1", 9)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        streams.run_available(streams.changed_file_stream(spark.readStream.schema(schema).parquet(source), str(tmp_path / "check"), out))
+        seen.append(rows(spark.read.parquet(out).select("path", "sha1")))
+    assert seen == [{("a", "1"), ("b", "1")}, {("a", "1"), ("b", "1"), ("b", "3")}, {("a", "1"), ("b", "1"), ("b", "3"), ("c", "1")}]
 
 
 def test_critical_cycle_has_no_entry_point(spark):
