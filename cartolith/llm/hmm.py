@@ -146,7 +146,7 @@ def log_likelihood(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, mov
     """Exact log10 probability of each sequence of classes by the scaled forward recursion."""
     out = np.zeros(len(first) - 1)
     by_class = np.ascontiguousarray(emit.T)
-    for chosen in _by_length(first):
+    for chosen in _by_length(first, _TOKENS // 4):
         steps = _Steps(first, chosen)
         forward, scale = _forward(steps, by_class[tokens[steps.token]], start, move)
         out[chosen] = np.log10(forward[steps.last].sum(axis=1)) + np.bincount(steps.row, weights=np.log10(scale), minlength=len(chosen))
@@ -253,22 +253,25 @@ def baum_welch(encoded: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarr
             found = expected_counts(*_unpacked(batch.column("classes")), *model, np.float32)
             sums = found if sums is None else tuple(a + b for a, b in zip(sums, found, strict=True))
         if sums is not None:
-            packed = [np.concatenate([sums[0][s : s + 1], sums[3] / states, sums[1][s], sums[2][s]]).tobytes() for s in range(states)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(states), pa.int32()), pa.array(packed)], ["state", "counts"])
+            packed = [np.concatenate([sums[0][s : s + 1], sums[1][s], sums[2][s]]).astype(np.float32).tobytes() for s in range(states)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(states), pa.int32()), pa.array(packed), pa.array(np.full(states, sums[3][0] / states))], ["state", "counts", "chance"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        chances: dict[int, float] = {}
         for batch in batches:
-            for state, counts in zip(batch.column("state").to_pylist(), batch.column("counts"), strict=True):
-                sums[state] = sums.get(state, 0) + np.frombuffer(counts.as_buffer())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["state", "counts"])
-
-    kind = "state int, counts binary"
-    rows = encoded.select("classes").mapInArrow(releasing(count), kind).repartition(states, "state").mapInArrow(add, kind).collect()  # a row for each state
+            for state, counts, chance in zip(batch.column("state").to_pylist(), batch.column("counts"), batch.column("chance").to_pylist(), strict=True):
+                sums[state] = sums.get(state, 0) + np.frombuffer(counts.as_buffer(), np.float32).astype(float)
+                chances[state] = chances.get(state, 0) + chance
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary()), pa.array(list(chances.values()), pa.float64())], ["state", "counts", "chance"])
+
+    kind = "state int, counts binary, chance double"
+    tasks = 2 * encoded.sparkSession.sparkContext.defaultParallelism  # each sends one set of counts, however many files there are
+    rows = encoded.select("classes").coalesce(tasks).mapInArrow(releasing(count), kind).repartition(states, "state").mapInArrow(add, kind).collect()  # a row for each state
     if not rows:
         return model, 0.0
     table = np.stack([np.frombuffer(r.counts) for r in sorted(rows)])
-    return reestimated(table[:, 0], table[:, 2 : 2 + states], table[:, 2 + states :], prior), float(table[:, 1].sum())
+    return reestimated(table[:, 0], table[:, 1 : 1 + states], table[:, 1 + states :], prior), sum(r.chance for r in rows)
 
 
 def _started(totals: np.ndarray, states: int, prior: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
