@@ -24,11 +24,14 @@ def multi_source_bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     links = written(edges.select("src", "dst").distinct(), "bfs_edges")
     label = F.struct("entry_ord", "depth")
     found = [written(seeds.select("path", "entry_ord", F.lit(0).alias("depth")).groupBy("path").agg(F.min(label).alias("label")), "bfs")]
+    kind = found[0].schema["label"].dataType
+    none = F.lit(None).cast(kind)
     while True:
-        step = F.struct(F.col("label.entry_ord").alias("entry_ord"), (F.col("label.depth") + 1).alias("depth"))
-        offers = found[-1].join(links, F.col("path") == F.col("src")).groupBy(F.col("dst").alias("path")).agg(F.min(step).alias("offer"))
-        better = offers.join(_best_labels(found), "path", "left").where("label IS NULL OR offer < label").select("path", F.col("offer").alias("label"))
-        frontier = written(better, "bfs")
+        step = F.struct(F.col("label.entry_ord").alias("entry_ord"), (F.col("label.depth") + 1).alias("depth")).cast(kind)
+        offers = found[-1].join(links, F.col("path") == F.col("src")).select(F.col("dst").alias("path"), none.alias("label"), step.alias("offer"))
+        known = reduce(DataFrame.unionByName, found).select("path", "label", none.alias("offer"))
+        best = known.unionByName(offers).groupBy("path").agg(F.min("label").alias("label"), F.min("offer").alias("offer"))
+        frontier = written(best.where("offer IS NOT NULL AND (label IS NULL OR offer < label)").select("path", F.col("offer").alias("label")), "bfs")
         if frontier.isEmpty():
             discard(frontier, links)
             return _best_labels(found).select("path", "label.entry_ord", "label.depth")
