@@ -72,18 +72,18 @@ def contains_edges(nodes: DataFrame) -> DataFrame:
 
 
 def node_at_location(points: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Points (point_id, path, line, col) with the node_id and parent_id of the first leaf whose span holds them, both ends included.
+    """Points (point_id, path, line, col) with the node_id, parent_id and name of the first leaf whose span holds them, both ends included.
 
     The line is an equi-key (a leaf of several lines has a row for each), so the
     range condition is only checked within a line.
     """
-    spans = leaves.select("path", F.explode(F.sequence("start_line", "end_line")).alias("line"), "node_id", "parent_id", "start_line", "start_col", "end_line", "end_col")
+    spans = leaves.select("path", F.explode(F.sequence("start_line", "end_line")).alias("line"), "node_id", "parent_id", "name", "start_line", "start_col", "end_line", "end_col")
     here = F.struct(F.col("line").alias("l"), F.col("col").alias("c"))
     hit = points.join(spans, ["path", "line"]).where(
         (F.struct(F.col("start_line").alias("l"), F.col("start_col").alias("c")) <= here) & (here <= F.struct(F.col("end_line").alias("l"), F.col("end_col").alias("c")))
     )
-    first = hit.groupBy("point_id").agg(F.min(F.struct("start_line", "start_col", "node_id", "parent_id")).alias("leaf"))
-    return points.join(first, "point_id").select(*points.columns, "leaf.node_id", "leaf.parent_id")
+    first = hit.groupBy("point_id").agg(F.min(F.struct("start_line", "start_col", "node_id", "parent_id", "name")).alias("leaf"))
+    return points.join(first, "point_id").select(*points.columns, "leaf.node_id", "leaf.parent_id", "leaf.name")
 
 
 def reference_hits(mappings: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def reference_hits(mappings: DataFrame, leaves: DataFrame) -> DataFrame:
     keyed = mappings.withColumn("point_id", scalars.location_string(F.col("path"), F.col("line"), F.col("col")))
     starts = node_at_location(keyed.select("point_id", "path", "line", "col"), leaves).select("point_id", F.col("node_id").alias("source"))
     ends = node_at_location(keyed.select("point_id", F.col("def_path").alias("path"), F.col("def_line").alias("line"), F.col("def_col").alias("col")), leaves)
-    return starts.join(ends.select("point_id", F.col("node_id").alias("target"), F.col("parent_id").alias("target_parent"), F.col("path").alias("target_path")), "point_id").join(
+    return starts.join(ends.select("point_id", F.col("node_id").alias("target"), F.col("parent_id").alias("target_parent"), F.col("name").alias("target_name")), "point_id").join(
         keyed.select("point_id", "path", "line", "col"), "point_id"
     )
 
@@ -102,10 +102,15 @@ def reference_edges(mappings: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def promote_definition_parents(nodes: DataFrame, hits: DataFrame) -> DataFrame:
-    """The parent of a leaf that is some reference's definition becomes a definition, named by that leaf of the last reference."""
-    texts = nodes.select(F.col("node_id").alias("target"), F.col("name").alias("_text"))
-    last = hits.join(texts, "target").groupBy(F.col("target_parent").alias("node_id")).agg(F.max_by("_text", F.struct("path", "line", "col")).alias("_name"))
-    return nodes.join(last, "node_id", "left").withColumn("is_definition", F.col("is_definition") | F.col("_name").isNotNull()).withColumn("name", F.coalesce("_name", "name")).select(*nodes.columns)
+    """The parent of a leaf that is some reference's definition becomes a definition, named by that leaf of the last reference.
+
+    Hits have the leaf's text as ``target_name``, or it is looked up among the nodes.
+    """
+    if "target_name" not in hits.columns:
+        hits = hits.join(nodes.select(F.col("node_id").alias("target"), F.col("name").alias("target_name")), "target")
+    last = hits.groupBy(F.col("target_parent").alias("node_id")).agg(F.max_by("target_name", F.struct("path", "line", "col")).alias("_name"))
+    named = written(last, "promoted")  # so that its size is known when the join is planned
+    return nodes.join(named, "node_id", "left").withColumn("is_definition", F.col("is_definition") | F.col("_name").isNotNull()).withColumn("name", F.coalesce("_name", "name")).select(*nodes.columns)
 
 
 def mappings_of(mappings: DataFrame, changed: DataFrame | None = None) -> DataFrame:
@@ -126,33 +131,37 @@ def keep_set(nodes: DataFrame, root_ids: DataFrame) -> DataFrame:
 
 
 def contract_tree(parents: DataFrame, keep: DataFrame) -> DataFrame:
-    """node_id and anchor (nearest kept ancestor, or null) of every kept node of (node_id, parent_id).
+    """node_id and anchor (nearest kept ancestor, or null) of every kept node of (node_id, parent_id)."""
+    flag = keep.select("node_id").distinct().withColumn("_kept", F.lit(True))
+    flagged = parents.select("node_id", "parent_id").join(flag, "node_id", "left")
+    return contract_flagged(written(flagged.select("node_id", "parent_id", F.coalesce("_kept", F.lit(False)).alias("kept")), "contract_nodes"))
+
+
+def contract_flagged(nodes: DataFrame) -> DataFrame:
+    """``contract_tree`` for a written tree whose column ``kept`` says which nodes stay; that spares looking every node up.
 
     Only nodes that are not kept need a way up: pointer jumping moves each of their
     pointers to the pointer of the node it shows while that is not kept either,
     which halves what is left of every path, so a tree of depth d takes log2(d)
     joins. A round carries the pointers that still move; settled ones are looked up
-    and never written again. A chain that never meets a kept node, or goes round,
-    ends in null.
+    and never written again. Kept nodes meet their parents once, in one table of
+    kept nodes, which show themselves, and of the ways that end in a kept node. A
+    chain that never meets a kept node, or goes round, ends in null.
     """
-    flag = keep.select("node_id").distinct().withColumn("_kept", F.lit(True))
-    flagged = written(parents.select("node_id", "parent_id").join(flag, "node_id", "left"), "contract_nodes")
-    moving = written(flagged.where("_kept IS NULL AND parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("anchor")), "contract_moving")
-    lost = flagged.where("_kept IS NULL AND parent_id IS NULL").select("node_id", F.lit(None).cast("string").alias("anchor"))
-    settled, rounds = lost, 0
+    moving = written(nodes.where("NOT kept AND parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("anchor")), "contract_moving")
+    settled, rounds = nodes.where("NOT kept AND parent_id IS NULL").select("node_id", F.lit(None).cast("string").alias("anchor")), 0
     while rounds < 62 and not moving.isEmpty():
         inner = moving.unionByName(settled).select(F.col("node_id").alias("anchor"), F.col("anchor").alias("_next"), F.lit(True).alias("_inner"))
         jumped = written(moving.join(inner, "anchor", "left").select("node_id", F.when(F.col("_inner"), F.col("_next")).otherwise(F.col("anchor")).alias("anchor"), (F.col("_inner") & F.col("_next").isNotNull()).alias("_moves")), "contract_moving")
         settled = settled.unionByName(jumped.where("_moves IS NULL OR NOT _moves").select("node_id", "anchor"))
         moving = jumped.where("_moves").select("node_id", "anchor")
         rounds += 1
-    kept = flagged.where("_kept")
-    hung = kept.where("parent_id IS NOT NULL").select("node_id", "parent_id")
-    ways = settled.unionByName(moving.withColumn("anchor", F.lit(None).cast("string"))).select(F.col("node_id").alias("parent_id"), F.col("anchor").alias("_way"), F.lit(True).alias("_inner"))
-    reached = hung.join(ways, "parent_id", "left").select("node_id", F.when(F.col("_inner"), F.col("_way")).otherwise(F.col("parent_id")).alias("anchor"))
-    known = flag.select(F.col("node_id").alias("anchor"), F.lit(True).alias("_ok"))
-    anchored = reached.join(known, "anchor", "left").select("node_id", F.when(F.col("_ok"), F.col("anchor")).alias("anchor"))
-    return anchored.unionByName(kept.where("parent_id IS NULL").select("node_id", F.lit(None).cast("string").alias("anchor")))
+    kept = nodes.where("kept").select("node_id", "parent_id")
+    ends = kept.select(F.col("node_id").alias("anchor"))
+    ways = settled.where("anchor IS NOT NULL").join(ends, "anchor").select(F.col("node_id").alias("parent_id"), "anchor")
+    shown = ends.select(F.col("anchor").alias("parent_id"), "anchor").unionByName(ways)
+    hung = kept.where("parent_id IS NOT NULL").join(shown, "parent_id", "left").select("node_id", "anchor")
+    return hung.unionByName(kept.where("parent_id IS NULL").select("node_id", F.lit(None).cast("string").alias("anchor")))
 
 
 def dedupe_attach(edges: DataFrame) -> DataFrame:
@@ -176,13 +185,15 @@ def prune_reference_edges(edges: DataFrame, keep: DataFrame) -> DataFrame:
 def prune_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept nodes, and edges of the contracted tree with the references among them.
 
+    What G10 and G11 say is a column here, so that one join tells which nodes stay.
     Parent ids in the nodes stay those of the whole tree.
     """
-    keep = written(keep_set(nodes, roots(nodes, edges)), "keep")
-    anchors = contract_tree(nodes.select("node_id", "parent_id"), keep)
-    attached = dedupe_attach(anchors.where("anchor IS NOT NULL").select(F.col("anchor").alias("source"), F.col("node_id").alias("target")))
-    kept = nodes.join(keep, "node_id", "left_semi").select(*nodes.columns)
-    return kept, resequence(attached, nodes).unionByName(prune_reference_edges(edges, keep))
+    held = edges.where("type = 'CONTAINS'").select(F.col("target").alias("node_id")).distinct().withColumn("_held", F.lit(True))
+    stays = F.col("is_definition") | F.col("is_reference") | F.col("parent_id").isNull() | F.col("_held").isNull()
+    marked = written(nodes.join(held, "node_id", "left").withColumn("kept", F.coalesce(stays, F.lit(False))).select(*nodes.columns, "kept"), "marked")
+    kept = marked.where("kept").select(*nodes.columns)
+    attached = contract_flagged(marked).where("anchor IS NOT NULL").select(F.col("anchor").alias("source"), F.col("node_id").alias("target"))
+    return kept, resequence(dedupe_attach(attached), kept).unionByName(prune_reference_edges(edges, kept))
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -23,13 +23,14 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split(scalars.normalise_newlines(F.col("content")), "\n")).alias("line", "text"))
 
 
-def extract_leaves(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def extract_leaves(files: DataFrame, keep: Sequence[str] = (), pattern: str | None = None) -> DataFrame:
     """Path, line, ordinal, col, end_col and text of every word, in code points, end exclusive, with the words before and after it in its line.
 
     A word's column depends on all that precedes it in its line. Finding the words
     of a line where it lies takes one pass and no exchange; with array or window
     functions every token would be shuffled by its line first. ``keep`` names string
-    columns of the files to repeat on every word, which spares a join later.
+    columns of the files to repeat on every word, which spares a join later. With
+    ``pattern`` only the words that it matches leave the Python workers.
     """
     names = ["path", *keep]
 
@@ -39,7 +40,8 @@ def extract_leaves(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE, prepend=0)) if len(sizes) else []
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if b > a:
-                    yield _words(batch.slice(a, b - a), names)
+                    found = _words(batch.slice(a, b - a), names)
+                    yield found if pattern is None else found.filter(pc.match_substring_regex(found.column("text"), pattern))
 
     return files.select(*names, "content").mapInArrow(find, ", ".join(f"{c} string" for c in names) + f", {LEAF}")
 

@@ -88,7 +88,7 @@ def leaves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    found = references.extract_symbols(leaves(spark, d))
+    found = references.extract_symbols(references.extract_leaves(files(spark, d), pattern=config.SYMBOL))
     return found.withColumn("doc_id", F.regexp_extract("path", r"/(\d+)\.", 1).cast("long")).withColumn("folder", F.substring_index("path", "/", 1))
 
 
@@ -113,11 +113,16 @@ def symbol_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return plain, graph.reference_edges(mappings(spark, d, found), plain.where("node_type = 'word'"))
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The whole tree, with the parents of definitions promoted, written once."""
+def promoted(spark: SparkSession, d: str) -> DataFrame:
+    """The whole tree, with the parents of definitions promoted."""
     found = shared_symbols(spark, d)
     hits = graph.reference_hits(mappings(spark, d, found), graph.build_node_table(files(spark, d), found).where("node_type = 'word'"))
-    return written(graph.promote_definition_parents(graph.build_node_table(files(spark, d), leaves(spark, d)), hits), "nodes")
+    return graph.promote_definition_parents(graph.build_node_table(files(spark, d), leaves(spark, d)), hits)
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """``promoted`` written once, for queries that use it several times."""
+    return written(promoted(spark, d), "nodes")
 
 
 def edges(spark: SparkSession, d: str, tree: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config, scalars
 from ..operators import context, crossfile, graph, mental_model
+from ..storage import written
 from . import bindings as b
 from .registry import query
 
@@ -74,7 +75,7 @@ def g7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g8_promote_definition_parents", f"WITH {WORDS} SELECT node_id, name FROM promoted")
 def g8(spark: SparkSession, d: str) -> DataFrame:
-    return b.nodes(spark, d).where("is_definition").select("node_id", "name")
+    return b.promoted(spark, d).where("is_definition").select("node_id", "name")
 
 
 @query("g9_mappings_of_changed", f"WITH {b.STATE} SELECT path, line, col FROM mappings WHERE path IN (SELECT path FROM changed)")
@@ -99,9 +100,8 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g12_contract_tree", f"WITH {WORDS} SELECT target AS node_id, source AS anchor FROM attached UNION ALL SELECT path || ':0:0:module:0', NULL FROM files")
 def g12(spark: SparkSession, d: str) -> DataFrame:
-    nodes = b.nodes(spark, d)
-    keep = graph.keep_set(nodes, nodes.where("parent_id IS NULL").select("node_id"))
-    return graph.contract_tree(nodes.select("node_id", "parent_id"), keep)
+    flagged = b.promoted(spark, d).select("node_id", "parent_id", F.expr("is_definition OR is_reference OR parent_id IS NULL").alias("kept"))
+    return graph.contract_flagged(written(flagged, "flagged"))
 
 
 @query("g13_dedupe_attach", f"WITH {b.FILE_EDGES} SELECT src AS source, dst AS target FROM file_edges")
@@ -115,8 +115,7 @@ _sequenced = "SELECT source, target, CAST(row_number() OVER (PARTITION BY source
 @query("g14_resequence", f"WITH {WORDS} {_sequenced}")
 def g14(spark: SparkSession, d: str) -> DataFrame:
     nodes = b.nodes(spark, d)
-    keep = graph.keep_set(nodes, nodes.where("parent_id IS NULL").select("node_id"))
-    attached = graph.contract_tree(nodes.select("node_id", "parent_id"), keep).where("anchor IS NOT NULL").select(F.col("anchor").alias("source"), F.col("node_id").alias("target"))
+    attached = graph.contract_flagged(nodes.withColumn("kept", F.expr("is_definition OR is_reference OR parent_id IS NULL"))).where("anchor IS NOT NULL").select(F.col("anchor").alias("source"), F.col("node_id").alias("target"))
     order = nodes.withColumn("end_line", F.when(F.col("node_type") == "line", 1 << 30).otherwise(F.col("end_line")))  # a line before its first word
     return graph.resequence(attached, order).select("source", "target", "sequence")
 
@@ -274,8 +273,6 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
 
 def walked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The walk over file dependencies from all entry points, and the critical files with their briefs."""
-    from ..storage import written
-
     edges = written(b.file_edges(spark, d), "file_edges")
     critical = b.files(spark, d).join(mental_model.degree(edges), "path").select("path", mental_model.template().alias("brief"))
     entries = context.numbered(mental_model.entry_points(critical, edges))
