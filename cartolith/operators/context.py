@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import config, scalars
@@ -43,15 +43,22 @@ def _best_labels(found: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("path").agg(F.min("label").alias("label"))
 
 
-def numbered(rows: DataFrame, order: Sequence[str] = ("path",), name: str = "entry_ord") -> DataFrame:
+def numbered(rows: DataFrame, order: Sequence[str | Column] = ("path",), name: str = "entry_ord", kind: str = "int") -> DataFrame:
     """``rows`` numbered from 1 by ``order``, with a count in each range of its values first, so no task sorts all rows."""
     parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # a row for each partition
-    place = (F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).cast("int").alias(name)
+    place = (F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).cast(kind).alias(name)
     return parts.join(F.broadcast(starts), "_part").select(*rows.columns, place)
 
 
+def numbered_within(rows: DataFrame, group: str, order: Sequence[str | Column], name: str = "place") -> DataFrame:
+    """``rows`` numbered from 1 in each ``group``; a group of any size is spread over the ranges of its values; rows without a group go."""
+    overall = numbered(rows, (group, *order), "_n", "long")
+    first = overall.groupBy(group).agg(F.min("_n").alias("_first"))
+    return overall.join(first, group).select(*rows.columns, (F.col("_n") - F.col("_first") + 1).alias(name))
+
+
 def first_inclusion(walk: DataFrame, briefs: DataFrame) -> DataFrame:
     """B2: entry_ord, depth, path and brief of the critical files reached whose brief isn't empty."""
     return walk.join(briefs.where("brief <> ''").select("path", "brief"), "path").select("entry_ord", "depth", "path", "brief")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .context import numbered_within
 
 
 def _linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,10 +55,15 @@ def dependency_files(edges: DataFrame) -> DataFrame:
 
 
 def interactions_flat(texts: DataFrame) -> DataFrame:
-    """Of each path all texts, sorted."""
+    """Of each path all texts, sorted, in one row; for texts of a file's own references, which its size bounds."""
     return texts.groupBy("path").agg(F.sort_array(F.collect_list("text")).alias("interactions"))
 
 
+def interaction_rows(texts: DataFrame) -> DataFrame:
+    """X5 as rows: path, place from 1 among the path's sorted texts, and text; for paths that any number of files refer to."""
+    return numbered_within(texts.select("path", "text"), "path", ("text",))
+
+
 def distinct_files(nodes: DataFrame) -> DataFrame:
     """X6"""
     return nodes.select("path").distinct()

@@ -30,9 +30,13 @@ def repo_summaries(repos: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def briefs_in_order(requests: DataFrame, documents: DataFrame) -> DataFrame:
-    """D3: repo_id, pos, path and brief for requests (repo_id, paths array), in the array's order; empty briefs go."""
+    """D3: repo_id, pos, path and brief for requests (repo_id, paths array), in the array's order; empty briefs go.
+
+    Requests of any length are rows (repo_id, pos, path).
+    """
     briefs = documents.where((F.col("document_type") == config.BRIEF) & (F.col("data") != "")).select("repo_id", F.col("file_path").alias("path"), F.col("data").alias("brief"))
-    return requests.select("repo_id", F.posexplode("paths").alias("pos", "path")).join(briefs, ["repo_id", "path"]).select("repo_id", "pos", "path", "brief")
+    asked = requests.select("repo_id", F.posexplode("paths").alias("pos", "path")) if "paths" in requests.columns else requests
+    return asked.join(briefs, ["repo_id", "path"]).select("repo_id", "pos", "path", "brief")
 
 
 def brief_or_empty(keys: DataFrame, documents: DataFrame) -> DataFrame:

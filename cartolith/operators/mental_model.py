@@ -66,7 +66,7 @@ def critical_files(documents: DataFrame) -> DataFrame:
 
 
 def enrich(critical: DataFrame, edges: DataFrame, downstream_flat: DataFrame, upstream_flat: DataFrame) -> DataFrame:
-    """M4: critical files with their dependency files and interaction texts, empty where there are none."""
+    """M4: critical files with their dependency files and interaction texts, empty where there are none; a row holds all that refers to its file."""
     none = F.array().cast("array<string>")
     uses = edges.groupBy(F.col("src").alias("path")).agg(F.sort_array(F.collect_set("dst")).alias("downstream_files"))
     used = edges.groupBy(F.col("dst").alias("path")).agg(F.sort_array(F.collect_set("src")).alias("upstream_files"))
@@ -78,6 +78,14 @@ def enrich(critical: DataFrame, edges: DataFrame, downstream_flat: DataFrame, up
     return out.select(*critical.columns, *(F.coalesce(c, none).alias(c) for c in names))
 
 
+def enrich_rows(critical: DataFrame, edges: DataFrame, downstream_texts: DataFrame, upstream_texts: DataFrame) -> DataFrame:
+    """M4 as rows path, insight (the column of ``enrich``) and value, for files that any number of others use."""
+    named = lambda rows, path, insight, value: rows.select(F.col(path).alias("path"), F.lit(insight).alias("insight"), F.col(value).alias("value"))
+    all_ = named(edges, "src", "downstream_files", "dst").unionByName(named(edges, "dst", "upstream_files", "src"))
+    all_ = all_.unionByName(named(downstream_texts, "path", "downstream_interactions", "text")).unionByName(named(upstream_texts, "path", "upstream_interactions", "text"))
+    return all_.distinct().join(critical.select("path"), "path", "left_semi")
+
+
 def entry_points(critical: DataFrame, edges: DataFrame) -> DataFrame:
     """M5: critical files that no other critical file uses."""
     used = edges.where("src <> dst").join(critical.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path"))

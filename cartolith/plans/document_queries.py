@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as docs
+from ..operators.context import numbered_within
 from ..storage import new_folder
 from ..streaming import streams
 from . import bindings as b
@@ -28,10 +29,11 @@ def d2(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "d3_brief_file_overviews",
-    f"WITH {b.DOCS}, asked AS (SELECT folder AS repo_id, path, CAST(row_number() OVER (PARTITION BY folder ORDER BY path DESC) - 1 AS INTEGER) AS pos FROM files) SELECT a.repo_id, a.pos, a.path, d.data AS brief FROM asked a JOIN docs d ON d.repo_id = a.repo_id AND d.file_path = a.path AND d.document_type = 'BRIEF_FILE_OVERVIEW' AND d.data <> ''",
+    f"WITH {b.DOCS}, asked AS (SELECT folder AS repo_id, path, CAST(row_number() OVER (PARTITION BY folder ORDER BY path DESC) - 1 AS BIGINT) AS pos FROM files) SELECT a.repo_id, a.pos, a.path, d.data AS brief FROM asked a JOIN docs d ON d.repo_id = a.repo_id AND d.file_path = a.path AND d.document_type = 'BRIEF_FILE_OVERVIEW' AND d.data <> ''",
 )
 def d3(spark: SparkSession, d: str) -> DataFrame:
-    asked = b.files(spark, d).groupBy(F.col("folder").alias("repo_id")).agg(F.reverse(F.array_sort(F.collect_list("path"))).alias("paths"))
+    paths = b.files(spark, d).select(F.col("folder").alias("repo_id"), "path")
+    asked = numbered_within(paths, "repo_id", (F.desc("path"),), "pos").withColumn("pos", F.col("pos") - 1)
     return docs.briefs_in_order(asked, b.model_documents(spark, d))
 
 

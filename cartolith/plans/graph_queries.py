@@ -198,11 +198,12 @@ def x6(spark: SparkSession, d: str) -> DataFrame:
     return crossfile.distinct_files(b.symbol_graph(spark, d)[0])
 
 
-@query("f18_interaction_text", f"WITH {b.MAPPINGS}, ups AS (SELECT DISTINCT def_path AS path, path || ' → ' || def_path || ': ' || text || ' IN ' || path || ' REFERENCES line IN ' || def_path AS t FROM mappings) SELECT path, string_agg('- ' || t, chr(10) ORDER BY t) AS block FROM ups GROUP BY path")
+@query("f18_interaction_text", f"WITH {b.MAPPINGS}, ups AS (SELECT DISTINCT def_path AS path, path || ' → ' || def_path || ': ' || text || ' IN ' || path || ' REFERENCES line IN ' || def_path AS t FROM mappings) SELECT path, row_number() OVER (PARTITION BY path ORDER BY t) AS place, '- ' || t AS line FROM ups")
 def f18(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each file's block, as rows: any number of files may refer to one."""
     texts = crossfile.upstream_texts(crossfile.upstream(*b.symbol_graph(spark, d)))
     arrows = texts.withColumn("text", scalars.arrow_text(F.col("other"), F.col("path"), F.col("text")))
-    return crossfile.interactions_flat(arrows).select("path", scalars.bullets(F.col("interactions")).alias("block"))
+    return crossfile.interaction_rows(arrows).select("path", "place", scalars.bullets(F.array("text")).alias("line"))
 
 
 @query("f19_assemble_file_prompt", f"WITH {b.FILE_EDGES}, u AS (SELECT src AS path, string_agg('- ' || dst, chr(10) ORDER BY dst) AS block FROM file_edges GROUP BY src) SELECT f.path, sha1('File ' || f.path || chr(10) || f.content || chr(10) || coalesce(u.block, '—')) AS prompt_sha1 FROM files f LEFT JOIN u ON f.path = u.path")
@@ -243,21 +244,18 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m4_enrich_insights",
-    f"""WITH {b.CRITICAL}, uses AS (SELECT src AS path, string_agg(dst, ',' ORDER BY dst) AS uses FROM file_edges GROUP BY src), used AS (SELECT dst AS path, string_agg(src, ',' ORDER BY src) AS used FROM file_edges GROUP BY dst),
-down AS (SELECT path, string_agg(t, ';' ORDER BY t) AS down FROM (SELECT DISTINCT path, text || ' REFERENCES line IN ' || def_path AS t FROM mappings WHERE path <> def_path) GROUP BY path),
-up AS (SELECT path, string_agg(t, ';' ORDER BY t) AS up FROM (SELECT DISTINCT def_path AS path, text || ' IN ' || path || ' REFERENCES line IN ' || def_path AS t FROM mappings) GROUP BY path)
-SELECT c.path, coalesce(uses, '') AS uses, coalesce(used, '') AS used, coalesce(down, '') AS downstream, coalesce(up, '') AS upstream
-FROM critical c LEFT JOIN uses ON uses.path = c.path LEFT JOIN used ON used.path = c.path LEFT JOIN down ON down.path = c.path LEFT JOIN up ON up.path = c.path""",
+    f"""WITH {b.CRITICAL}, insights AS (
+  SELECT src AS path, 'downstream_files' AS insight, dst AS value FROM file_edges UNION ALL SELECT dst, 'upstream_files', src FROM file_edges
+  UNION ALL SELECT DISTINCT path, 'downstream_interactions', text || ' REFERENCES line IN ' || def_path FROM mappings WHERE path <> def_path
+  UNION ALL SELECT DISTINCT def_path, 'upstream_interactions', text || ' IN ' || path || ' REFERENCES line IN ' || def_path FROM mappings)
+SELECT i.path, i.insight, i.value FROM insights i JOIN critical c ON i.path = c.path""",
 )
 def m4(spark: SparkSession, d: str) -> DataFrame:
     nodes, refs = b.symbol_graph(spark, d)
-    down = crossfile.downstream(nodes, refs)
+    down = written(crossfile.downstream(nodes, refs), "downstream")
     edges = crossfile.file_edges(down)
     critical = mental_model.degree(edges).select("path")
-    flat = crossfile.interactions_flat
-    out = mental_model.enrich(critical, edges, flat(crossfile.downstream_texts(down)), flat(crossfile.upstream_texts(crossfile.upstream(nodes, refs))))
-    joined = lambda c, by: F.array_join(c, by)
-    return out.select("path", joined("downstream_files", ",").alias("uses"), joined("upstream_files", ",").alias("used"), joined("downstream_interactions", ";").alias("downstream"), joined("upstream_interactions", ";").alias("upstream"))
+    return mental_model.enrich_rows(critical, edges, crossfile.downstream_texts(down), crossfile.upstream_texts(crossfile.upstream(nodes, refs)))
 
 
 @query("m5_entry_points", f"WITH {b.CRITICAL} SELECT path FROM entries")

@@ -269,3 +269,27 @@ def test_nearest_definitions_agree_with_the_full_list(spark):
     defs = refs.where("line < 4")
     want = references.first_definition(references.resolve_references(refs, defs))
     assert rows(references.nearest_resolved(refs, defs)) == rows(want) == rows(references.first_resolved(refs, defs))
+
+
+def test_places_within_groups_of_any_size(spark):
+    values = [("hot", f"{k % 40:02d}") for k in range(200)] + [("one", "z"), (None, "a"), (None, "b")]
+    df = spark.createDataFrame(values, "g string, v string")
+    want = [("hot", f"{k // 5:02d}", k + 1) for k in range(200)] + [("one", "z", 1)]
+    got = [(r.g, r.v, r.n) for r in context.numbered_within(df, "g", ("v",), "n").collect()]
+    assert sorted(got) == sorted(want)  # rows of no group have no place
+    assert context.numbered_within(df.limit(0), "g", ("v",), "n").count() == 0
+    down = [(r.v, r.n) for r in context.numbered_within(df.where("g = 'one'").unionByName(spark.createDataFrame([("one", "y")], "g string, v string")), "g", (F.desc("v"),), "n").collect()]
+    assert sorted(down) == [("y", 2), ("z", 1)]
+
+
+def test_insights_as_lists_and_as_rows_agree(spark):
+    edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("b", "d")], "src string, dst string")
+    texts = lambda *r: spark.createDataFrame(list(r), "path string, other string, text string")
+    down, up = texts(("a", "b", "t1"), ("c", "b", "t2"), ("b", "d", "t3")), texts(("b", "a", "u1"), ("b", "c", "u2"), ("d", "b", "u3"))
+    critical = spark.createDataFrame([("b",), ("d",), ("lone",)], "path string")
+    flat = crossfile.interactions_flat
+    lists = mental_model.enrich(critical, edges, flat(down), flat(up)).collect()
+    assert {r.path for r in lists} == {"b", "d", "lone"}
+    want = {(r.path, c, v) for r in lists for c in r.asDict() if c != "path" for v in r[c]}
+    got = rows(mental_model.enrich_rows(critical, edges, down, up))
+    assert len(got) == len(want) and set(map(tuple, got)) == want
