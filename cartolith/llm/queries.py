@@ -12,6 +12,7 @@ from cartolith.sources.spread import spread
 from .alignment import align_documents
 from .boosted_rules import judge
 from .hmm import score_documents
+from .jaccard_join import jaccard_components
 from .line_crf import classify
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -75,6 +76,10 @@ def op10_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -84,7 +89,7 @@ def op13_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_minhash_join, op3_line_crf, op4_segment_topk, op5_lpt_shards, op6_token_counts, op7_hidden_markov, op8_trie_bpe, op9_source_mix, op10_boosted_rules, op12_conversation_trie, op13_pair_alignment)}
+    return {f.__name__: f for f in (op1_url_rules, op2_minhash_join, op3_line_crf, op4_segment_topk, op5_lpt_shards, op6_token_counts, op7_hidden_markov, op8_trie_bpe, op9_source_mix, op10_boosted_rules, op11_jaccard_join, op12_conversation_trie, op13_pair_alignment)}
 
 
 _junk = "|".join(JUNK)
