@@ -19,8 +19,9 @@ that most tasks have met. The others' counts are summed and joined by key, exact
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
-from typing import NamedTuple
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,26 +32,40 @@ from .memory import releasing
 from .near_dedup import by_group
 from .selection import largest
 from .storage import written
-from .token_counts import byte_alphabet, load
+from .token_counts import SPLIT, byte_alphabet, load
 from .words import buffers, hash_spans, mix, slices
 
 HEAD, SHARD, LEVELS, CHUNK = 1 << 22, 1 << 16, 64, 1 << 14
-_KEPT_SEGMENTS, _KEPT_BYTES = 400_000, 48 << 20
+_KEPT_SEGMENTS, _KEPT_BYTES = 1_000_000, 96 << 20
+_JOINED = 1000
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
 
 
-class Segment(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: np.ndarray  # a << 32 | b of each link
-    groups: bytes
-    whole: bool  # the joined bytes of both sides are the segment's
+class _Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.size = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.size], np.zeros(self.size + len(values), self.held.dtype)])
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
+def _spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    return np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
 
 
 class Aligner:
-    """Both tokenizers and the segments that they have aligned."""
+    """Both tokenizers and the segments that they have aligned, as arrays over all segments, their pairs and their groups' text."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -59,49 +74,126 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         back = {c: b for b, c in byte_alphabet().items()}
-        self.bytes_a = {i: bytes(back[c] for c in name) for name, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in back for c in name)}
+        named = {i: bytes(back[c] for c in name) for name, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in back for c in name)}
+        self.bytes_a = [named.get(i, b"") for i in range(max(named) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.tables = [(np.frombuffer(b"".join(t), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in t])))) for t in (self.bytes_a, self.bytes_b)]
         self.space = self.b.piece_to_id("▁")
-        self.known: dict[int, int] = {}
-        self.segments: list[Segment] = []
-        self.held = 0
-
-    def _aligned(self, text: bytes, a: list[int], b: list[int]) -> Segment:
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != text or b"".join(parts_b) != text:
-            return Segment(0, 0, 0, np.zeros(0, np.int64), b"", False)
-        ends_a, ends_b = np.cumsum([len(p) for p in parts_a]), np.cumsum([len(p) for p in parts_b])
-        ends = np.union1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)  # the tokens that an overlap ending there belongs to
-        both = np.intersect1d(ends_a, ends_b)
-        cut_a, cut_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
-        listed = lambda ids: ",".join(map(str, ids))
-        groups = ";".join(f"{listed(a[i:j])}|{listed(b[k:m])}" for i, j, k, m in zip([0, *cut_a[:-1]], cut_a, [0, *cut_b[:-1]], cut_b, strict=True))
-        return Segment(len(a), len(b), len(both), np.array(a, np.int64)[at_a] << 32 | np.array(b, np.int64)[at_b], groups.encode(), True)
-
-    def align(self, texts: list[bytes]) -> list[Segment]:
-        """Segments that begin with a space, aligned; valid UTF-8 each."""
+        names = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.digits = np.array([len(x) for x in names])
+        self.names = np.frombuffer(b"".join(x.ljust(12) for x in names), np.uint8).reshape(-1, 12)
+        self.fast = self._by_ranks(path_a)
+        self._empty()
+
+    def _by_ranks(self, path: str):
+        """A faster encoder of the same ids for vocabularies whose ids rise with their merges' ranks; None for others."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+        if any(b <= a for a, b in pairwise(made)):
+            return None
+        return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={text: i for i, text in enumerate(self.bytes_a) if text}, special_tokens={})
+
+    def _ids_a(self, plain: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, and how many each has. Segments that end in a printable sign are encoded many in one text."""
+        if self.fast is None:
+            lists = [e.ids for e in self.a.encode_batch_fast(plain, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(plain))
+        joined, held = [], []
+        for text in plain:
+            held.append(text)
+            if not "!" <= text[-1] <= "~" or len(held) == _JOINED:
+                joined.append("".join(held))
+                held = []
+        joined.append("".join(held))
+        ids = np.fromiter(chain.from_iterable(map(self.fast.encode_ordinary, joined)), np.int64)
+        begin = self.tables[0][1]
+        ends = np.cumsum(begin[ids + 1] - begin[ids])  # every byte is in a token
+        return ids, np.diff(np.concatenate(([0], np.searchsorted(ends, np.cumsum(size), "right"))))
+
+    def _empty(self) -> None:
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of known segments, sorted, and their places
+        self.n_a, self.n_b, self.n_groups, self.n_pairs, self.n_text = (_Grown(np.int32) for _ in range(5))
+        self.whole, self.pairs, self.text = _Grown(bool), _Grown(np.int64), _Grown(np.uint8)
+        self.pairs_at, self.text_at = _Grown(np.int64), _Grown(np.int64)
+
+    def _joined(self, side: int, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the joined bytes of each segment's tokens are the segment's."""
+        flat, begin = self.tables[side]
+        sizes = begin[ids + 1] - begin[ids]
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        own = np.diff(np.concatenate(([0], ends)))
+        good = np.diff(cuts) == own
+        spans = lambda begins, which: _spans(begins[which], own[which])
+        some = np.flatnonzero(good)
+        same = flat[_spans(begin[ids], sizes)][spans(cuts[:-1], some)] == data[spans(ends - own, some)]
+        wrong = np.repeat(some, own[some])[~same]
+        good[wrong] = False
+        return good
+
+    def align(self, texts: list[bytes]) -> None:
+        """Aligns distinct segments that begin with a space, valid UTF-8 each, and keeps them."""
         plain = [t.decode() for t in texts]
-        found = zip(texts, self.a.encode_batch_fast(plain, add_special_tokens=False), self.b.encode([t[1:] for t in plain], num_threads=1), strict=True)
-        return [self._aligned(t, a.ids, b or [self.space]) for t, a, b in found]  # a lone space: the library takes nothing for nothing
+        data, size = np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+        lists = [x or [self.space] for x in self.b.encode([t[1:] for t in plain], num_threads=1)]  # a lone space: the library takes nothing for nothing
+        (ids_a, counts_a), ids_b = self._ids_a(plain, size), np.fromiter(chain.from_iterable(lists), np.int64)
+        ids, counts = (ids_a, ids_b), (counts_a, np.fromiter(map(len, lists), np.int64, len(lists)))
+        whole = self._joined(0, ids[0], counts[0], data, np.cumsum(size)) & self._joined(1, ids[1], counts[1], data, np.cumsum(size))
+        a, b = (x[np.repeat(whole, n)] for x, n in zip(ids, counts, strict=True))
+        ends_a, ends_b = (np.cumsum(t[1][x + 1] - t[1][x]) for t, x in zip(self.tables, (a, b), strict=True))
+        cuts = np.cumsum(size[whole])  # ends of the whole segments, laid end to end; both sides have all of them
+        merged = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        again = np.concatenate((merged[1:] == merged[:-1], [False]))[: len(merged)]
+        ends, both = merged[~again], merged[again]
+        per = lambda x: np.diff(np.concatenate(([0], np.searchsorted(x, cuts, "right"))))
+        pairs = a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]  # the tokens that an overlap ending there belongs to
+        of_a, of_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)  # groups
+        last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
+        place_a = np.arange(len(a)) + np.concatenate(([0], last_b + 1))[of_a]
+        place_b = np.arange(len(b)) + (last_a + 1)[of_b]
+        row, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        row[place_a], row[place_b] = a, b
+        mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
+        shown = self.names[row]
+        shown[np.arange(len(row)), self.digits[row]] = mark
+        inside = np.arange(12)[None, :] <= self.digits[row][:, None]
+        written_ = np.concatenate(([0], np.cumsum(self.digits[row] + 1)))[np.concatenate(([0], np.cumsum(per(ends_a) + per(ends_b))))]
+
+        def spread(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(texts), np.int64)
+            out[whole] = values
+            return out
+
+        n_pairs, n_text = spread(per(ends)), spread(np.diff(written_))
+        for column, values in ((self.n_a, spread(per(ends_a))), (self.n_b, spread(per(ends_b))), (self.n_groups, spread(per(both))), (self.n_pairs, n_pairs), (self.n_text, n_text), (self.whole, whole)):
+            column.add(values)
+        self.pairs_at.add(self.pairs.size + np.cumsum(n_pairs) - n_pairs)
+        self.text_at.add(self.text.size + np.cumsum(n_text) - n_text)
+        self.pairs.add(pairs)
+        self.text.add(shown[inside])
 
     def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place in ``segments`` of each span of ``data``."""
-        if len(self.segments) > _KEPT_SEGMENTS or self.held > _KEPT_BYTES:
-            self.known, self.segments, self.held = {}, [], 0
+        """The place of each span of ``data`` among the segments."""
+        if self.whole.size > _KEPT_SEGMENTS or self.text.size + 8 * self.pairs.size > _KEPT_BYTES:
+            self._empty()
         values, first, which = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        missing = [k for k, v in enumerate(values.tolist()) if v not in self.known]
-        if missing:
-            new = self.align([data[starts[first[k]] : ends[first[k]]].tobytes() for k in missing])
-            for k, segment in zip(missing, new, strict=True):
-                self.known[int(values[k])] = len(self.segments)
-                self.segments.append(segment)
-                self.held += len(segment.groups) + segment.pairs.nbytes
-        return np.array([self.known[v] for v in values.tolist()], np.int64)[which]
+        at = np.searchsorted(self.hashes, values)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == values if len(self.hashes) else np.zeros(len(values), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            before = self.whole.size
+            raw = data.tobytes()
+            self.align([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.hashes = np.insert(self.hashes, at[new], values[new])
+            self.at = np.insert(self.at, at[new], np.arange(before, before + len(new)))
+            at = np.searchsorted(self.hashes, values)
+        return self.at[at][which]
 
     def documents(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Of rows i to j: the places in ``segments`` of all segments, and each row's first; rows that have no tokens have none."""
+        """Of rows i to j: the places of all segments, and each row's first; rows that have no tokens have none."""
         raw, offsets = buffers(column)
         for i, j in slices(offsets):
             sizes = np.diff(offsets[i : j + 1])
@@ -121,23 +213,21 @@ class Aligner:
             use = some[row]
             starts, ends, row = starts[use], ends[use], row[use]
             places = self.numbers(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
-            broken = np.unique(row[~self.field("whole", places, bool)]) if len(places) else row
+            broken = np.unique(row[~self.whole.all[places]])
             if len(broken):
                 use = ~np.isin(row, broken)
                 places, row = places[use], row[use]
             yield i, j, places, np.searchsorted(row, np.arange(j - i + 1))
 
-    def field(self, name: str, places: np.ndarray, kind: type = np.int64) -> np.ndarray:
-        """A field of the segments at ``places``."""
-        which, back = np.unique(places, return_inverse=True)
-        return np.array([getattr(self.segments[k], name) for k in which.tolist()], kind)[back]
-
     def links(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct segments among ``places`` and how often each occurs; all their pairs, and where each one's begin."""
         which, times = np.unique(places, return_counts=True)
-        parts = [self.segments[k].pairs for k in which.tolist()]
-        begin = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-        return which, times, np.concatenate(parts) if parts else np.zeros(0, np.int64), begin
+        sizes = self.n_pairs.all[which].astype(np.int64)
+        return which, times, self.pairs.all[_spans(self.pairs_at.all[which], sizes)], np.concatenate(([0], np.cumsum(sizes)))
+
+    def texts(self, places: np.ndarray) -> bytes:
+        """The groups of all segments at ``places``, a semicolon after each group."""
+        return self.text.all[_spans(self.text_at.all[places], self.n_text.all[places].astype(np.int64))].tobytes()
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -271,7 +361,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD)
         aligner, seen = aligner_of(path_a, path_b), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, places, _ in aligner.documents(batch.column("text")):
-                seen = np.union1d(seen, aligner.links(places)[2])
+                seen = np.unique(np.concatenate([seen, np.unique(aligner.links(places)[2])]), sorted=True)
                 if len(seen) > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(seen)], ["key"])
                     seen = seen[:0]
@@ -347,9 +437,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD)
                 per = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[begin])  # noqa: E731  of each distinct segment
                 back = np.searchsorted(which, places)
                 summed = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[back])))[first])  # noqa: E731  of each row
-                fields = [summed(aligner.field(c, which)) for c in ("n_a", "n_b", "n_groups")]
-                texts_ = [aligner.segments[k].groups for k in which.tolist()]
-                hashes = ["" if a == b else hashlib.sha256(b";".join(map(texts_.__getitem__, back[a:b].tolist()))).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
+                fields = [summed(x.all[which]) for x in (aligner.n_a, aligner.n_b, aligner.n_groups)]
+                hashes = ["" if a == b else hashlib.sha256(aligner.texts(places[a:b])[:-1]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
                 columns = [batch.column("doc_id").slice(i, j - i), *map(pa.array, (*fields, summed(np.diff(begin)), summed(per(top.astype(np.int64))), summed(per(value)), hashes))]
                 names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
                 if partial:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 MOST_HOT = 1000
 
@@ -26,12 +27,13 @@ def look_up(rows: DataFrame, table: DataFrame, keys: str | Sequence[str], how: s
     hot = [tuple(r)[:-1] for r in counts.where(F.col("_n") > least).collect()] if (most.top or 0) > least else []  # fewer than MOST_HOT rows
     if not hot:
         return rows.join(table, names, how)
-    some = F.coalesce(_among(names, hot), F.lit(False))
+    some = F.coalesce(_among([F.col(c) for c in names], hot, [rows.schema[c].dataType for c in names]), F.lit(False))
     near = rows.where(some).join(F.broadcast(table.where(some)), names, how)  # fewer than MOST_HOT rows
     return near.unionByName(rows.where(~some).join(table.where(~some), names, how))
 
 
-def _among(names: Sequence[str], hot: list[tuple]) -> Column:
-    if len(names) == 1:
-        return F.col(names[0]).isin([h[0] for h in hot if h[0] is not None])
-    return F.struct(*names).isin([F.struct(*(F.lit(x) for x in h)) for h in hot if None not in h])
+def _among(keys: Sequence[Column], hot: list[tuple], kinds: Sequence[DataType]) -> Column:
+    if len(keys) == 1:
+        return keys[0].isin([h[0] for h in hot if h[0] is not None])
+    typed = lambda h: F.struct(*(F.lit(x).cast(t) for x, t in zip(h, kinds, strict=True)))
+    return F.struct(*keys).isin([typed(h) for h in hot if None not in h])
