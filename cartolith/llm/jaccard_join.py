@@ -12,7 +12,10 @@
 4. Skipping by place: of two sets that first meet in this list at places p and q, no
    more than n - p and m - q shingles can be shared. A list's entries stand in
    blocks by what they have left; blocks with too little are skipped whole.
-5. Skipping by answers: sets of one component are near each other. A set's shared
+5. Skipping by parity: each set has a bit for each of some cells, whether it has an odd
+   number of shingles there. Two sets differ in at least as many shingles as their
+   parities differ in cells; pairs that differ in too many are passed over.
+6. Skipping by answers: sets of one component are near each other. A set's shared
    sizes with a leader of the component bound those with the component's others by
    the differences of these from the leader; where the bound isn't enough, the size
    follows from the differences alone, without comparing the sets.
@@ -37,7 +40,7 @@ from .skew import look_up
 from .storage import discard, written
 from .words import mix
 
-CELLS, MASS, BLOCK = 1 << 21, 1 << 20, 512
+CELLS, MASS, BLOCK, MOST_CELLS = 1 << 21, 1 << 20, 512, 1 << 14
 _CHUNKS, _SEEN, _SALTS, _SKIP = 64, 1 << 20, 64, 64
 
 
@@ -160,6 +163,49 @@ def _could(n: Column, at: Column, m: Column, of: Column, percent: int) -> Column
     return F.least(n - at, m - of) * (100 + percent) >= percent * (n + m)
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each of about as many cells as the set has shingles: whether it has an odd number there."""
+    cells = int(np.clip(1 << int(len(shingles)).bit_length(), 64, MOST_CELLS))
+    return np.packbits((np.bincount((mix(shingles ^ np.uint64(0xA5A5)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(bool)).tobytes()
+
+
+class Parities:
+    """The parities of some sets, for bounds on how many shingles pairs of them differ in."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        self.bits = [np.frombuffer(b.as_buffer(), np.uint8) for b in column]
+        self.size = np.array([len(b) for b in self.bits])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _folded(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """All parities of at least ``size`` bytes brought down to it, which halving by exclusive or does exactly, and their rows."""
+        if size not in self.at:
+            use = np.flatnonzero(self.size >= size)
+            row = np.zeros(len(self.size), np.int64)
+            row[use] = np.arange(len(use))
+            self.at[size] = np.stack([np.bitwise_xor.reduce(_low(self.bits[k], size), axis=0) for k in use]).view(np.uint64), row
+        return self.at[size]
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """At least so many shingles are in one set of each pair only."""
+        out = np.zeros(len(x), np.int64)
+        least = np.minimum(self.size[x], self.size[y])
+        for size in np.unique(least).tolist():
+            table, row = self._folded(size)
+            for some in np.array_split(np.flatnonzero(least == size), max(1, int((least == size).sum()) * size >> 22)):
+                out[some] = np.bitwise_count(table[row[x[some]]] ^ table[row[y[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _low(bits: np.ndarray, size: int) -> np.ndarray:
+    """A parity cut into parts of ``size`` bytes that fold onto one another: cells that agree in their low bits."""
+    return bits.reshape(-1, size)
+
+
+def _differ_too_much(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    return n + m - differ < 2 * least_shared(n, m, percent)
+
+
 def linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of labels (a, b) linked within blocks (gid, side, vid, label): a row of side 0 with one of side 1."""
 
@@ -208,13 +254,27 @@ def answers(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarra
 
 
 def link_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """v and label of all classes (vid, rep, one, two, n) that are linked with others."""
+    """v and label of all classes (vid, rep, one, two, n, parity) that are linked with others."""
     posted = written(postings(docs, width, percent), "join_postings")
     own = written(posted.select("key", "one", "at").join(classes.select("one", "vid", "n"), "one").select("key", "vid", "n", "at"), "join_places")
     lists = written(own.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("vid", "n", "at")).alias("pivot")).where("size > 1"), "join_lists")
     held = written(look_up(own, lists, "key").select("key", "vid", "n", "at", F.col("pivot.vid").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")), "join_held")
     discard(posted, own, lists)
     stars = written(held.where((F.col("vid") != F.col("p")) & _could(F.col("n"), F.col("at"), F.col("pn"), F.col("pat"), percent)).groupBy("p", F.col("vid").alias("v")).agg(F.first("n").alias("n")), "join_stars")
+    bits = classes.select("vid", "n", "parity")
+    offered = written(stars.join(bits.select(F.col("vid").alias("v"), F.col("parity").alias("vb")), "v"), "join_offers")
+    near = look_up(offered, bits.select(F.col("vid").alias("p"), F.col("n").alias("pn"), F.col("parity").alias("pb")), "p")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.num_rows
+            both = Parities(pa.chunked_array([batch.column("pb"), batch.column("vb")]))
+            far = _differ_too_much(batch.column("n").to_numpy(), batch.column("pn").to_numpy(), both.differ(np.arange(k), np.arange(k, 2 * k)), percent)
+            yield batch.select(["p", "v", "n"]).filter(pa.array(~far))
+
+    discard(stars)
+    stars = written(near.select("p", "v", "n", "pn", "pb", "vb").mapInArrow(releasing(close), "p long, v long, n long"), "join_close")
+    discard(offered)
     masses = written(stars.groupBy("p").agg(F.sum("n").alias("mass")), "join_masses")
     near = look_up(stars, masses, "p").withColumn("gid", F.xxhash64("p", F.pmod(F.xxhash64("v"), F.ceil(F.col("mass") / MASS))))
     near = written(near.select("gid", "p", "v"), "join_near")
@@ -243,7 +303,7 @@ def link_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
         """The rows of each block that have a partner which may be linked."""
         for rows in by_group(batches, "gid"):
             side, n, place, label = (rows[c].to_numpy() for c in ("side", "n", "at", "label"))
-            rest = n - place
+            rest, parities = n - place, Parities(rows["parity"])
             one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             two = two[np.argsort(-rest[two], kind="stable")]
             heads = rest[two][::_SKIP]  # the most that each block of entries has left
@@ -254,13 +314,15 @@ def link_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
                     continue
                 some = two[: _SKIP * int(np.searchsorted(-heads, -least, "right"))]
                 ok = (np.minimum(rest[some], rest[a]) >= least_shared(n[some], n[a], percent)) & (label[some] != label[a])
-                if ok.any():
+                some = some[ok]
+                some = some[~_differ_too_much(n[some], n[a], parities.differ(some, np.full(len(some), a)), percent)]
+                if len(some):
                     marked[a] = True
-                    marked[some[ok]] = True
+                    marked[some] = True
             if marked.any():
                 yield rows.select(["gid", "side", "vid", "label"]).filter(pa.array(marked)).combine_chunks().to_batches()[0]
 
-    cells = left.unionByName(right).withColumn("gid", F.xxhash64("key", "i", "j")).select("gid", "side", "vid", "n", "at", "label").repartition("gid").sortWithinPartitions("gid")
+    cells = left.unionByName(right).withColumn("gid", F.xxhash64("key", "i", "j")).select("gid", "side", "vid", "n", "at", "label").join(classes.select("vid", "parity"), "vid").repartition("gid").sortWithinPartitions("gid")
     flagged = written(cells.mapInArrow(releasing(skip), "gid long, side int, vid long, label long"), "join_flagged")
     discard(part, open_)
     if flagged.isEmpty():
@@ -286,12 +348,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [digests([s]) for s in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)) for k in range(3))], ["doc_id", "n", "one", "two"])
+            found = [(*digests([s]), parity(s)) for s in shingle_sets(batch.column("text"), width)]
+            columns = [pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([f[3] for f in found], pa.binary())], ["doc_id", "n", "one", "two", "parity"])
 
-    rows = written(docs.mapInArrow(releasing(measure), f"doc_id {kind}, n long, one long, two long"), "join_rows")
+    rows = written(docs.mapInArrow(releasing(measure), f"doc_id {kind}, n long, one long, two long, parity binary"), "join_rows")
     linkable = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    found = linkable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    found = linkable.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     # vid rises with rep, so a component's smallest vid belongs to its smallest doc_id
     classes = written(found.repartitionByRange("rep", "one", "two").sortWithinPartitions("rep", "one", "two").withColumn("vid", F.monotonically_increasing_id()), "join_classes")
     labels = link_sets(docs.where(F.col("doc_id").isNotNull()), classes, width, percent)
