@@ -88,8 +88,9 @@ def extract_symbols(leaves: DataFrame, pattern: str = config.SYMBOL) -> DataFram
 def pattern_rows(spark: SparkSession, hooks: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
     """The registry of per-language extractors as rows (language, role, before).
 
-    A ``reference`` row with word before none stands for any word; ``stop`` rows
-    hold words that are never references.
+    ``define`` rows hold words that come right before the name they define, ``stop``
+    rows words that are never references. Rows with context on both sides are
+    ``lexing.pattern_table``'s.
     """
     rows = [(language, role, word) for language, roles in hooks.items() for role, words in roles.items() for word in words]
     return spark.createDataFrame(rows, "language string, role string, word string")
