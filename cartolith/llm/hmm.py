@@ -35,6 +35,7 @@ STATES, TOP_WORDS, OWN_COUNT, SHAPES, FREQUENT = 8, 1000, 1000, 1024, 1 << 17
 END = np.int64(0x7E57)  # stands for the end token's hash
 _KEPT_WORDS, _TOKENS = 1 << 20, 1 << 19
 _RESCALE, _BLOCK = 8, 1 << 15  # steps between rescalings, rows of one bulk operation
+_SEGMENT, _TOGETHER = 1 << 10, 1 << 10  # tokens that follow one another, and matrices side by side, in one recursion
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,13 +145,66 @@ def _by_length(first: np.ndarray, limit: int = _TOKENS) -> Iterator[np.ndarray]:
 
 def log_likelihood(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Exact log10 probability of each sequence of classes by the scaled forward recursion."""
-    out = np.zeros(len(first) - 1)
     by_class = np.ascontiguousarray(emit.T)
-    for chosen in _by_length(first, _TOKENS // 4):
-        steps = _Steps(first, chosen)
-        forward, scale = _forward(steps, by_class[tokens[steps.token]], start, move)
+    parts = _Segments(tokens, first, start, move, by_class)
+    out = np.zeros(len(parts.first) - 1)
+    for chosen in _by_length(parts.first, _TOKENS // 4):
+        steps = _Steps(parts.first, chosen)
+        forward, scale = _forward(steps, by_class[tokens[steps.token]], parts.begin[chosen], move)
         out[chosen] = np.log10(forward[steps.last].sum(axis=1)) + np.bincount(steps.row, weights=np.log10(scale), minlength=len(chosen))
-    return out
+    return np.bincount(parts.of, weights=out, minlength=len(first) - 1)
+
+
+class _Segments:
+    """Sequences cut into segments, each with what comes before and after it, so that those of one sequence run side by side.
+
+    A segment's steps are one matrix, states at its begin by states at its end. The
+    matrices of all segments are formed together; vectors then pass from segment to
+    segment: forward the chances of the states at its first token, given all tokens
+    before, and backward the chance of all tokens after it, up to a factor.
+    """
+
+    def __init__(self, tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, by_class: np.ndarray):
+        sizes = np.diff(first)
+        count = np.maximum(1, -(-sizes // _SEGMENT))
+        self.of = np.repeat(np.arange(len(sizes)), count)
+        head = np.cumsum(count) - count
+        cuts = first[:-1][self.of] + _SEGMENT * (np.arange(len(self.of)) - head[self.of])
+        self.first = np.append(cuts, first[-1])
+        self.lead = np.zeros(len(self.of), bool)  # the first of their sequence
+        self.lead[head] = True
+        self.begin, self.after = np.tile(start, (len(self.of), 1)), np.ones((len(self.of), len(start)), by_class.dtype)
+        some = np.flatnonzero(count[self.of] > 1)
+        if len(some):
+            self._pass(some, self._matrices(some, tokens, move, by_class), move.astype(float))
+
+    def _matrices(self, some: np.ndarray, tokens: np.ndarray, move: np.ndarray, by_class: np.ndarray) -> np.ndarray:
+        """From the states of each segment's first token to those of its last, up to a factor."""
+        out = np.empty((len(some), len(move), len(move)))
+        sizes = np.diff(self.first)[some]
+        order = np.argsort(-sizes, kind="stable")
+        for a in range(0, len(order), _TOGETHER):
+            rows = order[a : a + _TOGETHER]
+            begin, left = self.first[:-1][some[rows]], sizes[rows]
+            now = np.eye(len(move)) * by_class[tokens[begin]][:, None, :]
+            for t in range(1, int(left[0])):
+                live = int(np.searchsorted(-left, -t, "left"))
+                now[:live] = (now[:live] @ move) * by_class[tokens[begin[:live] + t]][:, None, :]
+                if t % _RESCALE == 0:
+                    now[:live] /= now[:live].sum(axis=(1, 2))[:, None, None]
+            out[rows] = now
+        return out
+
+    def _pass(self, some: np.ndarray, matrices: np.ndarray, move: np.ndarray) -> None:
+        whole = lambda x: x / x.sum()
+        state = None
+        for k, matrix in zip(some.tolist(), matrices, strict=True):
+            if not self.lead[k]:
+                self.begin[k] = whole(state @ move)
+            state = whole(self.begin[k] @ matrix)
+        for k, matrix in zip(some[::-1].tolist(), matrices[::-1], strict=True):
+            if not self.lead[k]:
+                self.after[k - 1] = whole(move @ (matrix @ self.after[k].astype(float)))
 
 
 class _Steps:
@@ -184,10 +238,11 @@ def _forward(steps: _Steps, local: np.ndarray, start: np.ndarray, move: np.ndarr
     return out, scale
 
 
-def _backward(steps: _Steps, local: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Backward probabilities up to a factor of each row."""
+def _backward(steps: _Steps, local: np.ndarray, after: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Backward probabilities up to a factor of each row; ``after``: those at the end of each sequence."""
     at, active, back = steps.at, steps.active, np.ascontiguousarray(move.T)
     out = np.ones_like(local)
+    out[steps.last] = after
     for t in range(len(active) - 1, 0, -1):
         rows = out[at[t - 1] : at[t - 1] + active[t]]
         np.matmul(local[at[t] : at[t + 1]] * out[at[t] : at[t + 1]], back, out=rows)
@@ -206,26 +261,36 @@ def expected_counts(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, mo
     starts, moves, emissions, chance = np.zeros(states), np.zeros_like(move), np.zeros_like(emit), np.zeros(1)
     best = emit.max(axis=0)
     by_class, log_best = np.ascontiguousarray((emit / best).T, kind), np.log10(best)
-    start_, move_ = start.astype(kind), np.ascontiguousarray(move, kind)
-    for chosen in _by_length(first):
-        steps = _Steps(first, chosen)
+    move_ = np.ascontiguousarray(move, kind)
+    parts = _Segments(tokens, first, start, move, by_class)
+    inner = np.flatnonzero(~parts.lead)  # segments with one before
+    ends, begins = np.zeros((len(parts.of), states)) if len(inner) else None, np.zeros((len(parts.of), states)) if len(inner) else None
+    for chosen in _by_length(parts.first):
+        steps = _Steps(parts.first, chosen)
         word = tokens[steps.token]
         local = by_class[word]
-        forward, scale = _forward(steps, local, start_, move_)
-        backward = _backward(steps, local, move_)
+        forward, scale = _forward(steps, local, parts.begin[chosen].astype(kind), move_)
+        backward = _backward(steps, local, parts.after[chosen], move_)
         chance += np.log10(forward[steps.last].sum(axis=1)).sum(dtype=float) + np.log10(scale).sum(dtype=float) + log_best[word].sum()
         fresh = steps.active[0]
+        if len(inner):
+            ends[chosen], begins[chosen] = forward[steps.last], local[:fresh] * backward[:fresh]
+        lead = parts.lead[chosen]
         for a in range(0, len(word), _BLOCK):
             rows = slice(a, a + _BLOCK)
             both = forward[rows] * backward[rows]
             whole = both.sum(axis=1)
             both /= whole[:, None]
-            starts += both[: max(0, fresh - a)].sum(axis=0)
+            if a < fresh:
+                starts += both[: fresh - a][lead[a : a + _BLOCK]].sum(axis=0)
             for s in range(states):
                 emissions[s] += np.bincount(word[rows], weights=both[:, s], minlength=emit.shape[1])
             later = slice(max(a, fresh), a + _BLOCK)  # rows with one before
             onward = local[later] * backward[later] / (whole[len(whole) - len(local[later]) :] * scale[later])[:, None]
             moves += forward[steps.before[later]].T @ onward * move
+    if len(inner):
+        left, right = ends[inner - 1], begins[inner]
+        moves += (left / ((left @ move) * right).sum(axis=1)[:, None]).T @ right * move
     return starts, moves, emissions, chance
 
 
