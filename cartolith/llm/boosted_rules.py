@@ -19,7 +19,7 @@ from .labelled import training_sample
 from .memory import release
 from .words import _SPACE, buffers, find_lines, find_words, hash_spans, mix, runs, slices
 
-WINDOW = 8
+WINDOW, LONG = 8, 1 << 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Each feature and the sign of its effect on quality: -1 never raises it, 0 free.
 FEATURES = {
@@ -56,12 +56,15 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     base, features = np.zeros((n, len(BASE)), np.int64), np.zeros((n, len(FEATURES)))
     for i, j in slices(offsets):
         text, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if j == i + 1 and len(text) > LONG:
+            base[i], features[i] = long_statistics(text)
+            continue
         docs = np.arange(j - i)
         words = find_words(text, at)
         hashes = hash_spans(text, words.starts, words.ends)
         counts = np.diff(words.first)
         bytes_ = np.stack([np.bincount(text[a:b], minlength=256) for a, b in zip(at[:-1], at[1:], strict=True)]) @ _KINDS
-        symbols, chars, word_chars, upper, letters, digits, bangs, pipes, wide, stops = bytes_.T
+        symbols, _, word_chars, *_ = bytes_.T
 
         windows, begin = runs(hashes, words.first, WINDOW)
         owner = np.repeat(docs, np.diff(begin))
@@ -84,15 +87,82 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         word_doc = np.repeat(docs, counts)
         equal = np.bincount(word_doc[1:][(hashes[1:] == hashes[:-1]) & (word_doc[1:] == word_doc[:-1])], minlength=j - i)
         base[i:j] = np.stack([counts, word_chars, symbols, dup_lines, repeated], axis=1)
-        some, some_lines = np.maximum(counts, 1), np.maximum(worded_lines, 1)
-        features[i:j] = np.stack(
-            [np.log1p(counts), word_chars / some, symbols / some, dup_lines / some_lines, repeated / some, equal / some,
-             upper / np.maximum(letters, 1), digits / np.maximum(chars, 1), bangs / some, pipes / some, counts / some_lines, wide / np.maximum(chars, 1), stops / some],
-            axis=1,
-        )
+        features[i:j] = _features(counts, repeated, dup_lines, worded_lines, equal, bytes_)
     return base, features
 
 
+def _features(counts: np.ndarray, repeated: np.ndarray, dup_lines: np.ndarray, worded_lines: np.ndarray, equal: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+    symbols, chars, word_chars, upper, letters, digits, bangs, pipes, wide, stops = bytes_.T
+    some, some_lines = np.maximum(counts, 1), np.maximum(worded_lines, 1)
+    return np.stack(
+        [np.log1p(counts), word_chars / some, symbols / some, dup_lines / some_lines, repeated / some, equal / some,
+         upper / np.maximum(letters, 1), digits / np.maximum(chars, 1), bangs / some, pipes / some, counts / some_lines, wide / np.maximum(chars, 1), stops / some],
+        axis=1,
+    )
+
+
+def _blocks(text: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``size`` bytes that end after white space, or longer ones where a word is."""
+    a = 0
+    while a < len(text):
+        b = min(a + size, len(text))
+        while b < len(text) and not _SPACE[text[b - 1]]:
+            gap = np.flatnonzero(_SPACE[text[b : b + size]])
+            b = b + int(gap[0]) + 1 if len(gap) else min(b + size, len(text))
+        yield a, b
+        a = b
+
+
+def long_statistics(text: np.ndarray, size: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """``statistics`` of one text, block by block: of the whole text only a hash of each window and of each worded line is held."""
+    n_bytes, windows, lines = np.zeros(256, np.int64), [], []
+    n_words, equal, last = 0, 0, np.zeros(0, np.uint64)
+    begin, worded = 0, False  # of the line that is open
+    for a, b in _blocks(text, size):
+        part = text[a:b]
+        n_bytes += np.bincount(part, minlength=256)
+        words = find_words(part, np.array([0, b - a]))
+        hashes = hash_spans(text, words.starts + a, words.ends + a)
+        n_words += len(hashes)
+        held = np.concatenate([last, hashes])
+        equal += int((held[1:] == held[:-1])[max(len(last) - 1, 0) :].sum())
+        if len(held) >= WINDOW:
+            windows.append(runs(held, np.array([0, len(held)]), WINDOW)[0])
+        last = held[-(WINDOW - 1) :]
+        ends = np.flatnonzero(part == 10) + a
+        if b == len(text):
+            ends = np.append(ends, b)
+        starts = np.concatenate(([begin], ends[:-1] + 1)) if len(ends) else ends
+        has = np.searchsorted(words.starts + a, starts) < np.searchsorted(words.starts + a, ends)
+        if len(ends):
+            has[0] |= worded
+            lines.append(hash_spans(text, starts[has], ends[has]))
+            begin, worded = int(ends[-1]) + 1, bool(len(words.starts) and words.starts[-1] + a > ends[-1])
+        else:
+            worded |= len(words.starts) > 0
+    found = np.concatenate(lines) if lines else np.zeros(0, np.uint64)
+    found.sort()
+    n_lines, n_dup = len(found), int((found[1:] == found[:-1]).sum())
+    several = np.concatenate(windows) if windows else np.zeros(0, np.uint64)
+    del found, lines
+    several.sort()
+    several = several[1:][several[1:] == several[:-1]]  # windows found twice or more
+    several = several[np.concatenate((several[1:] != several[:-1], [True]))[: len(several)]]
+    repeated, carried = 0, 0  # words covered; how many words more the last such window covers
+    for part in windows:
+        at = np.minimum(np.searchsorted(several, part), max(len(several) - 1, 0))
+        twice = several[at] == part if len(several) else np.zeros(len(part), bool)
+        reach = np.where(twice, np.arange(len(part)) + WINDOW, carried)
+        reach = np.maximum.accumulate(np.maximum(reach, carried)) if len(part) else reach
+        repeated += int((reach > np.arange(len(part))).sum())
+        carried = max(0, int(reach[-1]) - len(part)) if len(part) else carried
+    repeated += min(carried, WINDOW - 1) if windows else 0  # the words after the last window's first
+    kinds = (n_bytes @ _KINDS)[None, :]
+    row = lambda x: np.array([x])
+    features = _features(row(n_words), row(repeated), row(n_dup), row(n_lines), row(equal), kinds)
+    return np.array([n_words, kinds[0, 2], kinds[0, 0], n_dup, repeated]), features[0]
+
+
 class Trees(NamedTuple):
     """Nodes of all trees in flat arrays; a leaf's feature is 0, its threshold infinite and its children itself."""
 
