@@ -38,7 +38,7 @@ from .words import buffers, find_words, hash_spans, mix, runs, slices
 
 COORDINATES, MATCHES = 32, 14
 PREFIX = COORDINATES - MATCHES + 1
-BLOCK = 512
+BLOCK, MASS = 512, 1 << 18  # rows and shingles of a block
 _CELLS, _CHUNKS = 1 << 20, 32
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _SALTS = mix(np.arange(101, 101 + COORDINATES, dtype=np.uint64))
@@ -213,15 +213,16 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, width
             yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), repeated("vid"), repeated("n")], ["key", "vid", "n"])
 
     postings = written(classes.select("vid", "n", "signature").mapInArrow(releasing(post), "key long, vid long, n long"), "dedup_postings")
-    lists = written(postings.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("vid", "n")).alias("pivot")).where("size > 1"), "dedup_lists")
-    held = written(look_up(postings, lists, "key").select("key", "vid", "n", "size", F.col("pivot.vid").alias("p"), F.col("pivot.n").alias("pn")), "dedup_held")
+    lists = written(postings.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), F.min(F.struct("vid", "n")).alias("pivot")).where("size > 1"), "dedup_lists")
+    held = written(look_up(postings, lists, "key").select("key", "vid", "n", "size", "mass", F.col("pivot.vid").alias("p"), F.col("pivot.n").alias("pn")), "dedup_held")
     discard(postings, lists)
+    blocks = lambda rows, mass: F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(mass) / MASS))
     fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes too far apart cannot be similar
     stars = (
         held.where((F.col("vid") != F.col("p")) & fit("n", "pn"))
         .groupBy("p", F.col("vid").alias("v"))
-        .agg(F.max("size").alias("size"))
-        .select("p", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / BLOCK)).cast("long").alias("chunk"))
+        .agg(F.max("size").alias("size"), F.max("mass").alias("mass"))
+        .select("p", "v", F.pmod(F.xxhash64("v"), blocks("size", "mass")).cast("long").alias("chunk"))
     )
     signed = classes.select("vid", "signature")
     offered = written(stars.join(signed.select(F.col("vid").alias("v"), F.col("signature").alias("vs")), "v"), "dedup_offers")
@@ -239,9 +240,9 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, width
     pivots = labels.select(F.col("v").alias("p"), F.col("label").alias("plabel"))
     named = written(look_up(labelled, pivots, "p", "left").withColumn("plabel", F.coalesce("plabel", "p")), "dedup_named")
     discard(held, labelled)
-    others = written(named.where("label <> plabel").groupBy("key").agg(F.count("*").alias("others")), "dedup_open")
-    open_ = look_up(named.select("key", "vid", "n", "label", "plabel", "size"), others, "key")
-    rows, all_rows = F.ceil(F.col("others") / BLOCK), F.ceil(F.col("size") / BLOCK)
+    others = written(named.where("label <> plabel").groupBy("key").agg(F.count("*").alias("others"), F.sum("n").alias("others_mass")), "dedup_open")
+    open_ = look_up(named.select("key", "vid", "n", "label", "plabel", "size", "mass"), others, "key")
+    rows, all_rows = blocks("others", "others_mass"), blocks("size", "mass")
     at = lambda n: F.pmod(F.xxhash64("vid"), n)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     left = open_.where("label <> plabel").select("key", at(rows).cast("long").alias("i"), spread(all_rows).alias("j"), F.lit(0).alias("side"), "vid", "n", "label")
