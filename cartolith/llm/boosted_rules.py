@@ -288,20 +288,23 @@ def judger(trees: Trees, least_words: int, most_repeated: int, threshold: float)
     return judged
 
 
-def judge(docs: DataFrame, labels: DataFrame, least_words: int = 20, most_repeated: int = 30, threshold: float = 0.3, per_class: int = 2000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, least_words: int = 20, most_repeated: int = 30, threshold: float = 0.3, per_class: int = 2000, training: DataFrame | None = None) -> DataFrame:
     """doc_id, the statistics of ``BASE``, base_failed, score and kept of each row of ``docs`` (doc_id, text).
 
     base_failed: fewer than ``least_words`` words, or more than ``most_repeated``
     per cent of them in repeated 8-word windows. kept: not base_failed and the
     trees' score is at least ``threshold``. Null and empty texts have 0 words and
     so fail. Repeated rows and null ids are judged like others; without labels of
-    both classes the base rules alone decide. Extra columns are ignored; an empty
-    table gives an empty result.
+    both classes the base rules alone decide. The trees are fitted on the labelled
+    rows of ``training``, or of ``docs`` if that is None. Extra columns are ignored;
+    an empty table gives an empty result.
     """
-    judged = judger(learn(docs, labels, per_class), least_words, most_repeated, threshold)
+    judged = judger(learn(docs if training is None else training, labels, per_class), least_words, most_repeated, threshold)
     return docs.select("doc_id", judged(F.col("text")).alias("judged")).select("doc_id", "judged.*")
 
 
-def reject_rule_breakers(docs: DataFrame, labels: DataFrame, least_words: int = 20, most_repeated: int = 30, threshold: float = 0.3, per_class: int = 2000) -> DataFrame:
+def reject_rule_breakers(
+    docs: DataFrame, labels: DataFrame, least_words: int = 20, most_repeated: int = 30, threshold: float = 0.3, per_class: int = 2000, training: DataFrame | None = None
+) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``judge`` keeps."""
-    return docs.where(judger(learn(docs, labels, per_class), least_words, most_repeated, threshold)(F.col("text"))["kept"])
+    return docs.where(judger(learn(docs if training is None else training, labels, per_class), least_words, most_repeated, threshold)(F.col("text"))["kept"])
