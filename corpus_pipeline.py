@@ -24,7 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return reject_rule_breakers(docs, table(spark, sf_dir, "labels"))
+    """The trees learn from the pipeline's input: after the stage before, hardly a bad document is left to learn from."""
+    return reject_rule_breakers(docs, table(spark, sf_dir, "labels"), training=table(spark, sf_dir, "documents"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
