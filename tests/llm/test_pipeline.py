@@ -29,7 +29,7 @@ def test_stages_one_by_one(spark, tmp_path):
     assert all(o.columns == columns for o in outs[:-1])
     scores = line_crf.classify(docs, labels).toPandas()
     assert set(frames[1].doc_id) == set(scores[scores.predicted == 1].doc_id)
-    verdicts = boosted_rules.judge(outs[1], labels).toPandas()
+    verdicts = boosted_rules.judge(outs[1], labels, training=docs).toPandas()
     assert set(frames[2].doc_id) == set(verdicts[verdicts.kept].doc_id)
     groups = components_of(dict(zip(frames[2].doc_id, frames[2].text)), 5)
     assert set(frames[3].doc_id) == {i for i, (_, c) in groups.items() if i == c}
