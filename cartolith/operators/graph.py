@@ -7,6 +7,8 @@ Columns are code points with the end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,34 +73,58 @@ def contains_edges(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("source"), F.col("node_id").alias("target"), F.lit("CONTAINS").alias("type"), F.row_number().over(order).alias("sequence"))
 
 
-def node_at_location(points: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Points (point_id, path, line, col) with the node_id, parent_id and name of the first leaf whose span holds them, both ends included.
+def dyadic(begin: Column, end: Column) -> Column:
+    """The whole numbers from ``begin`` to ``end`` (at least 0) as an array of (level, cell): cell c of level k holds those from c * 2**k on, 2**k of them. At most two cells a level."""
 
-    The line is an equi-key (a leaf of several lines has a row for each), so the
-    range condition is only checked within a line.
-    """
-    spans = leaves.select("path", F.explode(F.sequence("start_line", "end_line")).alias("line"), "node_id", "parent_id", "name", "start_line", "start_col", "end_line", "end_col")
-    here = F.struct(F.col("line").alias("l"), F.col("col").alias("c"))
-    hit = points.join(spans, ["path", "line"]).where(
-        (F.struct(F.col("start_line").alias("l"), F.col("start_col").alias("c")) <= here) & (here <= F.struct(F.col("end_line").alias("l"), F.col("end_col").alias("c")))
-    )
-    first = hit.groupBy("point_id").agg(F.min(F.struct("start_line", "start_col", "node_id", "parent_id", "name")).alias("leaf"))
-    return points.join(first, "point_id").select(*points.columns, "leaf.node_id", "leaf.parent_id", "leaf.name")
+    def cells(k: Column) -> Column:
+        wide = F.pow(F.lit(2.0), k)
+        low, high = F.ceil(begin / wide).cast("long"), F.floor((end + 1) / wide).cast("long")
+        cell = lambda when, c: F.when((low < high) & when, F.struct(k.cast("int").alias("level"), c.alias("cell")))
+        return F.array(cell(low % 2 == 1, low), cell(high % 2 == 1, high - 1))
 
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(end - begin + 1)).cast("int")), cells)))
 
-def reference_hits(mappings: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Mappings (path, line, col, def_path, def_line, def_col) with the leaves at both ends; rows with an end missing go."""
-    keyed = mappings.withColumn("point_id", scalars.location_string(F.col("path"), F.col("line"), F.col("col")))
-    starts = node_at_location(keyed.select("point_id", "path", "line", "col"), leaves).select("point_id", F.col("node_id").alias("source"))
-    ends = node_at_location(keyed.select("point_id", F.col("def_path").alias("path"), F.col("def_line").alias("line"), F.col("def_col").alias("col")), leaves)
-    return starts.join(ends.select("point_id", F.col("node_id").alias("target"), F.col("parent_id").alias("target_parent"), F.col("name").alias("target_name")), "point_id").join(
-        keyed.select("point_id", "path", "line", "col"), "point_id"
-    )
 
+def node_at_location(points: DataFrame, leaves: DataFrame, longest: int = 1 << 31) -> DataFrame:
+    """Points (point_id, path, line, col) with the node_id, parent_id and name of the first leaf whose span holds them, both ends included.
+
+    What lies around a point is found by equi-keys: a leaf of n lines is cut into at
+    most 2 * log2(n) cells of 1, 2, 4 … lines, and a point asks for the cell of each
+    size that its line is in. The range condition is only checked within a cell.
+    ``longest``: a bound on the lines of a leaf; with 1 the cells are the lines.
+    """
+    spans = leaves.select("path", "node_id", "parent_id", "name", "start_line", "start_col", "end_line", "end_col")
+    at = lambda line, col: F.struct(F.col(line).alias("l"), F.col(col).alias("c"))
+    if longest == 1:
+        met = points.join(spans.withColumn("line", F.col("start_line")), ["path", "line"])
+    else:
+        cut = spans.withColumn("_cell", F.explode(dyadic(F.col("start_line"), F.col("end_line")))).select("*", "_cell.level", "_cell.cell").drop("_cell")
+        levels = F.sequence(F.lit(0), F.lit(int(longest).bit_length() - 1))
+        asked = points.withColumn("level", F.explode(levels)).withColumn("cell", F.floor(F.col("line") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+        met = asked.join(cut, ["path", "level", "cell"])
+    hit = met.where((at("start_line", "start_col") <= at("line", "col")) & (at("line", "col") <= at("end_line", "end_col")))
+    kept = [c for c in points.columns if c != "point_id"]
+    first = hit.groupBy("point_id").agg(F.min(F.struct("start_line", "start_col", "node_id", "parent_id", "name", *kept)).alias("leaf"))
+    return first.select(*(F.col(c) if c == "point_id" else F.col(f"leaf.{c}") for c in points.columns), "leaf.node_id", "leaf.parent_id", "leaf.name")
+
+
+def reference_hits(mappings: DataFrame, leaves: DataFrame, longest: int = 1 << 31) -> DataFrame:
+    """Mappings (path, line, col, def_path, def_line, def_col) with the leaves at both ends; rows with an end missing go.
+
+    Both ends are looked up at once: point_id says which end of which reference.
+    """
+    ref = F.struct("path", "line", "col")
+    end = lambda side, path, line, col: F.struct(F.struct(ref.alias("ref"), F.lit(side).alias("side")).alias("point_id"), F.col(path).alias("path"), F.col(line).alias("line"), F.col(col).alias("col"))
+    points = mappings.select(F.explode(F.array(end(0, "path", "line", "col"), end(1, "def_path", "def_line", "def_col"))).alias("p")).select("p.*").distinct()
+    found = node_at_location(points, leaves, longest).select("point_id.ref", "point_id.side", F.struct("node_id", "parent_id", "name").alias("leaf"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("leaf")))
+    both = found.groupBy("ref").agg(of(0).alias("s"), of(1).alias("t")).where("s IS NOT NULL AND t IS NOT NULL")
+    return both.select(F.col("s.node_id").alias("source"), F.col("t.node_id").alias("target"), F.col("t.parent_id").alias("target_parent"), F.col("t.name").alias("target_name"), "ref.*")
 
-def reference_edges(mappings: DataFrame, leaves: DataFrame) -> DataFrame:
-    """A REFERENCES edge for each mapping; equal ones stay."""
-    return reference_hits(mappings, leaves).select("source", "target", F.lit("REFERENCES").alias("type"), F.lit(1).alias("sequence"))
+
+def reference_edges(mappings: DataFrame, leaves: DataFrame, longest: int = 1 << 31) -> DataFrame:
+    """A REFERENCES edge for each mapped position; edges of several positions between the same leaves stay."""
+    return reference_hits(mappings, leaves, longest).select("source", "target", F.lit("REFERENCES").alias("type"), F.lit(1).alias("sequence"))
 
 
 def promote_definition_parents(nodes: DataFrame, hits: DataFrame) -> DataFrame:
@@ -124,8 +150,13 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("parent_id IS NULL").select("node_id").union(nodes.select("node_id").join(held, "node_id", "left_anti")).distinct()
 
 
-def keep_set(nodes: DataFrame, root_ids: DataFrame) -> DataFrame:
-    """Roots, definitions and references."""
+STAYS = "is_definition OR is_reference OR parent_id IS NULL"
+
+
+def keep_set(nodes: DataFrame, root_ids: DataFrame | None = None) -> DataFrame:
+    """Definitions, references and roots: those of ``root_ids``, or else the nodes without a parent, which a filter tells."""
+    if root_ids is None:
+        return nodes.where(STAYS).select("node_id")
     flagged = nodes.where("is_definition OR is_reference").select("node_id")
     return flagged.union(root_ids.select("node_id")).distinct()
 
@@ -137,9 +168,11 @@ def contract_tree(parents: DataFrame, keep: DataFrame) -> DataFrame:
     return contract_flagged(written(flagged.select("node_id", "parent_id", F.coalesce("_kept", F.lit(False)).alias("kept")), "contract_nodes"))
 
 
-def contract_flagged(nodes: DataFrame) -> DataFrame:
+def contract_flagged(nodes: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """``contract_tree`` for a written tree whose column ``kept`` says which nodes stay; that spares looking every node up.
 
+    ``carry`` names columns of the kept nodes that the result also has.
+
     Only nodes that are not kept need a way up: pointer jumping moves each of their
     pointers to the pointer of the node it shows while that is not kept either,
     which halves what is left of every path, so a tree of depth d takes log2(d)
@@ -156,12 +189,12 @@ def contract_flagged(nodes: DataFrame) -> DataFrame:
         settled = settled.unionByName(jumped.where("_moves IS NULL OR NOT _moves").select("node_id", "anchor"))
         moving = jumped.where("_moves").select("node_id", "anchor")
         rounds += 1
-    kept = nodes.where("kept").select("node_id", "parent_id")
+    kept = nodes.where("kept").select("node_id", F.col("parent_id").alias("_parent"), *carry)
     ends = kept.select(F.col("node_id").alias("anchor"))
-    ways = settled.where("anchor IS NOT NULL").join(ends, "anchor").select(F.col("node_id").alias("parent_id"), "anchor")
-    shown = ends.select(F.col("anchor").alias("parent_id"), "anchor").unionByName(ways)
-    hung = kept.where("parent_id IS NOT NULL").join(shown, "parent_id", "left").select("node_id", "anchor")
-    return hung.unionByName(kept.where("parent_id IS NULL").select("node_id", F.lit(None).cast("string").alias("anchor")))
+    ways = settled.where("anchor IS NOT NULL").join(ends, "anchor").select(F.col("node_id").alias("_parent"), "anchor")
+    shown = ends.select(F.col("anchor").alias("_parent"), "anchor").unionByName(ways)
+    hung = kept.where("_parent IS NOT NULL").join(shown, "_parent", "left").select("node_id", "anchor", *carry)
+    return hung.unionByName(kept.where("_parent IS NULL").select("node_id", F.lit(None).cast("string").alias("anchor"), *carry))
 
 
 def dedupe_attach(edges: DataFrame) -> DataFrame:
@@ -169,31 +202,41 @@ def dedupe_attach(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["source", "target"])
 
 
-def resequence(attached: DataFrame, nodes: DataFrame) -> DataFrame:
-    """CONTAINS edges (source, target) numbered from 1 in depth-first order of the targets."""
+PLACE = ("start_line", "start_col", "end_line", "end_col")
+
+
+def resequence(attached: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """CONTAINS edges (source, target) numbered from 1 in depth-first order of the targets, whose ``PLACE`` the edges carry or the nodes have."""
     order = Window.partitionBy("source").orderBy("start_line", "start_col", F.desc("end_line"), F.desc("end_col"), "target")
-    place = nodes.select(F.col("node_id").alias("target"), "start_line", "start_col", "end_line", "end_col")
-    return attached.join(place, "target").select("source", "target", F.lit("CONTAINS").alias("type"), F.row_number().over(order).alias("sequence"))
+    placed = attached if nodes is None else attached.join(nodes.select(F.col("node_id").alias("target"), *PLACE), "target")
+    return placed.select("source", "target", F.lit("CONTAINS").alias("type"), F.row_number().over(order).alias("sequence"))
 
 
 def prune_reference_edges(edges: DataFrame, keep: DataFrame) -> DataFrame:
-    """REFERENCES edges with both ends kept."""
-    ids = keep.select("node_id")
-    return edges.where("type = 'REFERENCES'").join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi").select("source", "target", "type", "sequence")
+    """REFERENCES edges with both ends kept. Only the kept nodes that are some edge's end are looked up, as most nodes are none."""
+    refs = edges.where("type = 'REFERENCES'").select("source", "target", "type", "sequence")
+    ends = refs.select(F.col("source").alias("node_id")).union(refs.select("target")).distinct()
+    ids = written(keep.select("node_id").join(ends, "node_id", "left_semi"), "kept_ends")
+    return refs.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi").select("source", "target", "type", "sequence")
 
 
-def prune_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prune_graph(nodes: DataFrame, edges: DataFrame, by_parents: bool = False) -> tuple[DataFrame, DataFrame]:
     """Kept nodes, and edges of the contracted tree with the references among them.
 
-    What G10 and G11 say is a column here, so that one join tells which nodes stay.
-    Parent ids in the nodes stay those of the whole tree.
+    Roots are nodes without a parent or without a CONTAINS edge to them; with
+    ``by_parents`` the tree is that of the parent ids alone, and no edge is looked up.
+    A kept node has one anchor, so no pair comes twice. Parent ids in the nodes stay
+    those of the whole tree. ``nodes`` are read several times: give a written table.
     """
-    held = edges.where("type = 'CONTAINS'").select(F.col("target").alias("node_id")).distinct().withColumn("_held", F.lit(True))
-    stays = F.col("is_definition") | F.col("is_reference") | F.col("parent_id").isNull() | F.col("_held").isNull()
-    marked = written(nodes.join(held, "node_id", "left").withColumn("kept", F.coalesce(stays, F.lit(False))).select(*nodes.columns, "kept"), "marked")
+    if by_parents:
+        marked = nodes.withColumn("kept", F.expr(STAYS))
+    else:
+        held = edges.where("type = 'CONTAINS'").select(F.col("target").alias("node_id")).distinct().withColumn("_held", F.lit(True))
+        stays = F.expr(STAYS) | F.col("_held").isNull()
+        marked = written(nodes.join(held, "node_id", "left").withColumn("kept", F.coalesce(stays, F.lit(False))).select(*nodes.columns, "kept"), "marked")
     kept = marked.where("kept").select(*nodes.columns)
-    attached = contract_flagged(marked).where("anchor IS NOT NULL").select(F.col("anchor").alias("source"), F.col("node_id").alias("target"))
-    return kept, resequence(dedupe_attach(attached), kept).unionByName(prune_reference_edges(edges, kept))
+    attached = contract_flagged(marked, PLACE).where("anchor IS NOT NULL").select(F.col("anchor").alias("source"), F.col("node_id").alias("target"), *PLACE)
+    return kept, resequence(attached).unionByName(prune_reference_edges(edges, kept))
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -178,11 +178,15 @@ def to_repo_paths(definitions: DataFrame, root: str, files: DataFrame) -> DataFr
 
 
 def span_text(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """text of each span (span_id, path, start_line, start_col, end_line, end_col), end exclusive, trimmed."""
-    text = lines(files).withColumnRenamed("line", "at")
-    rows = spans.withColumn("at", F.explode(F.sequence("start_line", "end_line"))).join(text, ["path", "at"])
-    first, last = F.col("at") == F.col("start_line"), F.col("at") == F.col("end_line")
-    begin = F.when(first, F.col("start_col")).otherwise(F.lit(0))
-    end = F.when(last, F.col("end_col")).otherwise(F.length("text"))
-    piece = F.substring(F.col("text"), begin + 1, F.greatest(end - begin, F.lit(0)))
-    return rows.groupBy("span_id").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", piece.alias("piece")))), lambda s: s["piece"]), "\n")).alias("text"))
+    """text of each span (span_id, path, start_line, start_col, end_line, end_col), end exclusive, trimmed.
+
+    A span is cut from its file in one piece, at the ends of the lines before it, so
+    it is one row however many lines it has. Columns beyond a line's end are at its
+    end; spans that begin after the file's last line go.
+    """
+    text = scalars.normalise_newlines(F.col("content")).alias("_text")
+    rows = spans.join(files.select("path", text), "path").where(F.col("start_line") <= F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))))
+    line_end = lambda line: F.length(F.call_function("substring_index", F.col("_text"), F.lit("\n"), line + 1))
+    place = lambda line, col: F.least(F.when(line > 0, line_end(line - 1) + 1).otherwise(F.lit(0)) + col, line_end(line))
+    begin, end = place(F.col("start_line"), F.col("start_col")), place(F.col("end_line"), F.col("end_col"))
+    return rows.select("span_id", F.trim(F.substring(F.col("_text"), begin + 1, F.greatest(end - begin, F.lit(0)))).alias("text"))

@@ -106,23 +106,23 @@ def mappings(spark: SparkSession, d: str, found: DataFrame | None = None) -> Dat
     return references.first_resolved(found, definitions(spark, d, found))
 
 
-def symbol_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and reference edges of the words that take part in references."""
-    found = shared_symbols(spark, d)
+def symbol_graph(spark: SparkSession, d: str, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and reference edges of the words that take part in references; a word is in one line."""
+    found = shared_symbols(spark, d) if found is None else found
     plain = graph.build_node_table(files(spark, d), found)
-    return plain, graph.reference_edges(mappings(spark, d, found), plain.where("node_type = 'word'"))
+    return plain, graph.reference_edges(mappings(spark, d, found), plain.where("node_type = 'word'"), longest=1)
 
 
-def promoted(spark: SparkSession, d: str) -> DataFrame:
+def promoted(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
     """The whole tree, with the parents of definitions promoted."""
-    found = shared_symbols(spark, d)
-    hits = graph.reference_hits(mappings(spark, d, found), graph.build_node_table(files(spark, d), found).where("node_type = 'word'"))
+    found = shared_symbols(spark, d) if found is None else found
+    hits = graph.reference_hits(mappings(spark, d, found), graph.build_node_table(files(spark, d), found).where("node_type = 'word'"), longest=1)
     return graph.promote_definition_parents(graph.build_node_table(files(spark, d), leaves(spark, d)), hits)
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
+def nodes(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
     """``promoted`` written once, for queries that use it several times."""
-    return written(promoted(spark, d), "nodes")
+    return written(promoted(spark, d, found), "nodes")
 
 
 def edges(spark: SparkSession, d: str, tree: DataFrame) -> DataFrame:

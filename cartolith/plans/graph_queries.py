@@ -64,13 +64,13 @@ def g6(spark: SparkSession, d: str) -> DataFrame:
     words = graph.build_node_table(b.files(spark, d), b.leaves(spark, d)).where("node_type = 'word'")
     s = b.symbols(spark, d)
     points = s.select(scalars.location_string(F.col("path"), F.col("line"), F.col("col")).alias("point_id"), "path", "line", F.when(F.col("col") % 2 == 0, F.col("end_col")).otherwise(F.col("col") + 3).alias("col"))
-    return graph.node_at_location(points, words).select("point_id", "node_id")
+    return graph.node_at_location(points, words, longest=1).select("point_id", "node_id")
 
 
 @query("g7_reference_edges", f"WITH {WORDS} {REF_EDGES}")
 def g7(spark: SparkSession, d: str) -> DataFrame:
     words = graph.build_node_table(b.files(spark, d), b.leaves(spark, d)).where("node_type = 'word'")
-    return graph.reference_edges(b.mappings(spark, d), words).select("source", "target")
+    return graph.reference_edges(b.mappings(spark, d), words, longest=1).select("source", "target")
 
 
 @query("g8_promote_definition_parents", f"WITH {WORDS} SELECT node_id, name FROM promoted")
@@ -94,13 +94,12 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g11_keep_set", f"WITH {WORDS} SELECT node_id FROM words UNION ALL SELECT node_id FROM promoted UNION ALL SELECT path || ':0:0:module:0' FROM files")
 def g11(spark: SparkSession, d: str) -> DataFrame:
-    nodes = b.nodes(spark, d)
-    return graph.keep_set(nodes, graph.roots(nodes, graph.contains_pairs(nodes)))
+    return graph.keep_set(b.promoted(spark, d))
 
 
 @query("g12_contract_tree", f"WITH {WORDS} SELECT target AS node_id, source AS anchor FROM attached UNION ALL SELECT path || ':0:0:module:0', NULL FROM files")
 def g12(spark: SparkSession, d: str) -> DataFrame:
-    flagged = b.promoted(spark, d).select("node_id", "parent_id", F.expr("is_definition OR is_reference OR parent_id IS NULL").alias("kept"))
+    flagged = b.promoted(spark, d).select("node_id", "parent_id", F.expr(graph.STAYS).alias("kept"))
     return graph.contract_flagged(written(flagged, "flagged"))
 
 
@@ -115,9 +114,9 @@ _sequenced = "SELECT source, target, CAST(row_number() OVER (PARTITION BY source
 @query("g14_resequence", f"WITH {WORDS} {_sequenced}")
 def g14(spark: SparkSession, d: str) -> DataFrame:
     nodes = b.nodes(spark, d)
-    attached = graph.contract_flagged(nodes.withColumn("kept", F.expr("is_definition OR is_reference OR parent_id IS NULL"))).where("anchor IS NOT NULL").select(F.col("anchor").alias("source"), F.col("node_id").alias("target"))
-    order = nodes.withColumn("end_line", F.when(F.col("node_type") == "line", 1 << 30).otherwise(F.col("end_line")))  # a line before its first word
-    return graph.resequence(attached, order).select("source", "target", "sequence")
+    marked = nodes.withColumn("kept", F.expr(graph.STAYS)).withColumn("end_line", F.when(F.col("node_type") == "line", 1 << 30).otherwise(F.col("end_line")))  # a line before its first word
+    attached = graph.contract_flagged(marked, graph.PLACE).where("anchor IS NOT NULL").withColumnsRenamed({"anchor": "source", "node_id": "target"})
+    return graph.resequence(attached).select("source", "target", "sequence")
 
 
 @query("g15_prune_reference_edges", f"WITH {WORDS} SELECT * FROM ({REF_EDGES}) e WHERE split_part(source, '/', 1) <> 'src1' AND split_part(target, '/', 1) <> 'src1'")
@@ -134,9 +133,8 @@ UNION ALL SELECT NULL, path || ':0:0:module:0', 'node', NULL FROM files""",
 )
 def g16(spark: SparkSession, d: str) -> DataFrame:
     """The edges with their places, and the nodes beside them."""
-    tree = b.nodes(spark, d)
-    pairs = graph.contains_pairs(tree).withColumn("sequence", F.lit(0))
-    nodes, edges = graph.prune_graph(tree, pairs.unionByName(b.symbol_graph(spark, d)[1]))
+    found = b.shared_symbols(spark, d)
+    nodes, edges = graph.prune_graph(b.nodes(spark, d, found), b.symbol_graph(spark, d, found)[1], by_parents=True)
     kind = F.when(F.col("is_definition"), "definition").otherwise("node")
     listed = nodes.select(F.col("parent_id").alias("source"), F.col("node_id").alias("target"), kind.alias("type"), F.lit(None).cast("int").alias("sequence"))
     return edges.select("source", "target", "type", "sequence").unionByName(listed)
@@ -144,9 +142,9 @@ def g16(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g17_anchor_orphans", f"WITH {WORDS} SELECT target AS node_id FROM attached WHERE source LIKE '%:module:0' AND split_part(source, '/', 1) = 'src2'")
 def g17(spark: SparkSession, d: str) -> DataFrame:
-    nodes = b.nodes(spark, d).where("node_type <> 'module' OR path NOT LIKE 'src2/%'")  # files of src2 lose their roots
-    keep = nodes.where("is_definition OR is_reference OR parent_id IS NULL").select("node_id")
-    return graph.contract_tree(nodes.select("node_id", "parent_id"), keep).where("anchor IS NULL").join(nodes.where("parent_id IS NOT NULL").select("node_id"), "node_id", "left_semi").select("node_id")
+    nodes = b.promoted(spark, d).where("node_type <> 'module' OR path NOT LIKE 'src2/%'")  # files of src2 lose their roots
+    flagged = written(nodes.select("node_id", "parent_id", F.expr(graph.STAYS).alias("kept")), "flagged")
+    return graph.contract_flagged(flagged, ["parent_id"]).where("anchor IS NULL AND parent_id IS NOT NULL").select("node_id")
 
 
 @query("g18_slice_for_write", f"WITH {b.STATE} SELECT path || ':' || line || ':' || col || ':word:2' AS source, def_path || ':' || def_line || ':' || def_col || ':word:2' AS target FROM mappings WHERE path IN (SELECT path FROM changed) OR def_path IN (SELECT path FROM changed)")

@@ -157,3 +157,32 @@ def test_resolved_symbols_of_many_definitions(spark):
     spots = spark.range(10_000).selectExpr("'get' AS symbol", "concat('d', id % 100, '/f', id % 1000) AS path", "CAST(id / 1000 AS INT) AS line", "CAST(id % 7 AS INT) AS col").dropDuplicates(["path", "line", "col"])
     found = references.nearest_resolved(spots, spots)
     assert found.count() == spots.count() and found.where("path <> def_path").count() == 0
+
+
+def test_dyadic_cells_cover_a_span_once(spark):
+    spans = [(a, b) for a in range(0, 40, 3) for b in range(a, 45, 4)] + [(7, 1_000_006), (0, 1 << 20), (5, 5)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(spans, "a int, b int").withColumn("c", graph.dyadic(F.col("a"), F.col("b")))
+    for r in df.collect():
+        covered = sorted((c.cell << c.level, (c.cell + 1) << c.level) for c in r.c)
+        assert covered[0][0] == r.a and covered[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
+        assert len(covered) < 50
+
+
+def test_leaves_of_a_million_lines(spark):
+    schema = "path string, node_id string, parent_id string, name string, start_line int, start_col int, end_line int, end_col int"
+    leaves = spark.createDataFrame([("f", "long", None, "L", 3, 5, 1_000_003, 2), ("f", "in", "long", "I", 500, 0, 520, 9), ("g", "one", None, "O", 0, 0, 0, 3)], schema)
+    points = spark.createDataFrame([("a", "f", 3, 4), ("b", "f", 3, 5), ("c", "f", 510, 0), ("d", "f", 1_000_003, 2), ("e", "f", 1_000_003, 3), ("h", "g", 0, 3), ("i", "g", 1, 0)], "point_id string, path string, line int, col int")
+    got = {(r.point_id, r.node_id, r.line) for r in graph.node_at_location(points, leaves).collect()}
+    assert got == {("b", "long", 3), ("c", "long", 510), ("d", "long", 1_000_003), ("h", "one", 0)}
+    plan = graph.node_at_location(points, leaves)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_spans_of_many_lines_are_one_row(spark):
+    text = "\r\n".join(f"line {k}" for k in range(20_000))
+    df = spark.createDataFrame([("f", text), ("g", "ab\n\ncd")], "path string, content string")
+    spans = [("all", "f", 0, 0, 19_999, 99), ("two", "f", 1, 5, 3, 2), ("past", "f", 0, 90, 1, 4), ("none", "g", 7, 0, 8, 1), ("over", "g", 1, 0, 9, 9), ("back", "g", 2, 2, 2, 0)]
+    got = {(r.span_id): r.text for r in references.span_text(df, spark.createDataFrame(spans, "span_id string, path string, start_line int, start_col int, end_line int, end_col int")).collect()}
+    assert got == {"all": text.replace("\r\n", "\n"), "two": "1\nline 2\nli", "past": "\nline".strip(" "), "over": "\ncd", "back": ""}
