@@ -50,7 +50,7 @@ def test_stages_of_odd_rows(spark, odd, none):
             stage(spark, docs, DATA).write.format("noop").mode("overwrite").save()
 
 
-@pytest.mark.parametrize("name", ["op1_url_rules", "op4_segment_topk"])
+@pytest.mark.parametrize("name", ["op1_url_rules", "op4_segment_topk", "op12_conversation_trie"])
 def test_query_matches_sql(spark, duck, name):  # noqa: F811
     got, want = entry_module.queries()[name](spark, DATA).toPandas(), duck.sql(entry_module.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and values(got) == values(want)
