@@ -20,22 +20,77 @@ def multi_source_bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     distance from there. The smallest (entry_ord, depth) spreads from files whose
     label fell in the round before; a round writes those alone, and cycles end for
     labels only fall. A smaller entry_ord may come late and still replaces a label.
+    entry_ord may be of any type that can be ordered.
     """
     links = written(edges.select("src", "dst").distinct(), "bfs_edges")
-    label = F.struct("entry_ord", "depth")
-    found = [written(seeds.select("path", "entry_ord", F.lit(0).alias("depth")).groupBy("path").agg(F.min(label).alias("label")), "bfs")]
-    kind = found[0].schema["label"].dataType
+    first = written(seeds.select("path", "entry_ord", F.lit(0).alias("depth")).groupBy("path").agg(F.min(_label()).alias("label")), "bfs")
+    found = _spread([first], first, links)
+    discard(links)
+    return _best_labels(found).select("path", "label.entry_ord", "label.depth")
+
+
+def _step(label: str, kind) -> Column:
+    """The label that a file offers to those it uses."""
+    return F.struct(F.col(f"{label}.entry_ord").alias("entry_ord"), (F.col(f"{label}.depth") + 1).alias("depth")).cast(kind)
+
+
+def _spread(found: list[DataFrame], frontier: DataFrame, links: DataFrame) -> list[DataFrame]:
+    """Tables (path, label) of falling labels: ``found``, of which ``frontier`` is to spread, and those of all further rounds."""
+    kind = frontier.schema["label"].dataType
     none = F.lit(None).cast(kind)
     while True:
-        step = F.struct(F.col("label.entry_ord").alias("entry_ord"), (F.col("label.depth") + 1).alias("depth")).cast(kind)
-        offers = found[-1].join(links, F.col("path") == F.col("src")).select(F.col("dst").alias("path"), none.alias("label"), step.alias("offer"))
+        offers = frontier.join(links, F.col("path") == F.col("src")).select(F.col("dst").alias("path"), none.alias("label"), _step("label", kind).alias("offer"))
         known = reduce(DataFrame.unionByName, found).select("path", "label", none.alias("offer"))
         best = known.unionByName(offers).groupBy("path").agg(F.min("label").alias("label"), F.min("offer").alias("offer"))
         frontier = written(best.where("offer IS NOT NULL AND (label IS NULL OR offer < label)").select("path", F.col("offer").alias("label")), "bfs")
         if frontier.isEmpty():
-            discard(frontier, links)
-            return _best_labels(found).select("path", "label.entry_ord", "label.depth")
-        found.append(frontier)
+            discard(frontier)
+            return found
+        found = [*found, frontier]
+
+
+def repaired_walk(labels: DataFrame, old_edges: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``multi_source_bfs`` of ``edges`` and ``seeds`` from the labels (path, entry_ord, depth) of an earlier walk over ``old_edges``.
+
+    A label stands while a file with the label before it uses its file, or, at depth
+    0, while its seed does. Labels that stand no longer are withdrawn, then those that
+    stood on them; since depths rise along the way, no cycle holds itself up. The walk
+    goes on from the files next to what was withdrawn, and from new edges and seeds.
+    entry_ord has to name the same entry point in both walks: give its path.
+    """
+    links, before = (written(e.select("src", "dst").distinct(), "bfs_edges") for e in (edges, old_edges))
+    labelled = written(labels.select("path", _label().alias("label")), "bfs")
+    kind = labelled.schema["label"].dataType
+    own = written(seeds.select("path", "entry_ord", F.lit(0).alias("depth")).groupBy("path").agg(F.min(_label()).cast(kind).alias("label")), "bfs_seeds")
+    lost = before.join(links, ["src", "dst"], "left_anti")
+    told = lambda t: t.select(F.col("path").alias("src"), _step("label", kind).alias("offer"))
+    # labels at depth 0 without their seed, and those that came over a lost edge
+    rootless = labelled.where("label.depth = 0").join(own, ["path", "label"], "left_anti").select("path")
+    doubted = lost.join(told(labelled), "src").select(F.col("dst").alias("path"), F.col("offer").alias("label")).join(labelled, ["path", "label"], "left_semi").select("path")
+    standing, gone = labelled, None
+    doubted = written(rootless.union(doubted).distinct(), "bfs_doubted")
+    while not doubted.isEmpty():
+        asked = standing.join(doubted, "path", "left_semi")
+        holders = links.join(asked.select(F.col("path").alias("dst"), "label"), "dst").join(told(standing).withColumnRenamed("offer", "label"), ["src", "label"]).select(F.col("dst").alias("path"))
+        held = holders.union(asked.join(own, ["path", "label"], "left_semi").select("path")).distinct()
+        fell = written(asked.join(held, "path", "left_anti"), "bfs_fell")
+        if fell.isEmpty():
+            break
+        gone = fell if gone is None else gone.unionByName(fell)
+        standing = written(standing.join(fell.select("path"), "path", "left_anti"), "bfs")
+        next_ = before.union(links).join(told(fell), "src").select(F.col("dst").alias("path"), F.col("offer").alias("label"))  # a new edge may have held one up so far
+        doubted = written(next_.join(standing, ["path", "label"], "left_semi").select("path").distinct(), "bfs_doubted")
+    new = links.join(before, ["src", "dst"], "left_anti")
+    border = new if gone is None else new.union(links.join(gone.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst")).distinct()
+    offers = border.join(told(standing), "src").select(F.col("dst").alias("path"), "offer").union(own.select("path", F.col("label").alias("offer")))
+    best = offers.groupBy("path").agg(F.min("offer").alias("offer")).join(standing, "path", "left")
+    frontier = written(best.where("label IS NULL OR offer < label").select("path", F.col("offer").alias("label")), "bfs")
+    found = [standing, frontier] if frontier.isEmpty() else _spread([standing, frontier], frontier, links)
+    return _best_labels(found).select("path", "label.entry_ord", "label.depth")
+
+
+def _label() -> Column:
+    return F.struct("entry_ord", "depth")
 
 
 def _best_labels(found: list[DataFrame]) -> DataFrame:
