@@ -61,13 +61,13 @@ def list_conversations(conversations: DataFrame, repo_id: str | None = None, lim
 
 
 def list_messages(messages: DataFrame, conversation_id: int | str, limit: int = 200) -> DataFrame:
-    """Oldest first; limit within 1 to 500."""
-    return messages.where(F.col("conversation_id") == conversation_id).orderBy("created_at").limit(clamped(limit, 1, 500))
+    """Oldest first, those of one time by role and content; limit within 1 to 500."""
+    return messages.where(F.col("conversation_id") == conversation_id).orderBy("created_at", "role", "content").limit(clamped(limit, 1, 500))
 
 
 def first_messages(messages: DataFrame, conversations: DataFrame, limit: int = 200) -> DataFrame:
     """D7 for all existing conversations at once."""
-    order = Window.partitionBy("conversation_id").orderBy("created_at")
+    order = Window.partitionBy("conversation_id").orderBy("created_at", "role", "content")
     rows = messages.join(conversations.select("conversation_id"), "conversation_id", "left_semi")
     return rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= clamped(limit, 1, 500))
 

@@ -117,13 +117,13 @@ def precheck_verdict(totals_: DataFrame, least: float = config.MIN_SUPPORTED_RAT
     none, mixed = F.col("total_tokens") <= 0, F.col("supported_ratio") < least
     pct = F.bround(F.col("supported_ratio") * 100, 2)
     left_out = F.lit(False) if excluded is None else excluded
-    advice = F.when(none, F.array(F.lit("No tokens counted; check that the repository holds readable source files."))).when(
+    advice = F.when(none, F.array(F.lit("Every file was empty, unreadable or left out: look at the paths that were given and at what is ignored."))).when(
         mixed,
         F.array_compact(
             F.array(
-                F.when(left_out, F.lit("Review the excluded folders.")),
-                F.lit("Support more languages or exclude generated content."),
-                F.when(F.col("max_file_tokens") > 0, F.lit("Check the largest files.")),
+                F.when(left_out, F.lit("Files were left out; see whether they should have been.")),
+                F.lit("Add languages to the map, or ignore folders that are no source."),
+                F.when(F.col("max_file_tokens") > 0, F.lit("See whether a few large files make up most of the rest.")),
             )
         ),
     )
@@ -131,7 +131,7 @@ def precheck_verdict(totals_: DataFrame, least: float = config.MIN_SUPPORTED_RAT
         "*",
         F.when(none, "NO_TOKENS_COUNTED").when(mixed, "UNSUPPORTED_LANGUAGE_MIX").alias("code"),
         (~(none | mixed)).alias("passes_precheck"),
-        F.when(none, F.lit("no tokens counted")).when(mixed, F.concat(F.lit("supported languages account for "), pct.cast("string"), F.lit("% of tokens"))).alias("message"),
+        F.when(none, F.lit("nothing to analyse")).when(mixed, F.concat(F.lit("only "), pct.cast("string"), F.lit(" % of all tokens are in a language of the map"))).alias("message"),
         F.coalesce(advice, F.array().cast("array<string>")).alias("recommendations"),
     )
 

@@ -127,11 +127,17 @@ def ranked_definitions(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return pairs.withColumn("distance", distance)
 
 
-def resolve_references(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """Mappings (ref_path, ref_line, ref_column, mapping) with the ordered list of definitions."""
-    near = ranked_definitions(refs, defs)
+def resolve_references(refs: DataFrame, defs: DataFrame, most: int | None = None) -> DataFrame:
+    """Mappings (ref_path, ref_line, ref_column, mapping) with the ordered list of definitions.
+
+    By default a list has every definition of the symbol, so it is as long as there
+    are; with ``most`` it has the ``most`` nearest, and a reference meets no more than
+    three times one more than that.
+    """
+    near = ranked_definitions(refs, defs) if most is None else nearest_definitions(refs, defs, most).select("path", "line", "col", "d.*")
     found = near.groupBy("path", "line", "col").agg(F.sort_array(F.collect_list(F.struct("distance", "def_path", "def_line", "def_col"))).alias("found"))  # as many as a symbol has definitions
-    definitions = F.transform("found", lambda d: scalars.location(d["def_path"], d["def_line"], d["def_col"]))
+    kept = F.col("found") if most is None else F.slice("found", 1, most)
+    definitions = F.transform(kept, lambda d: scalars.location(d["def_path"], d["def_line"], d["def_col"]))
     mapping = F.struct(scalars.location(F.col("path"), F.col("line"), F.col("col")).alias("reference"), definitions.alias("definitions"))
     return found.select(F.col("path").alias("ref_path"), F.col("line").alias("ref_line"), F.col("col").alias("ref_column"), mapping.alias("mapping"))
 
@@ -142,25 +148,32 @@ def first_resolved(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return best.select("path", "line", "col", "d.def_path", "d.def_line", "d.def_col")
 
 
-def nearest_resolved(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """``first_resolved`` for symbols of many definitions, without pairing each reference with all of them.
+def nearest_definitions(refs: DataFrame, defs: DataFrame, most: int = 1) -> DataFrame:
+    """path, line, col and d (distance, def_path, def_line, def_col): for each reference at least its ``most`` nearest definitions, without pairing it with all of its symbol.
 
-    Of each file, folder and symbol only the first two definitions are kept (one may
-    be the reference itself), so a reference meets six rows at most.
+    Of each file, folder and symbol only the first ``most`` definitions and one more
+    are kept (one may be the reference itself). A definition comes once, at its
+    true distance.
     """
     folder = lambda p: F.regexp_extract(p, "^(.*)/", 1)
     points = refs.select("symbol", "path", "line", "col", folder(F.col("path")).alias("folder"))
-    targets = defs.select("symbol", F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("col").alias("def_col"), folder(F.col("path")).alias("def_folder"))
+    targets = defs.select("symbol", F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("col").alias("def_col"), folder(F.col("path")).alias("def_folder")).distinct()
+    distance = F.when(F.col("path") == F.col("def_path"), 0).when(F.col("folder") == F.col("def_folder"), 1).otherwise(2)
     offers = None
-    for distance, own, other in ((0, "path", "def_path"), (1, "folder", "def_folder"), (2, None, None)):
+    for own, other in (("path", "def_path"), ("folder", "def_folder"), (None, None)):
         order = Window.partitionBy("symbol", *([other] if other else [])).orderBy("def_path", "def_line", "def_col")
-        two = targets.withColumn("_rank", F.row_number().over(order)).where("_rank <= 2").drop("_rank").withColumnRenamed("symbol", "_symbol")
-        same = points["symbol"] == two["_symbol"]
-        met = points.join(two, same & (points[own] == two[other]) if own else same)
+        some = targets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most + 1).drop("_rank").withColumnRenamed("symbol", "_symbol")
+        same = points["symbol"] == some["_symbol"]
+        met = points.join(some, same & (points[own] == some[other]) if own else same)
         itself = (F.col("path") == F.col("def_path")) & (F.col("line") == F.col("def_line")) & (F.col("col") == F.col("def_col"))
-        offer = met.where(~itself).select("path", "line", "col", F.struct(F.lit(distance).alias("distance"), "def_path", "def_line", "def_col").alias("d"))
+        offer = met.where(~itself).select("path", "line", "col", F.struct(distance.alias("distance"), "def_path", "def_line", "def_col").alias("d"))
         offers = offer if offers is None else offers.unionByName(offer)
-    return offers.groupBy("path", "line", "col").agg(F.min("d").alias("d")).select("path", "line", "col", "d.def_path", "d.def_line", "d.def_col")
+    return offers if most == 1 else offers.distinct()
+
+
+def nearest_resolved(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """``first_resolved`` for symbols of many definitions: a reference meets six rows at most."""
+    return nearest_definitions(refs, defs).groupBy("path", "line", "col").agg(F.min("d").alias("d")).select("path", "line", "col", "d.def_path", "d.def_line", "d.def_col")
 
 
 def first_definition(mappings: DataFrame) -> DataFrame:

@@ -184,10 +184,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     return new_folder(spark, name)
 
 
-def _stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+def _stream(spark: SparkSession, rows: DataFrame, name: str, files: int = 3) -> DataFrame:
     """``rows`` written as a few files that a stream then reads one after the other."""
     path = _folder(spark, name)
-    rows.repartition(3).write.parquet(path)
+    rows.repartition(files).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -203,6 +203,32 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("job_id", "repo_name", "status", "current_stage", "error", "abort_requested", "created_at", "updated_at")
 
 
+@query(
+    "st1_job_state_stream",
+    f"""WITH {b.JOBS}, stages AS ({_stages.replace(f"WITH {b.EVENTS} ", "")})
+SELECT j.job_id, j.repo_name, j.status, current_stage, j.error, batch_id, batch_index, abort_requested, created_at, updated_at, s.stage, s.status AS stage_status, s.metrics, s.error AS stage_error
+FROM jobs j JOIN stages s ON j.job_id = s.job_id""",
+)
+def st1_state(spark: SparkSession, d: str) -> DataFrame:
+    """The last row of each job in a stream of updates, its events taken in no order."""
+    out, name = _folder(spark, "st1_out"), "spark.sql.streaming.stateStore.providerClass"
+    folded = streams.job_state_stream(_stream(spark, b.job_events(spark, d), "st1_events", 2))
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    before = spark.conf.get(name)
+    spark.conf.set(name, streams.ROCKSDB)
+    try:
+        streams.run_available(folded.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", _folder(spark, "st1_check")))
+    finally:
+        spark.conf.set(name, before)
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("job_id").agg(F.max_by(F.struct(*rows.columns), "batch").alias("r")).select("r.*")
+    each = last.withColumn("s", F.explode("stages"))
+    return each.select("job_id", "repo_name", "status", "current_stage", "error", "batch_id", "batch_index", "abort_requested", "created_at", "updated_at", "s.stage", F.col("s.status").alias("stage_status"), "s.metrics", F.col("s.error").alias("stage_error"))
+
+
 @query("st2_changed_file_stream", f"WITH {b.FILES} SELECT path, sha1(CASE WHEN doc_id % 7 = 0 THEN content || 'x' ELSE content END) AS sha1 FROM files")
 def st2(spark: SparkSession, d: str) -> DataFrame:
     f = b.files(spark, d)

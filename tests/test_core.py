@@ -269,6 +269,10 @@ def test_nearest_definitions_agree_with_the_full_list(spark):
     defs = refs.where("line < 4")
     want = references.first_definition(references.resolve_references(refs, defs))
     assert rows(references.nearest_resolved(refs, defs)) == rows(want) == rows(references.first_resolved(refs, defs))
+    assert rows(references.first_definition(references.resolve_references(refs, defs, most=1))) == rows(want)
+    listed = lambda m: {(r.ref_path, r.ref_line, r.ref_column): [tuple(d)[:3] for d in r.mapping.definitions] for r in m.collect()}
+    full, short = listed(references.resolve_references(refs, defs)), listed(references.resolve_references(refs, defs, most=3))
+    assert full and short == {k: v[:3] for k, v in full.items()}
 
 
 def test_places_within_groups_of_any_size(spark):
