@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import config
-from ..operators import blocks, graph, lexing
+from ..operators import blocks, graph, hooks, lexing, references
 from ..storage import written
 from . import bindings as b
 from .registry import query
@@ -130,3 +130,30 @@ def r4_scope(spark: SparkSession, d: str) -> DataFrame:
     """Words in lower case resolved to the capitalised ones of the innermost block around them that has one."""
     words = written(blocks.scoped_words(files(spark, d), STYLES, {}).withColumn("symbol", F.lower("text")), "block_words")
     return blocks.resolve_in_scope(words.where(F.col("text").rlike("^[a-z]")), words.where(F.col("text").rlike("^[A-Z]")))
+
+
+@query(
+    "u3_custom_extractor",
+    rf"""WITH {b.FILES}, lines AS (
+  SELECT path, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS line, unnest(t) AS text FROM (SELECT path, string_split(content, chr(10)) AS t FROM files)),
+pieces AS (SELECT path, line, generate_subscripts(p, 1) AS k, unnest(p) AS text FROM (SELECT path, line, regexp_extract_all(text, '[0-9]+|[^0-9]+') AS p FROM lines)),
+found AS (
+  SELECT path, line, CAST(coalesce(sum(length(text)) OVER (PARTITION BY path, line ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS col, text FROM pieces),
+numbers AS (SELECT *, length(text) AS size FROM found WHERE regexp_full_match(text, '[0-9]+'))
+SELECT n.path, n.line, n.col, n.text, CAST(n.size AS INTEGER) AS size, d.path AS def_path FROM numbers n
+LEFT JOIN (SELECT text, min((path, line, col)) AS first FROM numbers GROUP BY text) f ON n.text = f.text AND (n.path, n.line, n.col) <> f.first
+LEFT JOIN numbers d ON (d.path, d.line, d.col) = f.first""",
+)
+def u3_extractor(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers found by a function of the user's, each resolved to the first of its digits."""
+
+    def numbers(path: str, language: str, content: str):
+        import re
+
+        for line, text in enumerate(content.split("\n")):
+            for m in re.finditer("[0-9]+", text):
+                yield line, m.start(), m.group(), len(m.group())
+
+    found = written(hooks.extracted(files(spark, d), numbers, "size int"), "numbers")
+    resolved = references.first_resolved(found, references.first_definitions(found)).select("path", "line", "col", "def_path")
+    return found.join(resolved, ["path", "line", "col"], "left").select("path", "line", "col", "text", "size", "def_path")

@@ -186,3 +186,15 @@ def test_spans_of_many_lines_are_one_row(spark):
     spans = [("all", "f", 0, 0, 19_999, 99), ("two", "f", 1, 5, 3, 2), ("past", "f", 0, 90, 1, 4), ("none", "g", 7, 0, 8, 1), ("over", "g", 1, 0, 9, 9), ("back", "g", 2, 2, 2, 0)]
     got = {(r.span_id): r.text for r in references.span_text(df, spark.createDataFrame(spans, "span_id string, path string, start_line int, start_col int, end_line int, end_col int")).collect()}
     assert got == {"all": text.replace("\r\n", "\n"), "two": "1\nline 2\nli", "past": "\nline".strip(" "), "over": "\ncd", "back": ""}
+
+
+def test_an_extractor_of_ones_own(spark):
+    from cartolith.operators import hooks
+
+    df = spark.createDataFrame([("f", "x", "ab AB\ncd"), ("g", None, None)], "path string, language string, content string")
+    words = lambda path, language, content: [(k, 0, t.split()[0], len(t)) for k, t in enumerate(content.split("\n")) if t]
+    got = hooks.extracted(df, words, "size int")
+    assert rows(got) == {("f", "x", 0, 0, 2, "ab", "ab", 5), ("f", "x", 1, 0, 2, "cd", "cd", 2)}
+    assert references.first_definitions(got).count() == 2
+    with pytest.raises(Exception, match="further values"):
+        hooks.extracted(df, words).collect()
