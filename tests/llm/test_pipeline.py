@@ -58,7 +58,7 @@ def test_query_matches_sql(spark, duck, name):  # noqa: F811
 
 def test_every_operator_is_registered():
     names = entry_module.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_near_duplicates_on_the_table(spark):
