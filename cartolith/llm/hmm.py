@@ -35,7 +35,7 @@ STATES, TOP_WORDS, OWN_COUNT, SHAPES, FREQUENT = 8, 1000, 1000, 1024, 1 << 17
 END = np.int64(0x7E57)  # stands for the end token's hash
 _KEPT_WORDS, _TOKENS = 1 << 20, 1 << 19
 _RESCALE, _BLOCK = 8, 1 << 15  # steps between rescalings, rows of one bulk operation
-_SEGMENT, _TOGETHER = 1 << 10, 1 << 10  # tokens that follow one another, and matrices side by side, in one recursion
+_SEGMENT, _TOGETHER = 1 << 14, 1 << 10  # tokens that follow one another, and matrices side by side, in one recursion
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
