@@ -35,7 +35,7 @@ STATES, TOP_WORDS, OWN_COUNT, SHAPES, FREQUENT = 8, 1000, 1000, 1024, 1 << 17
 END = np.int64(0x7E57)  # stands for the end token's hash
 _KEPT_WORDS, _TOKENS = 1 << 20, 1 << 19
 _RESCALE, _BLOCK = 8, 1 << 15  # steps between rescalings, rows of one bulk operation
-_SEGMENT, _TOGETHER = 1 << 14, 1 << 10  # tokens that follow one another, and matrices side by side, in one recursion
+_LONG, _SEGMENT, _TOGETHER = 1 << 17, 1 << 12, 1 << 10  # longer chains are cut; tokens that follow one another, and matrices side by side, in one recursion
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -156,7 +156,7 @@ def log_likelihood(tokens: np.ndarray, first: np.ndarray, start: np.ndarray, mov
 
 
 class _Segments:
-    """Sequences cut into segments, each with what comes before and after it, so that those of one sequence run side by side.
+    """Very long sequences cut into segments, each with what comes before and after it, so that those of one sequence run side by side.
 
     A segment's steps are one matrix, states at its begin by states at its end. The
     matrices of all segments are formed together; vectors then pass from segment to
@@ -166,7 +166,7 @@ class _Segments:
 
     def __init__(self, tokens: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, by_class: np.ndarray):
         sizes = np.diff(first)
-        count = np.maximum(1, -(-sizes // _SEGMENT))
+        count = np.where(sizes > _LONG, -(-sizes // _SEGMENT), 1)
         self.of = np.repeat(np.arange(len(sizes)), count)
         head = np.cumsum(count) - count
         cuts = first[:-1][self.of] + _SEGMENT * (np.arange(len(self.of)) - head[self.of])

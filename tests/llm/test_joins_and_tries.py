@@ -259,8 +259,8 @@ def test_long_chains_in_segments(monkeypatch):
     first = np.concatenate(([0], np.cumsum(sizes)))
     tokens = rng.integers(0, 60, first[-1])
     run = lambda: (hmm.log_likelihood(tokens, first, *model), *hmm.expected_counts(tokens, first, *model))
-    monkeypatch.setattr(hmm, "_SEGMENT", 1 << 30)
     want = run()
+    monkeypatch.setattr(hmm, "_LONG", 1)
     for segment, together in ((16, 3), (64, 1000), (7, 2)):
         monkeypatch.setattr(hmm, "_SEGMENT", segment)
         monkeypatch.setattr(hmm, "_TOGETHER", together)
