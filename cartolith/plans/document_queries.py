@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as docs
+from ..operators import payloads
 from ..operators.context import numbered_within
 from ..storage import new_folder
 from ..streaming import streams
@@ -116,6 +117,56 @@ def d14b(spark: SparkSession, d: str) -> DataFrame:
     return jobs.select("job_id", F.explode("stages").alias("stage", "state")).select("job_id", "stage", "state.*")
 
 
+# each row: what is set, the leaf below it, its JSON text
+_SETS = f"""{b.EVENTS}, typed AS (SELECT ev.*, e.event_type, e.user_id, CAST(json_extract(e.props, '$.k') AS VARCHAR) AS k FROM ev JOIN events e ON ev.seq = e.event_id WHERE ev.seq % 41 <> 0),
+given AS (
+  SELECT job_id, seq, ['last_' || event_type] AS place, ['last_' || event_type] AS path, CAST(seq AS VARCHAR) AS value FROM typed
+  UNION ALL SELECT job_id, seq, ['stages', stage], ['stages', stage, 'status'], CASE WHEN status IS NULL THEN 'null' ELSE '"' || status || '"' END FROM typed WHERE event_type <> 'purchase'
+  UNION ALL SELECT job_id, seq, ['stages', stage], ['stages', stage, 'metrics', 'k'], k FROM typed WHERE event_type <> 'purchase'
+  UNION ALL SELECT job_id, seq, ['stages', stage], ['stages', stage, 'metrics', 'total_tokens'], CAST(seq % 1000 AS VARCHAR) FROM typed WHERE event_type <> 'purchase' AND seq % 3 = 0
+  UNION ALL SELECT job_id, seq, ['stages', stage, 'metrics', 'paid'], ['stages', stage, 'metrics', 'paid'], '[' || k || ',' || seq || ']' FROM typed WHERE event_type = 'purchase'
+  UNION ALL SELECT job_id, seq, ['stages'], ['stages'], 'null' FROM typed WHERE seq % 701 = 5 AND event_type = 'purchase'
+  UNION ALL SELECT job_id, seq, ['field_' || (seq % 13)], CASE WHEN seq % 2 = 0 THEN ['field_' || (seq % 13), 'in'] ELSE ['field_' || (seq % 13)] END, CASE WHEN seq % 2 = 0 THEN k ELSE '"t' || k || '"' END FROM typed),
+latest AS (SELECT job_id, path, arg_max(value, seq) AS value, max(seq) AS seq FROM given GROUP BY job_id, path),
+places AS (SELECT job_id, place, max(seq) AS seq FROM given GROUP BY job_id, place),
+fields AS (
+  SELECT l.* FROM latest l
+  WHERE NOT EXISTS (SELECT 1 FROM places p WHERE p.job_id = l.job_id AND p.seq > l.seq AND l.path[1:len(p.place)] = p.place)
+    AND NOT EXISTS (SELECT 1 FROM latest m WHERE m.job_id = l.job_id AND m.seq > l.seq AND len(m.path) > len(l.path) AND m.path[1:len(l.path)] = l.path))"""
+
+
+def _payload_events(spark: SparkSession, d: str) -> DataFrame:
+    """Job events with a JSON object of fields to set: some named by the event, some inside of others; every 41st is broken."""
+    events = b.job_events(spark, d).join(b.table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type"), "seq")
+    k = F.get_json_object("metrics", "$.k")
+    paid = F.col("event_type") == "purchase"
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    tokens = F.when(F.col("seq") % 3 == 0, text(', "total_tokens": ', (F.col("seq") % 1000).cast("string"))).otherwise("")
+    stage = F.when(paid, text('"stages.', F.col("stage"), '.metrics.paid": [', k, ", ", F.col("seq").cast("string"), "]")).otherwise(
+        text('"stages.', F.col("stage"), '": {"status": ', quoted(F.col("status")), ', "metrics": {"k": ', k, tokens, "}}")
+    )
+    reset = F.when(paid & (F.col("seq") % 701 == 5), F.lit(', "stages": null')).otherwise("")
+    name = text('"field_', (F.col("seq") % 13).cast("string"), '": ')
+    own = F.when(F.col("seq") % 2 == 0, text(name, '{"in": ', k, "}")).otherwise(text(name, '"t', k, '"'))
+    payload = text('{"last_', F.col("event_type"), '": ', F.col("seq").cast("string"), ", ", stage, reset, ", ", own, "}")
+    return events.select("job_id", "seq", F.when(F.col("seq") % 41 == 0, F.substring(payload, 1, 9)).otherwise(payload).alias("payload"))
+
+
+@query("d14_fold_any_fields", f"WITH {_SETS} SELECT job_id, array_to_string(path, '.') AS field, value, seq FROM fields")
+def d14_fields(spark: SparkSession, d: str) -> DataFrame:
+    fields = payloads.fold_fields(_payload_events(spark, d))
+    return fields.select("job_id", F.array_join("path", ".").alias("field"), F.to_json("value").alias("value"), "seq")
+
+
+@query("d9_any_job_status", f"WITH {_SETS} SELECT job_id, array_to_string(path, '.') AS field, value FROM fields WHERE NOT (len(path) > 3 AND path[1] = 'stages' AND path[2] = 'PRECHECK' AND path[3] = 'metrics') OR path[4] = 'total_tokens'")
+def d9_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Shown fields, read back from the records they are packed in."""
+    packed = payloads.records(payloads.shown_fields(payloads.fold_fields(_payload_events(spark, d))))
+    fields = packed.select("job_id", F.explode(F.variant_get("record", "$", "map<string,variant>")).alias("field", "value"))
+    return fields.select("job_id", "field", F.to_json("value").alias("value"))
+
+
 def _gone(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     gone = spark.createDataFrame([("src1",), ("src4",)], "repo_id string")
     return docs.delete_repo(gone, b.conversations(spark, d), b.messages(spark, d), b.model_documents(spark, d), _repos(spark, d))
