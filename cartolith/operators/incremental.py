@@ -1,4 +1,4 @@
-"""Dependencies, degrees and entry points kept up to date by what changed.
+"""Nodes, references, interactions, dependencies, degrees and entry points kept up to date by what changed.
 
 A table is kept as counts of support: an edge between two files is there while at
 least one reference supports it. A change is a table of counts to add, of which only
@@ -18,6 +18,9 @@ from ..storage import written
 
 EDGES = "src string, dst string, support long"
 DEGREES = "path string, out_degree long, in_degree long"
+DOWNSTREAM = "path string, ref_name string, node_type string, def_path string, support long"
+UPSTREAM = "path string, ref_path string, ref_name string, node_type string, support long"
+REFERENCES = "source string, target string, support long"
 
 
 def affected_symbols(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
@@ -66,6 +69,36 @@ def entry_points(degrees: DataFrame) -> DataFrame:
     return degrees.where("out_degree > 0 AND in_degree = 0").select("path")
 
 
+def downstream_rows(mappings: DataFrame) -> DataFrame:
+    """X1 with repeats: each mapping (path, name, def_path, node_type) that leaves its file."""
+    return mappings.where("path <> def_path").select("path", F.col("name").alias("ref_name"), "node_type", "def_path")
+
+
+def upstream_rows(mappings: DataFrame) -> DataFrame:
+    """X2 with repeats: each mapping seen from its definition's file, its own references too."""
+    return mappings.select(F.col("def_path").alias("path"), F.col("path").alias("ref_path"), F.col("name").alias("ref_name"), "node_type")
+
+
+def maintain_support(store: KeyedStore, gone: DataFrame, come: DataFrame, name: str = "support") -> DataFrame:
+    """Takes rows that went and came, of the store's keys and none of them null, into a store of counts; the keys that came into being (+1) or ended (-1).
+
+    A row that several references give is there while one of them is. Rows that go
+    and come alike cancel out, and only buckets of the others are read and written.
+    """
+    change = written(support_change(gone, come, store.keys, name), "support_change")
+    buckets = store.touched(change)
+    moved = written(crossings(store.read(buckets), change, store.keys, name), "moved")
+    store.update(change, added(store.keys, [name]), buckets)
+    return moved
+
+
+def maintain_files(store: KeyedStore, rows: DataFrame, changed: DataFrame) -> list[int]:
+    """G18 as a store by path: the rows of changed and new files in place of theirs before; vanished ones of ``changed`` (path) go. The buckets it wrote."""
+    paths = written(changed.select("path").distinct(), "changed")
+    fresh = rows.join(paths, "path", "left_semi")
+    return store.update(fresh, lambda old, new: old.join(paths, "path", "left_anti").unionByName(new.select(*old.columns)), store.touched(paths))
+
+
 def build(edges: KeyedStore, degrees: KeyedStore, mappings: DataFrame) -> None:
     """Fills two empty stores with the edges and degrees of all mappings."""
     count = edge_rows(mappings).groupBy("src", "dst").agg(F.count("*").alias("support"))
@@ -80,10 +113,7 @@ def maintain(edges: KeyedStore, degrees: KeyedStore, gone: DataFrame, come: Data
     Only buckets of changed edges and of files whose degrees change are read and
     written.
     """
-    change = written(support_change(edge_rows(gone), edge_rows(come), ["src", "dst"]), "edge_change")
-    buckets = edges.touched(change)
-    moved = written(crossings(edges.read(buckets), change, ["src", "dst"]), "edges_moved")
-    edges.update(change, added(["src", "dst"], ["support"]), buckets)
+    moved = maintain_support(edges, edge_rows(gone), edge_rows(come))
     more = written(degree_change(moved), "degree_change")
     buckets = degrees.touched(more)
     before = written(degrees.read(buckets).join(more.select("path"), "path", "left_semi"), "degrees_before")

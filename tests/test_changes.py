@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from cartolith.operators import context, incremental, references
 from cartolith.sources.store import KeyedStore, added, newest
+from cartolith.storage import written
 
 from .test_core import rows
 
@@ -67,6 +68,50 @@ def test_maintained_tables_equal_a_full_run(spark, tmp_path):
         files[f"n{step}"] = text()
 
 
+def test_interactions_and_nodes_equal_a_full_run(spark, tmp_path):
+    rng = random.Random(17)
+    text = lambda: [(rng.choice("abcde"), line) for line in range(rng.randrange(5))]
+    files = {f"f{k:02d}": text() for k in range(15)}
+    table = lambda f: spark.createDataFrame([(s, p, line, 0, s.upper()) for p, t in f.items() for s, line in t], "symbol string, path string, line int, col int, name string")
+
+    def resolve(s):
+        found = references.nearest_resolved(s, references.first_definitions(s, ("path", "line", "col")))
+        return found.join(s.select("path", "line", "col", "name"), ["path", "line", "col"]).withColumn("node_type", F.lit("line"))
+
+    store = lambda name, ddl, keys: KeyedStore(spark, str(tmp_path / name), StructType.fromDDL(ddl), keys, 4)
+    down = store("down", incremental.DOWNSTREAM, ["path", "ref_name", "node_type", "def_path"])
+    up = store("up", incremental.UPSTREAM, ["path", "ref_path", "ref_name", "node_type"])
+    nodes = store("nodes", "path string, line int, name string", ["path"])
+    before, there = {}, set()
+    for step in range(3):
+        changed = spark.createDataFrame([(p,) for p in {*before, *files} if before.get(p) != files.get(p)], "path string")
+        gone, come = (written(t, "mappings") for t in incremental.mapping_changes(table(before), table(files), changed, resolve))
+        moved = rows(incremental.maintain_support(down, incremental.downstream_rows(gone), incremental.downstream_rows(come)))
+        incremental.maintain_support(up, incremental.upstream_rows(gone), incremental.upstream_rows(come))
+        incremental.maintain_files(nodes, table(files).select("path", "line", "name"), changed)
+        full = resolve(table(files))
+        for kept, counted in ((down, incremental.downstream_rows(full)), (up, incremental.upstream_rows(full))):
+            assert rows(kept.read()) == rows(counted.groupBy(*kept.keys).agg(F.count("*")))
+        now = {r[:-1] for r in rows(down.read())}
+        assert {r[:-1] for r in moved if r[-1] == 1} == now - there and {r[:-1] for r in moved if r[-1] == -1} == there - now
+        assert rows(nodes.read()) == {(p, line, s.upper()) for p, t in files.items() for s, line in t}
+        there, before = now, dict(files)
+        for p in rng.sample(sorted(files), 3):
+            files[p] = text()
+        files.pop(rng.choice(sorted(files)))
+        files[f"n{step}"] = text()
+
+
+def test_an_unchanged_file_leaves_its_bucket(spark, tmp_path):
+    nodes = KeyedStore(spark, str(tmp_path / "n"), StructType.fromDDL("path string, v int"), ["path"], 16)
+    rows_ = spark.createDataFrame([(f"f{k}", k) for k in range(100)], "path string, v int")
+    incremental.maintain_files(nodes, rows_, rows_)
+    held = nodes.manifest()
+    assert len(incremental.maintain_files(nodes, rows_, rows_.where("v = 7"))) == 1
+    assert sum(held[k] != folder for k, folder in nodes.manifest().items()) == 1
+    assert incremental.maintain_files(nodes, rows_, rows_.limit(0)) == []
+
+
 def test_a_repaired_walk_equals_a_full_one(spark):
     rng = random.Random(13)
     table = lambda e: spark.createDataFrame(sorted(e), "src string, dst string")
