@@ -84,6 +84,15 @@ def test_url_rules(spark):
     assert url_rules.filter_urls(df.limit(0)).count() == 0
 
 
+def test_contract_rules_word_by_word(spark):
+    """The rules as the contract lists them; a URL under each one alone."""
+    assert [(r.action, r.text) for r in url_rules.CONTRACT_RULES] == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    urls = [("http://x.com/en/1", "com/en/", "block"), ("http://a.example.com/en/71", "example.com/en/7", "allow"), ("http://casino.x.net/de/1", "net/de/", "allow"), ("http://example.net/de/9", "net/de/", "allow"), ("http://b.example.net/de/8", "example.net/de/8", "block"), ("http://x.org/es/", "org/es/", "block")]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.filter_urls(df).collect()}
+    assert got == {i: (rule, verdict) for i, (_, rule, verdict) in enumerate(urls)}
+
+
 def test_index_runs_only_candidates():
     rules = [url_rules.pattern_rule("block", "^ads^banner^"), url_rules.pattern_rule("block", "track*er"), url_rules.host_rule("block", "bad.org", "")]
     index = url_rules.RuleIndex(rules, {"ads": 100, "banner": 2, "bad": 1, "org": 50})
