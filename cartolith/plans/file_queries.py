@@ -21,9 +21,9 @@ STRUCT = "{'file_path': 'VARCHAR', 'line': 'INTEGER', 'column': 'INTEGER', 'loca
 def s1(spark: SparkSession, d: str) -> DataFrame:
     """The documents as a tree of files, one for each, and read back from there."""
     root = new_folder(spark, "s1_tree")
-    b.files(spark, d).select("folder", "content").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(root)
-    found = sources.scan_files(spark, root).where(F.col("path").endswith(".txt"))
-    text = F.expr("substring(content, 1, length(content) - 1)")  # the writer ends each file with a newline
+    sources.write_tree(b.files(spark, d), root)
+    found = sources.scan_files(spark, root)
+    text = F.expr("substring(content, 1, length(content) - 1)")  # a newline ends each file
     return found.select(F.regexp_extract("path", "folder=([^/]*)", 1).alias("folder"), (F.col("size") - 1).alias("chars"), F.sha1(text).alias("sha1"))
 
 

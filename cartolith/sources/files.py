@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,33 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """A file of each row (folder, content) below ``root``, as ``folder=…/<task>-<number>.txt``; a newline ends each, as Spark reads no empty files.
+
+    The tasks write through pyarrow: Hadoop's writers start two processes for each
+    local file, to set its rights and its checksum's. A task that runs again writes
+    the same names.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        task, n, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for folder, content in zip(batch.column("folder").to_pylist(), batch.column("content"), strict=True):
+                place = f"{base}/folder={folder}"
+                if place not in made:
+                    store.create_dir(place)
+                    made.add(place)
+                with store.open_output_stream(f"{place}/{task}-{n}.txt") as out:
+                    if content.is_valid:
+                        out.write(content.as_buffer())
+                    out.write(b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    files.select("folder", "content").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
