@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import config
 
 CODE, NESTED = "code", 4
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _IDENTIFIER = np.zeros(256, bool)
 _IDENTIFIER[[*range(0x30, 0x3A), *range(0x41, 0x5B), 0x5F, *range(0x61, 0x7B)]] = True
 _LETTER = _IDENTIFIER.copy()

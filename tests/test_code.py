@@ -198,3 +198,11 @@ def test_an_extractor_of_ones_own(spark):
     assert references.first_definitions(got).count() == 2
     with pytest.raises(Exception, match="further values"):
         hooks.extracted(df, words).collect()
+
+
+def test_slices_are_small():
+    """What a worker holds for one pass is bounded by the slice: about a hundred bytes for each of its bytes."""
+    texts = ["x" * (1000 + k % 700) for k in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"language": ["en"] * len(texts), "content": texts})
+    sizes = [sum(map(len, rows.column("content").to_pylist())) for _, rows in lexing.sliced([batch])]
+    assert sum(sizes) == sum(map(len, texts)) and max(sizes) <= (1 << 18) + 2 * max(map(len, texts))
