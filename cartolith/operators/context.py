@@ -99,8 +99,13 @@ def _best_labels(found: list[DataFrame]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: Sequence[str | Column] = ("path",), name: str = "entry_ord", kind: str = "int") -> DataFrame:
-    """``rows`` numbered from 1 by ``order``, with a count in each range of its values first, so no task sorts all rows."""
-    parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    """``rows`` numbered from 1 by ``order``, with a count in each range of its values first, so no task sorts all rows.
+
+    The ranges are drawn from a sample, for which Spark reads all rows once more; they are written first, so that nothing is computed twice.
+    """
+    plain = written(rows, "unnumbered")
+    parts = written(plain.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    discard(plain)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # a row for each partition
     place = (F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).cast(kind).alias(name)

@@ -36,17 +36,27 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("path").agg(F.sum("in").alias("in_degree"), F.sum("out").alias("out_degree"))
 
 
-def template(path: str = "path", content: str = "content") -> Column:
-    """The default description, from the whole text and the degrees; of a blank text it is empty."""
-    numbers = scalars.count_tokens(F.col(content)), F.col("out_degree"), F.col("in_degree")
+def measured(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``files`` with the ``tokens`` of their texts and whether those are ``blank``, in place of the texts, which no join has to move then."""
+    blank = ~F.coalesce(F.col(content).rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    return files.select(*(c for c in files.columns if c != content), scalars.count_tokens(F.col(content)).alias("tokens"), blank.alias("blank"))
+
+
+def template(path: str = "path") -> Column:
+    """The default description, from what the whole text measures and the degrees; of a blank text it is empty."""
+    numbers = F.col("tokens"), F.col("out_degree"), F.col("in_degree")
     told = F.concat(path, F.lit(": "), numbers[0].cast("string"), F.lit(" tokens, uses "), numbers[1].cast("string"), F.lit(", used by "), numbers[2].cast("string"))
-    return F.when(F.col(content).rlike(r"[^ \t\n\x0B\f\r]"), told).otherwise(F.lit(""))
+    return F.when(F.col("blank"), F.lit("")).otherwise(told)
 
 
 def default_summary(files: DataFrame, edges: DataFrame, text: Column | None = None) -> DataFrame:
-    """M2 without a function: files with a dependency either way are critical and described by ``text``, others ``IGNORE``."""
+    """M2 without a function: files with a dependency either way are critical and described by ``text``, others ``IGNORE``.
+
+    What the default ``text`` tells of a content is measured before the join with the degrees, so no content is shuffled.
+    """
     described = template() if text is None else text
-    joined = files.join(degree(edges), "path", "left")
+    known = measured(files.select("repo_id", "path", "content")) if text is None else files
+    joined = known.join(degree(edges), "path", "left")
     critical = F.coalesce(F.col("in_degree") + F.col("out_degree"), F.lit(0)) > 0
     return joined.select("repo_id", "path", F.when(critical, described).otherwise(F.lit("IGNORE")).alias("result"))
 

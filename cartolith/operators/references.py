@@ -40,14 +40,16 @@ def extract_leaves(files: DataFrame, keep: Sequence[str] = (), pattern: str | No
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE, prepend=0)) if len(sizes) else []
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if b > a:
-                    found = _words(batch.slice(a, b - a), names)
-                    yield found if pattern is None else found.filter(pc.match_substring_regex(found.column("text"), pattern))
+                    yield _words(batch.slice(a, b - a), names, pattern)
 
     return files.select(*names, "content").mapInArrow(find, ", ".join(f"{c} string" for c in names) + f", {LEAF}")
 
 
-def _words(files: pa.RecordBatch, names: Sequence[str]) -> pa.RecordBatch:
-    """All words of some files, found in their bytes: no byte of another code point is a letter's or a line end's."""
+def _words(files: pa.RecordBatch, names: Sequence[str], pattern: str | None = None) -> pa.RecordBatch:
+    """All words of some files, or those that match ``pattern``, found in their bytes: no byte of another code point is a letter's or a line end's.
+
+    The pattern is asked first; places are worked out for the words that it leaves.
+    """
     content = files.column("content").fill_null("").cast(pa.large_string())
     _, offsets, data = content.buffers()
     offsets = np.frombuffer(offsets, np.int64)[content.offset : content.offset + len(content) + 1]
@@ -58,25 +60,27 @@ def _words(files: pa.RecordBatch, names: Sequence[str]) -> pa.RecordBatch:
     edge[offsets] = True
     starts = np.flatnonzero(letter & (edge[:-1] | ~np.concatenate(([False], letter[:-1]))))
     ends = np.flatnonzero(letter & (edge[1:] | ~np.concatenate((letter[1:], [False])))) + 1
+    text = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.concatenate(([0], np.cumsum(ends - starts)))), pa.py_buffer(np.ascontiguousarray(data[letter]))).cast(pa.string())
+    places = np.arange(len(starts)) if pattern is None else np.flatnonzero(pc.match_substring_regex(text, pattern).to_numpy(zero_copy_only=False))
+    begun, long = starts[places], (ends - starts)[places]
     next_ = np.concatenate((data[1:], np.zeros(min(1, len(data)), np.uint8)))
     breaks = np.flatnonzero((data == 10) | ((data == 13) & ~((next_ == 10) & ~edge[1:])))
-    file = np.searchsorted(offsets, starts, "right") - 1
+    file = np.searchsorted(offsets, begun, "right") - 1
     line_from = np.searchsorted(breaks, offsets[:-1])  # breaks before each file
-    line = np.searchsorted(breaks, starts) - line_from[file]
-    begin = np.where(line > 0, breaks[np.maximum(line_from[file] + line - 1, 0)] + 1 if len(breaks) else 0, offsets[:-1][file])  # of the word's line
+    stop = np.searchsorted(breaks, begun)  # the break that ends the word's line, if its file does not end first
+    line = stop - line_from[file]
+    begin = np.where(line > 0, breaks[np.maximum(stop - 1, 0)] + 1 if len(breaks) else 0, offsets[:-1][file])  # of the word's line
     points = np.concatenate(([0], np.cumsum(_LEAD[data])))
-    col = points[starts] - points[begin]
-    new = np.ones(len(starts), bool)
-    new[1:] = (file[1:] != file[:-1]) | (line[1:] != line[:-1])
-    places = np.arange(len(starts))
-    ordinal = places - np.maximum.accumulate(np.where(new, places, 0))
-    text = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.concatenate(([0], np.cumsum(ends - starts)))), pa.py_buffer(np.ascontiguousarray(data[letter]))).cast(pa.string())
-    last = np.append(new[1:], True) if len(new) else new
+    col = points[begun] - points[begin]
+    ordinal = places - np.searchsorted(starts, begin)
+    after = np.append(starts, len(data))[places + 1]  # where the next word begins
+    last = after >= np.minimum(np.append(breaks, len(data))[stop], offsets[1:][file])
     int32 = lambda x: pa.array(x.astype(np.int32))
     neighbour = lambda step, none: text.take(pa.array(places + step, mask=none))
     columns = [files.column(c).take(pa.array(file)) for c in names]
     return pa.RecordBatch.from_arrays(
-        [*columns, int32(line), int32(ordinal), int32(col), int32(col + ends - starts), text, neighbour(-1, new), neighbour(1, last)], [*names, "line", "ordinal", "col", "end_col", "text", "before", "after"]
+        [*columns, int32(line), int32(ordinal), int32(col), int32(col + long), text.take(pa.array(places)), neighbour(-1, ordinal == 0), neighbour(1, last)],
+        [*names, "line", "ordinal", "col", "end_col", "text", "before", "after"],
     )
 
 

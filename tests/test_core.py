@@ -345,3 +345,40 @@ def test_leaves_by_kind_and_by_look_up(spark):
     columns = ["node_id", "is_reference", "name"]
     assert rows(quick.select(columns)) == rows(graph.mark_leaf_references(plain, texts).select(columns)) and quick.where("is_reference").count() == 3
     assert "text" not in quick.columns
+
+
+def test_rows_are_computed_once_to_be_numbered(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows_ = spark.range(0, 50, 1, 3).mapInArrow(each, "id long")
+    assert {tuple(r) for r in context.numbered(rows_, ("id",), "n").select("id", "n").collect()} == {(i, i + 1) for i in range(50)}
+    assert seen.value == 50
+
+
+def test_tokens_are_counted_without_a_string_a_token(spark):
+    texts = ["", "a", "ab_9 9é💡é\t..\r\n", "  ", None, "x1y2", "Zürich, 3.14\u00a0km", "é" * 40, "a b " * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    counted = df.select("i", scalars.count_tokens(F.col("t")).alias("n"))
+    assert "regexp" not in counted._jdf.queryExecution().toString()
+    from cartolith.functions import config
+
+    assert {r.i: r.n for r in counted.collect()} == {i: len(re.findall(config.TOKEN, t or "")) for i, t in enumerate(texts)}
+
+
+def test_summaries_move_no_content(spark):
+    files = spark.createDataFrame([("r", "a", "one two"), ("r", "b", " \n"), ("r", "c", None), ("r", "d", "x")], "repo_id string, path string, content string")
+    edges = spark.createDataFrame([("a", "b"), ("c", "a")], "src string, dst string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mental_model.default_summary(files, edges)
+        assert rows(found.select("path", "result")) == {("a", "a: 2 tokens, uses 1, used by 1"), ("b", ""), ("c", ""), ("d", "IGNORE")}
+        above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+        assert "content" not in above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
