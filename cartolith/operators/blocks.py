@@ -15,6 +15,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,14 @@ class Blocks:
         file = np.searchsorted(texts.offsets, at, "right") - 1
         return innermost(self.file, self.begin, self.end, file, at)
 
+    def around(self, texts: Texts, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number in its file of the innermost block around each of some ascending bytes, and that block's last; 0 and the file's last where there is none."""
+        block = self.holding(texts, at)
+        here = np.maximum(block, 0)
+        number, last = (np.where(block >= 0, x[here] - self.first[here] + 1, 0) if len(self.file) else np.zeros(len(block), np.int64) for x in (np.arange(len(self.file)), self.last))
+        held = np.bincount(self.file, minlength=len(texts.offsets) - 1)  # blocks of each file
+        return number, np.where(block >= 0, last, held[np.searchsorted(texts.offsets, at, "right") - 1])
+
 
 def innermost(group: np.ndarray, begin: np.ndarray, end: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of nested or disjoint spans (by group and begin) the innermost that holds each point, or -1; begin is in the span, end isn't."""
@@ -191,30 +200,78 @@ def nested_blocks(files: DataFrame, styles: Mapping[str, str | tuple[str, str]]
     return files.select("path", "language", "content").mapInArrow(find, "path string, block int, last int, parent int, depth int, start_line int, start_col int, end_line int, end_col int")
 
 
-def scoped_words(files: DataFrame, styles: Mapping[str, str | tuple[str, str]] = STYLES, regions: Mapping[str, Sequence[Region]] = REGIONS) -> DataFrame:
-    """path, line, col, end_col, text and kind of every word, with the number of the innermost block around it and that block's last (0 and the file's: none)."""
+def _spans(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every word."""
+    letter, n = _LETTER[texts.data], len(texts.data)
+    starts = np.flatnonzero(letter & (texts.edge[:n] | ~np.concatenate(([False], letter[:-1]))) if n else letter)
+    return starts, np.flatnonzero(letter & (texts.edge[1:] | ~np.concatenate((letter[1:], [False]))) if n else letter) + 1
+
+
+def _matching(words: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+
+
+def scoped_words(files: DataFrame, styles: Mapping[str, str | tuple[str, str]] = STYLES, regions: Mapping[str, Sequence[Region]] = REGIONS, pattern: str | None = None) -> DataFrame:
+    """path, line, col, end_col, text and kind of every word, with the number of the innermost block around it and that block's last (0 and the file's: none).
+
+    With ``pattern`` only the words that it matches are placed and leave the Python workers.
+    """
     each = _passes(files, styles, regions)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts, b, lexer in each(batches):
-            letter, n = _LETTER[texts.data], len(texts.data)
-            starts = np.flatnonzero(letter & (texts.edge[:n] | ~np.concatenate(([False], letter[:-1]))) if n else letter)
-            ends = np.flatnonzero(letter & (texts.edge[1:] | ~np.concatenate((letter[1:], [False]))) if n else letter) + 1
+            starts, ends = _spans(texts)
+            text = texts.strings(starts, ends)
+            if pattern is not None:
+                kept = _matching(text, pattern)
+                starts, ends, text = starts[kept], ends[kept], text.filter(pa.array(kept))
             file, line, col = texts.located(starts)
-            block = b.holding(texts, starts)
-            here = np.maximum(block, 0)
-            number, last = (np.where(block >= 0, x[here] - b.first[here] + 1, 0) if len(b.file) else np.zeros(len(block), np.int64) for x in (np.arange(len(b.file)), b.last))
-            held = np.bincount(b.file, minlength=len(texts.offsets) - 1)  # blocks of each file
-            last = np.where(block >= 0, last, held[file])
+            number, last = b.around(texts, starts)
             kind = pa.array(lexer.kinds).take(pa.array(lexer.kinds_at(texts.data, texts.offsets, starts)))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("path").take(pa.array(file)), _int32(line), _int32(col), _int32(col + ends - starts), texts.strings(starts, ends), kind, _int32(number), _int32(last)],
+                [rows.column("path").take(pa.array(file)), _int32(line), _int32(col), _int32(col + ends - starts), text, kind, _int32(number), _int32(last)],
                 ["path", "line", "col", "end_col", "text", "kind", "block", "last"],
             )
 
     return files.select("path", "language", "content").mapInArrow(find, "path string, line int, col int, end_col int, text string, kind string, block int, last int")
 
 
+def resolved_in_files(files: DataFrame, refs: str, defs: str, styles: Mapping[str, str | tuple[str, str]] = STYLES, regions: Mapping[str, Sequence[Region]] = REGIONS) -> DataFrame:
+    """R4 by scope for words that match ``refs``, among those that match ``defs`` and are the same in lower case: ``resolve_in_scope`` of ``scoped_words``.
+
+    A block is in one file, so references and definitions meet where their file is
+    read: no word is shuffled, and only references that have a definition leave the
+    Python workers. Words without a partner in their file aren't placed at all.
+    """
+    each = _passes(files, styles, regions)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts, b, _ in each(batches):
+            starts, ends = _spans(texts)
+            text = texts.strings(starts, ends)
+            wanted, defining = _matching(text, refs), _matching(text, defs)
+            symbol = pc.ascii_lower(text).dictionary_encode().indices.to_numpy().astype(np.int64)
+            group = symbol * rows.num_rows + np.searchsorted(texts.offsets, starts, "right") - 1
+            wanted &= np.isin(group, group[defining])
+            defining &= np.isin(group, group[wanted])
+            used = np.flatnonzero(wanted | defining)
+            group, wanted, defining, starts = group[used], wanted[used], defining[used], starts[used]
+            block, last = b.around(texts, starts)
+            spans = np.flatnonzero(defining)
+            spans = spans[np.lexsort((spans, block[spans], group[spans]))]
+            first = np.ones(len(spans), bool)  # of a block's definitions
+            first[1:] = (group[spans[1:]] != group[spans[:-1]]) | (block[spans[1:]] != block[spans[:-1]])
+            spans, at = spans[first], np.flatnonzero(wanted)
+            here = innermost(group[spans], block[spans], last[spans] + 1, group[at], block[at])
+            at, to = at[here >= 0], spans[here[here >= 0]]
+            at, to = at[at != to], to[at != to]
+            file, line, col = texts.located(starts)
+            own = rows.column("path").take(pa.array(file[at]))
+            yield pa.RecordBatch.from_arrays([own, *map(_int32, (line[at], col[at])), own, *map(_int32, (line[to], col[to]))], ["path", "line", "col", "def_path", "def_line", "def_col"])
+
+    return files.select("path", "language", "content").mapInArrow(find, "path string, line int, col int, def_path string, def_line int, def_col int")
+
+
 def block_id(path: str, block: str):
     """G2 for blocks; block 0 is the file."""
     return F.concat_ws(":", path, F.lit("block"), F.col(block).cast("string"))

@@ -111,7 +111,7 @@ UNION ALL SELECT path || ':block:0', NULL FROM files""",
 def g12_blocks(spark: SparkSession, d: str) -> DataFrame:
     """A tree as deep as the texts make it, contracted to its symbols, the blocks right around one, and the files."""
     f = files(spark, d)
-    words = written(blocks.scoped_words(f, STYLES, {}).where(F.col("text").rlike(config.SYMBOL)), "block_words")
+    words = written(blocks.scoped_words(f, STYLES, {}, config.SYMBOL), "block_words")
     tree = blocks.block_tree(f, blocks.nested_blocks(f, STYLES, {}), words).select("node_id", "parent_id", "node_type")
     holding = words.select(blocks.block_id("path", "block").alias("node_id"), F.lit(True).alias("_holds")).distinct()
     kept = F.coalesce("_holds", F.col("node_type") != "block").alias("kept")
@@ -128,8 +128,7 @@ QUALIFY row_number() OVER (PARTITION BY w.path, w.line, w.col ORDER BY x.block D
 )
 def r4_scope(spark: SparkSession, d: str) -> DataFrame:
     """Words in lower case resolved to the capitalised ones of the innermost block around them that has one."""
-    words = written(blocks.scoped_words(files(spark, d), STYLES, {}).withColumn("symbol", F.lower("text")), "block_words")
-    return blocks.resolve_in_scope(words.where(F.col("text").rlike("^[a-z]")), words.where(F.col("text").rlike("^[A-Z]")))
+    return blocks.resolved_in_files(files(spark, d), "^[a-z]", "^[A-Z]", STYLES, {})
 
 
 @query(

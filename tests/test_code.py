@@ -144,6 +144,26 @@ def test_the_inner_definition_wins(spark):
     assert whole[("f", 30)] == ("f", 2) and whole[("f", 32)] == ("g", 2) and whole[("g", 6)] == ("g", 2) and whole[("f", 16)] == ("f", 10)
 
 
+def test_scopes_resolve_where_files_are_read(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["{", "}", " x ", " X ", " y", "\n", " Xy ", "é ", " xY", " XY"]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    df = spark.createDataFrame([(str(k), "java", t) for k, t in enumerate(texts)] + [("none", None, "{X x}"), ("null", "java", None)], "path string, language string, content string")
+    for refs, defs in (("^[a-z]", "^[A-Z]"), ("^x", "^X?x?Y?y?$")):  # of the latter a definition may be a reference
+        got = blocks.resolved_in_files(df, refs, defs, regions={})
+        named = blocks.scoped_words(df, regions={}).withColumn("symbol", F.lower("text"))
+        want = rows(blocks.resolve_in_scope(named.where(F.col("text").rlike(refs)), named.where(F.col("text").rlike(defs))))
+        assert rows(got) == want and len(want) > 100
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_matching_words_are_placed(spark):
+    df = spark.createDataFrame([("f", "java", "{ X x { x é Xx } } // X\n x"), ("g", "java", "")], "path string, language string, content string")
+    every = [tuple(r) for r in blocks.scoped_words(df).collect()]
+    assert [tuple(r) for r in blocks.scoped_words(df, pattern="^X").collect()] == [r for r in every if r[4].startswith("X")] != []
+
+
 def test_a_deep_tree_contracts(spark):
     df = spark.createDataFrame([("f", "java", "{" * 40 + " a " + "}" * 40 + " b")], "path string, language string, content string")
     tree = blocks.block_tree(df, blocks.nested_blocks(df), blocks.scoped_words(df))
