@@ -296,6 +296,43 @@ def block_tree(files: DataFrame, blocks: DataFrame, words: DataFrame) -> DataFra
     return roots.unionByName(inner).unionByName(leaves)
 
 
+def contracted_blocks(files: DataFrame, pattern: str, styles: Mapping[str, str | tuple[str, str]] = STYLES, regions: Mapping[str, Sequence[Region]] = REGIONS) -> DataFrame:
+    """G12 of ``block_tree``, of which stay the words of code that match ``pattern``, the blocks right around one, and the files: node_id and anchor.
+
+    A file's blocks are found together, and so is what encloses each: its way up
+    doubles in arrays until it ends in a block that stays. No node that goes leaves
+    the Python workers, and none is joined.
+    """
+    each = _passes(files, styles, regions)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts, b, lexer in each(batches):
+            starts, ends = _spans(texts)
+            starts = starts[_matching(texts.strings(starts, ends), pattern)]
+            starts = starts[lexer.kinds_at(texts.data, texts.offsets, starts) == 0]
+            holder = b.holding(texts, starts)
+            kept = np.zeros(len(b.file) + 1, bool)
+            kept[holder] = True
+            kept[-1] = True  # the file, at -1
+            up = b.parent.copy()
+            while not kept[up].all():
+                up = np.where(kept[up], up, up[up])
+            inner = np.flatnonzero(kept[:-1])
+            number = np.append(np.arange(len(b.file)) - b.first + 1, 0)  # 0: the file
+            file, line, col = texts.located(starts)
+            none = pa.nulls(len(inner), pa.int32())
+            columns = [
+                rows.column("path").take(pa.array(np.concatenate([file, b.file[inner]]))), pa.concat_arrays([_int32(line), none]), pa.concat_arrays([_int32(col), none]),
+                pa.concat_arrays([pa.nulls(len(starts), pa.int32()), _int32(number[inner])]), _int32(np.concatenate([number[holder], number[up[inner]]])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "line", "col", "block", "above"])
+
+    found = files.select("path", "language", "content").mapInArrow(find, "path string, line int, col int, block int, above int")
+    word = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string"), F.lit("word"))
+    nodes = found.select(F.when(F.col("block").isNull(), word).otherwise(block_id("path", "block")).alias("node_id"), block_id("path", "above").alias("anchor"))
+    return nodes.unionByName(files.select(F.concat_ws(":", "path", F.lit("block"), F.lit("0")).alias("node_id"), F.lit(None).cast("string").alias("anchor")))
+
+
 def resolve_in_scope(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """R4 by scope: path, line, col and def_path, def_line, def_col of each reference that has a definition in a block around it, the innermost such block's.
 

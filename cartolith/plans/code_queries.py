@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import config
-from ..operators import blocks, graph, hooks, lexing, references
+from ..operators import blocks, hooks, lexing, references
 from ..storage import written
 from . import bindings as b
 from .registry import query
@@ -110,12 +110,7 @@ UNION ALL SELECT path || ':block:0', NULL FROM files""",
 )
 def g12_blocks(spark: SparkSession, d: str) -> DataFrame:
     """A tree as deep as the texts make it, contracted to its symbols, the blocks right around one, and the files."""
-    f = files(spark, d)
-    words = written(blocks.scoped_words(f, STYLES, {}, config.SYMBOL), "block_words")
-    tree = blocks.block_tree(f, blocks.nested_blocks(f, STYLES, {}), words).select("node_id", "parent_id", "node_type")
-    holding = words.select(blocks.block_id("path", "block").alias("node_id"), F.lit(True).alias("_holds")).distinct()
-    kept = F.coalesce("_holds", F.col("node_type") != "block").alias("kept")
-    return graph.contract_flagged(written(tree.join(holding, "node_id", "left").select("node_id", "parent_id", kept), "block_tree"))
+    return blocks.contracted_blocks(files(spark, d), config.SYMBOL, STYLES, {})
 
 
 @query(

@@ -164,6 +164,19 @@ def test_only_matching_words_are_placed(spark):
     assert [tuple(r) for r in blocks.scoped_words(df, pattern="^X").collect()] == [r for r in every if r[4].startswith("X")] != []
 
 
+def test_trees_contract_where_files_are_read(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["{", "{", "}", " x ", " S", "\n", "é ", " // S {\n"]) for _ in range(rng.randrange(60))) for _ in range(200)] + ["{" * 50 + " S " + "}" * 40]
+    df = spark.createDataFrame([(str(k), "java", t) for k, t in enumerate(texts)] + [("none", None, "{S}"), ("null", "java", None)], "path string, language string, content string")
+    words = blocks.scoped_words(df, pattern="^S$").where("kind = 'code'")
+    tree = blocks.block_tree(df, blocks.nested_blocks(df), words)
+    keep = tree.where("node_type <> 'block'").select("node_id").union(words.select(blocks.block_id("path", "block")))
+    got = blocks.contracted_blocks(df, "^S$")
+    want = rows(graph.contract_tree(tree, keep))
+    assert rows(got) == want and got.count() == len(want) > 400
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_deep_tree_contracts(spark):
     df = spark.createDataFrame([("f", "java", "{" * 40 + " a " + "}" * 40 + " b")], "path string, language string, content string")
     tree = blocks.block_tree(df, blocks.nested_blocks(df), blocks.scoped_words(df))
