@@ -235,11 +235,11 @@ def _folder(spark: SparkSession, name: str) -> str:
     return new_folder(spark, name)
 
 
-def _stream(spark: SparkSession, rows: DataFrame, name: str, files: int = 3) -> DataFrame:
-    """``rows`` written as a few files that a stream then reads one after the other."""
-    path = _folder(spark, name)
-    rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _stream(spark: SparkSession, rows: DataFrame, name: str, batches: int = 3) -> DataFrame:
+    """``rows`` written as files that a stream then reads in a few batches, a file for each core at a time."""
+    path, cores = _folder(spark, name), spark.sparkContext.defaultParallelism
+    rows.repartition(batches * cores).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", cores).parquet(path)
 
 
 @query("st1_job_status_stream", f"WITH {b.JOBS} SELECT job_id, repo_name, status, current_stage, error, abort_requested, created_at, updated_at FROM jobs")

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -111,25 +112,40 @@ def stage_status_stream(events: DataFrame) -> DataFrame:
     return documents.fold_stages(events)
 
 
-def changed_versions(versions: DataFrame) -> DataFrame:
+_VERSION = ("namespace", "path", "sha1", "updated_at")
+
+
+def changed_versions(versions: DataFrame, buckets: int = 4096) -> DataFrame:
     """ST2: of file versions (namespace, path, sha1, updated_at) those whose sha1 is new for their file or differs from the last.
 
-    The last sha1 and time of each file are the state, so a batch costs what it
-    holds. Of several versions in one batch the latest counts; one older than the
-    state changes nothing.
+    The last sha1 and time of each file are the state, kept in ``buckets`` of files, for
+    each call costs far more than a row; a batch costs the buckets that its files are in.
+    Of several versions in one batch the latest counts; one older than the state changes
+    nothing. A stream can only go on with the number of buckets it began with.
     """
 
-    def latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, sha1 = max((int(t), s) for pdf in batches for s, t in zip(pdf["sha1"], pdf["updated_at"], strict=True))
-        before = state.get if state.exists else (None, at)
-        if at >= before[1]:
-            state.update((sha1, at))
-            if sha1 != before[0]:
-                yield pd.DataFrame({"namespace": [key[0]], "path": [key[1]], "sha1": [sha1], "updated_at": [at]})
+    def latest(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(n, p): (s, t) for n, p, s, t in zip(*state.get, strict=True)} if state.exists else {}
+        new: dict[tuple, tuple] = {}
+        for pdf in batches:
+            for n, p, s, t in zip(*(pdf[c] for c in _VERSION), strict=True):
+                new[n, p] = max(new.get((n, p), (int(t), s)), (int(t), s))
+        changed, moved = [], False
+        for file, (at, sha1) in new.items():
+            before = held.get(file, (None, at))
+            if at >= before[1]:
+                held[file], moved = (sha1, at), True
+                if sha1 != before[0]:
+                    changed.append((*file, sha1, at))
+        if moved:
+            state.update(tuple(map(list, zip(*((*file, *last) for file, last in held.items()), strict=True))))
+        if changed:
+            yield pd.DataFrame(changed, columns=_VERSION)
 
     kind = "namespace string, path string, sha1 string, updated_at long"
-    grouped = versions.select("namespace", "path", "sha1", "updated_at").groupBy("namespace", "path")
-    return grouped.applyInPandasWithState(latest, kind, "sha1 string, updated_at long", "append", GroupStateTimeout.NoTimeout)
+    held = "namespace array<string>, path array<string>, sha1 array<string>, updated_at array<long>"
+    grouped = versions.select(F.pmod(F.xxhash64("namespace", "path"), F.lit(buckets)).alias("_bucket"), *_VERSION).groupBy("_bucket")
+    return grouped.applyInPandasWithState(latest, kind, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def changed_file_stream(versions: DataFrame, checkpoint: str, out: str) -> DataStreamWriter:

@@ -63,3 +63,24 @@ def test_messages_of_one_time_have_an_order(spark):
     m = spark.createDataFrame([(1, 5, "b", "x"), (1, 5, "a", "z"), (1, 5, "a", "y")], "conversation_id long, created_at long, role string, content string")
     assert [r.content for r in documents.list_messages(m, 1).collect()] == ["y", "z", "x"]
     assert [r.content for r in documents.first_messages(m, m.select("conversation_id").distinct(), 2).orderBy("pos").select(F.col("content")).collect()] == ["y", "z"]
+
+
+def test_changed_versions_of_files_that_share_their_state(spark, tmp_path):
+    import random
+
+    from cartolith.streaming import streams
+
+    schema = "namespace string, path string, sha1 string, updated_at long"
+    rng, held, want, source, out = random.Random(2), {}, [], str(tmp_path / "in"), str(tmp_path / "out")
+    for number in range(4):
+        batch = [("n", f"f{rng.randrange(60)}", rng.choice("abc"), 10 * number + rng.randrange(-15, 10)) for _ in range(80)]
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        writer = streams.changed_versions(spark.readStream.schema(schema).parquet(source), buckets=3).writeStream.outputMode("append").format("parquet")
+        streams.run_available(writer.option("path", out).option("checkpointLocation", str(tmp_path / "check")))
+        for path in {b[1] for b in batch}:
+            at, sha1 = max((b[3], b[2]) for b in batch if b[1] == path)
+            before = held.get(path, (None, at))
+            if at >= before[1]:
+                held[path] = (sha1, at)
+                want += [(path, sha1, at)] if sha1 != before[0] else []
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("path", "sha1", "updated_at").collect()) == sorted(want)
