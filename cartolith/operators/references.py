@@ -14,7 +14,7 @@ from ..functions import config, scalars
 
 _LETTER = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", np.uint8))
 _LEAD = (np.arange(256) & 0xC0) != 0x80  # first bytes of code points
-_SLICE = 1 << 20
+_SLICE = 1 << 18  # bytes of texts at a time, as words and places take many times as much
 LEAF = "line int, ordinal int, col int, end_col int, text string, before string, after string"
 
 
@@ -35,16 +35,21 @@ def extract_leaves(files: DataFrame, keep: Sequence[str] = (), pattern: str | No
     names = ["path", *keep]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.array([0 if s is None else s for s in pc.binary_length(batch.column("content")).to_pylist()])
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE, prepend=0)) if len(sizes) else []
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if b > a:
-                    yield _words(batch.slice(a, b - a), names, pattern)
+        return _all_words(batches, names, pattern)
 
     return files.select(*names, "content").mapInArrow(find, ", ".join(f"{c} string" for c in names) + f", {LEAF}")
 
 
+def _all_words(batches: Iterator[pa.RecordBatch], names: Sequence[str], pattern: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The words of some files at a time, ``_SLICE`` bytes of them or one longer text."""
+    for batch in batches:
+        sizes = np.array([0 if s is None else s for s in pc.binary_length(batch.column("content")).to_pylist()])
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE, prepend=0)) if len(sizes) else []
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if b > a:
+                yield _words(batch.slice(a, b - a), names, pattern)
+
+
 def _words(files: pa.RecordBatch, names: Sequence[str], pattern: str | None = None) -> pa.RecordBatch:
     """All words of some files, or those that match ``pattern``, found in their bytes: no byte of another code point is a letter's or a line end's.
 

@@ -382,3 +382,17 @@ def test_summaries_move_no_content(spark):
         assert "content" not in above
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_words_are_found_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["p"] * 400), pa.array(["ab c\n" * 2000] * 400)], ["path", "content"])  # 4 MB
+    tracemalloc.start()
+    found = sum(b.num_rows for b in references._all_words(iter([batch]), ["path"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 400 * 4000
+    assert peak < 30_000_000, peak
