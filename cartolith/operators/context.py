@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import config, scalars
 from ..sources.files import upsert
 from ..storage import discard, written
+from .incremental import support_change
+
+_FEW = 20_000  # rows (path, label) that a join may broadcast, 3 MB at most for paths of 50 characters
 
 
 def multi_source_bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -34,19 +37,25 @@ def _step(label: str, kind) -> Column:
     return F.struct(F.col(f"{label}.entry_ord").alias("entry_ord"), (F.col(f"{label}.depth") + 1).alias("depth")).cast(kind)
 
 
+def _side(table: DataFrame, n: int) -> DataFrame:
+    """One side of a join, of ``n`` rows at most: broadcast if they are few, else both sides are dealt out.
+
+    By Spark's own bound in bytes each of the joins of each round may send megabytes to the driver.
+    """
+    return F.broadcast(table) if n <= _FEW else table.hint("merge")
+
+
 def _spread(found: list[DataFrame], frontier: DataFrame, links: DataFrame) -> list[DataFrame]:
     """Tables (path, label) of falling labels: ``found``, of which ``frontier`` is to spread, and those of all further rounds."""
     kind = frontier.schema["label"].dataType
     none = F.lit(None).cast(kind)
-    while True:
-        offers = frontier.join(links, F.col("path") == F.col("src")).select(F.col("dst").alias("path"), none.alias("label"), _step("label", kind).alias("offer"))
+    while n := frontier.count():
+        offers = links.join(_side(frontier, n), F.col("path") == F.col("src")).select(F.col("dst").alias("path"), none.alias("label"), _step("label", kind).alias("offer"))
         known = reduce(DataFrame.unionByName, found).select("path", "label", none.alias("offer"))
         best = known.unionByName(offers).groupBy("path").agg(F.min("label").alias("label"), F.min("offer").alias("offer"))
         frontier = written(best.where("offer IS NOT NULL AND (label IS NULL OR offer < label)").select("path", F.col("offer").alias("label")), "bfs")
-        if frontier.isEmpty():
-            discard(frontier)
-            return found
         found = [*found, frontier]
+    return found
 
 
 def repaired_walk(labels: DataFrame, old_edges: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -62,31 +71,35 @@ def repaired_walk(labels: DataFrame, old_edges: DataFrame, edges: DataFrame, see
     labelled = written(labels.select("path", _label().alias("label")), "bfs")
     kind = labelled.schema["label"].dataType
     own = written(seeds.select("path", "entry_ord", F.lit(0).alias("depth")).groupBy("path").agg(F.min(_label()).cast(kind).alias("label")), "bfs_seeds")
-    lost = before.join(links, ["src", "dst"], "left_anti")
+    moved = written(support_change(before, links, ["src", "dst"]), "bfs_moved")
+    lost, new = (moved.where(f"support = {s}").select("src", "dst") for s in (-1, 1))
     told = lambda t: t.select(F.col("path").alias("src"), _step("label", kind).alias("offer"))
+    of_all, of_own = (partial(_side, n=t.count()) for t in (labelled, own))
     # labels at depth 0 without their seed, and those that came over a lost edge
-    rootless = labelled.where("label.depth = 0").join(own, ["path", "label"], "left_anti").select("path")
-    doubted = lost.join(told(labelled), "src").select(F.col("dst").alias("path"), F.col("offer").alias("label")).join(labelled, ["path", "label"], "left_semi").select("path")
-    standing, gone = labelled, None
+    rootless = labelled.where("label.depth = 0").join(of_own(own), ["path", "label"], "left_anti").select("path")
+    doubted = lost.join(of_all(told(labelled)), "src").select(F.col("dst").alias("path"), F.col("offer").alias("label")).join(of_all(labelled), ["path", "label"], "left_semi").select("path")
+    standing, gone, n_gone = labelled, None, 0
     doubted = written(rootless.union(doubted).distinct(), "bfs_doubted")
-    while not doubted.isEmpty():
-        asked = standing.join(doubted, "path", "left_semi")
-        holders = links.join(asked.select(F.col("path").alias("dst"), "label"), "dst").join(told(standing).withColumnRenamed("offer", "label"), ["src", "label"]).select(F.col("dst").alias("path"))
-        held = holders.union(asked.join(own, ["path", "label"], "left_semi").select("path")).distinct()
-        fell = written(asked.join(held, "path", "left_anti"), "bfs_fell")
-        if fell.isEmpty():
+    while n := doubted.count():
+        of_few = partial(_side, n=n)  # a path has one label, so no more are asked, held and fall than are doubted
+        asked = standing.join(of_few(doubted), "path", "left_semi")
+        users = links.join(of_few(asked.select(F.col("path").alias("dst"), "label")), "dst")
+        holders = users.join(of_all(told(standing).withColumnRenamed("offer", "label")), ["src", "label"]).select(F.col("dst").alias("path"))
+        held = holders.union(asked.join(of_own(own), ["path", "label"], "left_semi").select("path")).distinct()
+        fell = written(asked.join(of_few(held), "path", "left_anti"), "bfs_fell")
+        n_fell = fell.count()
+        if n_fell == 0:
             break
-        gone = fell if gone is None else gone.unionByName(fell)
-        standing = written(standing.join(fell.select("path"), "path", "left_anti"), "bfs")
-        next_ = before.union(links).join(told(fell), "src").select(F.col("dst").alias("path"), F.col("offer").alias("label"))  # a new edge may have held one up so far
-        doubted = written(next_.join(standing, ["path", "label"], "left_semi").select("path").distinct(), "bfs_doubted")
-    new = links.join(before, ["src", "dst"], "left_anti")
-    border = new if gone is None else new.union(links.join(gone.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst")).distinct()
-    offers = border.join(told(standing), "src").select(F.col("dst").alias("path"), "offer").union(own.select("path", F.col("label").alias("offer")))
-    best = offers.groupBy("path").agg(F.min("offer").alias("offer")).join(standing, "path", "left")
+        of_fell = partial(_side, n=n_fell)
+        gone, n_gone = fell if gone is None else gone.unionByName(fell), n_gone + n_fell
+        standing = written(standing.join(of_fell(fell.select("path")), "path", "left_anti"), "bfs")
+        next_ = before.union(links).join(of_fell(told(fell)), "src").select(F.col("dst").alias("path"), F.col("offer").alias("label"))  # a new edge may have held one up so far
+        doubted = written(next_.join(of_all(standing), ["path", "label"], "left_semi").select("path").distinct(), "bfs_doubted")
+    border = new if gone is None else new.union(links.join(_side(gone.select(F.col("path").alias("dst")), n_gone), "dst", "left_semi").select("src", "dst")).distinct()
+    offers = border.join(of_all(told(standing)), "src").select(F.col("dst").alias("path"), "offer").union(own.select("path", F.col("label").alias("offer")))
+    best = offers.groupBy("path").agg(F.min("offer").alias("offer")).join(of_all(standing), "path", "left")
     frontier = written(best.where("label IS NULL OR offer < label").select("path", F.col("offer").alias("label")), "bfs")
-    found = [standing, frontier] if frontier.isEmpty() else _spread([standing, frontier], frontier, links)
-    return _best_labels(found).select("path", "label.entry_ord", "label.depth")
+    return _best_labels(_spread([standing, frontier], frontier, links)).select("path", "label.entry_ord", "label.depth")
 
 
 def _label() -> Column:

@@ -130,7 +130,7 @@ def b1_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The walk of the new state, repaired from that of the old one."""
     old, new, _ = states(spark, d)
     before, after = (written(incremental.edge_rows(resolve(s)).distinct(), "file_edges") for s in (old, new))
-    seeds = lambda edges: mental_model.entry_points(mental_model.degree(edges).select("path"), edges).select("path", F.col("path").alias("entry_ord"))
+    seeds = lambda edges: incremental.entry_points(mental_model.degree(edges)).select("path", F.col("path").alias("entry_ord"))
     walk = context.multi_source_bfs(before, seeds(before))
     return context.repaired_walk(walk, before, after, seeds(after)).withColumnRenamed("entry_ord", "entry")
 

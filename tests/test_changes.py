@@ -132,3 +132,21 @@ def test_a_cycle_does_not_hold_itself_up(spark):
     old = table([("s", "a"), ("a", "b"), ("b", "c"), ("c", "a")])
     new = table([("a", "b"), ("b", "c"), ("c", "a")])
     assert rows(context.repaired_walk(context.multi_source_bfs(old, entry), old, new, entry)) == {("s", "s", 0)}
+
+
+def test_a_walk_broadcasts_no_table_of_many_files(spark, monkeypatch):
+    plans = []
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(context, "written", spied)
+    many = spark.range(25_000).select(*(F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in "abc"))
+    pairs = lambda a, z: many.select(F.col(a).alias("src"), F.col(z).alias("dst"))
+    entry = lambda c: many.select(F.col(c).alias("path"), F.col(c).alias("entry_ord"))
+    old, new = pairs("a", "b").union(pairs("b", "c")), pairs("b", "c")
+    walk = context.repaired_walk(context.multi_source_bfs(old, entry("a")), old, new, entry("b"))
+    want = entry("b").withColumn("depth", F.lit(0)).union(many.select("c", "b", F.lit(1)))
+    assert walk.count() == 50_000 and walk.exceptAll(want).isEmpty()
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
