@@ -157,6 +157,11 @@ def first_resolved(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return best.select("path", "line", "col", "d.def_path", "d.def_line", "d.def_col")
 
 
+def only_resolved(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """``first_resolved`` where a symbol has one definition at most: a reference meets one row, so none has to be found again by its place."""
+    return ranked_definitions(refs, defs).select("path", "line", "col", "def_path", "def_line", "def_col")
+
+
 def nearest_definitions(refs: DataFrame, defs: DataFrame, most: int = 1) -> DataFrame:
     """path, line, col and d (distance, def_path, def_line, def_col): for each reference at least its ``most`` nearest definitions, without pairing it with all of its symbol.
 

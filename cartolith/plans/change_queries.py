@@ -39,7 +39,7 @@ def states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 def resolve(symbols: DataFrame) -> DataFrame:
     """A symbol has one definition here, so each reference meets one row."""
-    return references.first_resolved(symbols, references.first_definitions(symbols, ("doc_id", "line", "col")))
+    return references.only_resolved(symbols, references.first_definitions(symbols, ("doc_id", "line", "col")))
 
 
 def stores(spark: SparkSession, mappings: DataFrame) -> tuple[KeyedStore, KeyedStore]:

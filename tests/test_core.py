@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import scalars
 from cartolith.operators import context, crossfile, documents, graph, mental_model, precheck, references
+from cartolith.plans import bindings
 from cartolith.sources import files as sources
 from cartolith.streaming import streams
 
+from .conftest import DATA
+
 
 def rows(df):
     return {tuple(r) for r in df.collect()}
@@ -396,3 +399,16 @@ def test_words_are_found_in_little_memory():
     tracemalloc.stop()
     assert found == 400 * 4000
     assert peak < 30_000_000, peak
+
+
+def test_one_definition_needs_no_second_look(spark):
+    symbols = spark.createDataFrame([(s, p, line, 0) for p, text in {"a/1": "xyx", "a/2": "yz", "b/3": "xz"}.items() for line, s in enumerate(text)], "symbol string, path string, line int, col int")
+    defs = references.first_definitions(symbols)
+    found = references.only_resolved(symbols, defs)
+    assert rows(found) == rows(references.first_resolved(symbols, defs)) and found.count() == 4
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # the definitions'
+
+
+def test_model_documents_read_texts_once(spark):
+    plan = bindings.model_documents(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "text#" not in plan
