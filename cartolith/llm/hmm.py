@@ -387,7 +387,7 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = 2, roun
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 classes = np.where(end, 0, np.where(known, lex.classes[at] if len(lex.classes) else -1, -1)).astype(np.int32)
                 shaped = classes < 0
-                classes[shaped] = 1 + lex.own + shapes[shaped]
+                classes[shaped] = 1 + lex.own + shapes[shaped].astype(np.int32)  # beyond 16 bits from 31,744 words of their own
                 c = np.where(known, lex.counts[at] if len(lex.counts) else 0, 0)
                 sums = lambda where, what: np.bincount(doc[where], weights=what, minlength=j - i).astype(float)  # noqa: E731  whole numbers if empty
                 rare = np.flatnonzero(~known & ~end)

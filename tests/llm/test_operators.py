@@ -718,6 +718,27 @@ def test_frequent_words_have_classes_of_their_own():
     assert sorted(lexicon.classes.tolist()) == list(range(1, n + 1)) and len(lexicon.totals()) == 1 + n + hmm.SHAPES
 
 
+@pytest.mark.parametrize("n", [32_000, 40_000])  # shapes begin within 16 bits and end beyond them; all lie beyond
+def test_shapes_follow_however_many_words_of_their_own(spark, monkeypatch, n):
+    monkeypatch.setattr(hmm, "OWN_COUNT", 1)
+    models, whole = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *args: (models.append(whole(*args)), models[-1])[1])
+    learnt, held = (next(i for i in range(99) if (zlib.crc32(str(i).encode()) % 10 == 0) == out) for out in (False, True))
+    unknown = [f"{a}nowhere{b}" for a in "bdfhjl" for b in "acegikmo"]
+    docs = spark.createDataFrame([(learnt, " ".join(f"w{k}" for k in range(n))), (held, " ".join(unknown))], "doc_id long, text string")
+    r = hmm.score_documents(docs, rounds=1, passes=0).where(F.col("doc_id") == held).first()
+    start, move, emit = models[-1][0]
+    assert emit.shape[1] == 1 + n + hmm.SHAPES
+    _, _, _, shapes, _ = next(hmm._words(pa.array([" ".join(unknown)])))
+    assert n > 32_767 or (n + 1 + shapes.astype(int)).max() > 32_767
+    state, want = None, 0.0
+    for shape in shapes.astype(int):  # -1: the end token; no training word has a shape, so unknown words have all of their classes
+        state = (start if state is None else state @ move) * emit[:, 0 if shape < 0 else 1 + n + shape]
+        want += math.log10(state.sum())
+        state = state / state.sum()
+    assert r.n_known == 1 and math.isclose(r.score, want, rel_tol=1e-9)
+
+
 def test_language_model_of_a_few_words(spark):
     docs = spark.createDataFrame([(i, w) for i, w in enumerate(["a b a", "b c", "a a d", "c"] * 3)], "doc_id long, text string")
     got = hmm.score_documents(docs).toPandas()
